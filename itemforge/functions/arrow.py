@@ -24,6 +24,11 @@ _WS = "".join(map(chr, (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range
                         0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
+def once(udf):
+    """Keep the optimizer from repeating a costly call in filters it derives from the result."""
+    return udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def nfkd_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _MARKS.sub("", unicodedata.normalize("NFKD", v)).lower(), na_action="ignore")
@@ -303,7 +308,7 @@ def flat_entries(mode: str):
     @F.pandas_udf(_ENTRIES)
     def run(s: pd.Series) -> pd.Series:
         return s.map(entries, na_action="ignore")
-    return run
+    return once(run)
 
 
 @F.pandas_udf(T.StringType())
@@ -321,7 +326,7 @@ def packed_lists(size: int, overlap: int):
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def pack(s: pd.Series) -> pd.Series:
         return s.map(lambda texts: [packed_cuts(t, size, overlap) for t in texts], na_action="ignore")
-    return pack
+    return once(pack)
 
 
 # Top-level names that carry a role of the whole record.
@@ -350,6 +355,7 @@ def role_texts(value: dict) -> dict[str, str]:
     return out
 
 
+@once
 @F.pandas_udf(_ENTRIES)
 def record_roles(s: pd.Series) -> pd.Series:
     def run(text):

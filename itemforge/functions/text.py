@@ -50,6 +50,11 @@ def is_useful(c: Column) -> Column:
     return F.length(t).between(1, 160) & ~F.lower(t).isin(*USELESS_TOKENS)
 
 
+def first_of(values: Column) -> Column:
+    """First element, null when there is none."""
+    return F.get(values, F.lit(0))
+
+
 def first_filled(columns: list[Column]) -> Column:
     """First non-empty value, trimmed; blank when all are empty."""
     if not columns:
@@ -63,23 +68,26 @@ def _utf16_char(code: Column) -> Column:
     return F.when(unit.between(0xD800, 0xDFFF), F.lit(chr(0xFFFD))).otherwise(char)
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _decode_refs(c: Column, pattern: str, to_code) -> Column:
     """Replace each numeric reference by its character, keeping the text between references."""
-    between = F.split(c, pattern, -1)
-    codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    joined = F.array_join(
-        F.zip_with(between, codes, lambda text, code: F.concat(
-            text, F.coalesce(_utf16_char(to_code(code)), F.lit("")))), "")
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+    return F.array_join(F.zip_with(
+        F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1)),
+        lambda text, code: F.concat(text, F.coalesce(_utf16_char(to_code(code)), F.lit("")))), "")
 
 
 def decode_entities(c: Column) -> Column:
-    out = c
+    named = c
     for name, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = _decode_refs(out, r"&#(\d{1,15});", lambda d: d.cast("long"))
-    out = _decode_refs(out, r"&#x([0-9a-fA-F]{1,12});", lambda h: F.conv(h, 16, 10).cast("long"))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+        named = F.replace(named, F.lit(name), F.lit(char))
+    decimal = let(named, lambda x: _decode_refs(x, r"&#(\d{1,15});", lambda d: d.cast("long")))
+    both = let(decimal, lambda x: _decode_refs(x, r"&#x([0-9a-fA-F]{1,12});", lambda h: F.conv(h, 16, 10).cast("long")))
+    return (F.when(~F.contains(c, F.lit("&")), c)
+            .when(~F.contains(c, F.lit("#")), named).otherwise(both))
 
 
 def clean_content(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import ids
+from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
 from itemforge.functions.arrow import packed_lists
 from itemforge.operators.records import access_entries, capped
@@ -50,8 +51,9 @@ def media_type(kind: Column) -> Column:
 
 def first_by_key(entries: Column, *keys: str) -> Column:
     """Value of the first entry for each key in turn; blank when none is filled."""
-    picks = [F.filter(entries, lambda e, k=k: e["key"] == k)[0]["value"] for k in keys]
-    return F.coalesce(*[F.when(p != "", p) for p in picks], F.lit(""))
+    def pick(key: str) -> Column:
+        return tx.first_of(F.filter(entries, lambda e: (e["key"] == F.lit(key)) & (e["value"] != "")))["value"]
+    return F.coalesce(*[pick(k) for k in keys], F.lit(""))
 
 
 def keep_first(entries: Column) -> Column:
@@ -156,10 +158,10 @@ def html_documents(df: DataFrame, url_prefix: str = "") -> DataFrame:
               .withColumn("body", _html_body(html)))
 
     def from_meta(keys) -> Column:
-        return F.filter("_meta", lambda m: m["key"].isin(*keys) & (m["value"] != ""))[0]["value"]
+        return tx.first_of(F.filter("_meta", lambda m: m["key"].isin(*keys) & (m["value"] != "")))["value"]
 
     def from_link(rel: str) -> Column:
-        return F.filter("_links", lambda x: F.array_contains(x["rel"], rel) & (x["href"] != ""))[0]["href"]
+        return tx.first_of(F.filter("_links", lambda x: F.array_contains(x["rel"], rel) & (x["href"] != "")))["href"]
 
     blank = F.lit("")
     title = F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("_h1"))
@@ -196,13 +198,14 @@ def heading_sections(body: Column) -> Column:
         stack = F.when(s["level"] == 0, acc["stack"]).otherwise(
             F.concat(F.slice(acc["stack"], F.lit(1), F.greatest(s["level"] - 1, F.lit(0))), F.array(s["heading"])))
         return F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(F.array_join(stack, " > "))).alias("paths"))
-    paths = F.aggregate(cut, start, step, lambda acc: acc["paths"])
-    sections = F.zip_with(cut, paths, lambda s, path: F.struct(
-        path.alias("section_path"), s["heading"].alias("heading"),
-        tx.clean_content(F.when(s["level"] == 0, s["part"]).otherwise(
-            F.regexp_replace(s["part"], r"^[^\n]*\n?", ""))).alias("text")))
-    kept = F.filter(sections, lambda s: s["text"] != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(_one_section(body))
+
+    def placed(rows: Column) -> Column:
+        paths = F.aggregate(rows, start, step, lambda acc: acc["paths"])
+        return F.zip_with(rows, paths, lambda s, path: F.struct(
+            path.alias("section_path"), s["heading"].alias("heading"), tx.clean_content(F.when(s["level"] == 0, s["part"]).otherwise(
+                F.regexp_replace(s["part"], r"^[^\n]*\n?", ""))).alias("text")))
+    kept = F.filter(tx.let(cut, placed), lambda s: s["text"] != "")
+    return tx.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(_one_section(body)))
 
 
 def _one_section(body: Column) -> Column:
@@ -229,7 +232,7 @@ def document_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     merged = F.flatten(F.zip_with("_s", "_c", lambda s, c: F.transform(c, lambda t: F.struct(
         s["section_path"].alias("section_path"), s["heading"].alias("heading"), t.alias("text")))))
     whole = F.array(F.struct(F.lit("").alias("section_path"), F.lit("").alias("heading"), F.substring("body", 1, size).alias("text")))
-    chosen = F.when(F.size(merged) > 0, merged).when(F.col("body") != "", whole)
+    chosen = tx.let(merged, lambda m: F.when(F.size(m) > 0, m).when(F.col("body") != "", whole))
     staged = cut.withColumns({"_k": chosen, "structured": structured_properties(F.map_entries("metadata"))}).drop("_s", "_c")
     doc_id = ids.document_id(F.col("source_file"), F.col("title"))
     return (staged.select(*docs.columns, "structured", F.size("_k").alias("chunk_count"), F.posexplode("_k").alias("chunk_index", "_p"))
@@ -283,21 +286,39 @@ def chunk_items(chunks: DataFrame, access: str = "everyone") -> DataFrame:
                          capped(content).alias("content"), access_entries(access).alias("acl"))
 
 
+def with_norms(entries: Column) -> Column:
+    """Entries with their normalized key alongside."""
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), tx.norm_key(e["key"]).alias("norm")))
+
+
+def _squeezed(key: str) -> str:
+    return "".join(ch for ch in key.lower() if ch.isascii() and ch.isalnum())
+
+
+def pick_values(entries: Column, keys, suffix: bool = True) -> Column:
+    """(key, value) per wanted key: the exact key if filled, else the first key whose normalized form
+    equals (or ends with) the wanted one. One nested array expression whatever the number of keys."""
+    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(_squeezed(k)).alias("norm")) for k in keys])
+
+    def one(rows: Column, w: Column) -> Column:
+        exact = tx.first_of(F.filter(rows, lambda e: (e["key"] == w["key"]) & (e["value"] != "")))
+        close = tx.first_of(F.filter(rows, lambda e: e["norm"].endswith(w["norm"]) if suffix else e["norm"] == w["norm"]))
+        return F.struct(w["key"].alias("key"), F.coalesce(exact["value"], close["value"], F.lit("")).alias("value"))
+    return tx.let(with_norms(entries), lambda rows: F.transform(wanted, lambda w: one(rows, w)))
+
+
 def pick_value(entries: Column, key: str, suffix: bool = True) -> Column:
-    """Exact key if filled, else the first key whose normalized form equals (or ends with) the wanted one."""
-    wanted = "".join(ch for ch in key.lower() if ch.isascii() and ch.isalnum())
-    exact = F.filter(entries, lambda e: e["key"] == key)[0]["value"]
-    close = F.filter(entries, lambda e: tx.norm_key(e["key"]).endswith(wanted) if suffix else tx.norm_key(e["key"]) == wanted)[0]["value"]
-    return F.coalesce(F.when(exact != "", exact), close, F.lit(""))
+    return tx.first_of(pick_values(entries, [key], suffix))["value"]
+
+
+# Structured keys that are numbers when they parse.
+NUMBER_KEYS = ("bytes", "recordCount", "metricValue")
 
 
 def structured_properties(entries: Column) -> Column:
-    """Filled structured keys; the three measures are numbers when they parse."""
-    from itemforge.functions.numbers import is_finite, number_text
-    pairs = []
-    for key in STRUCTURED_KEYS:
-        value = pick_value(entries, key)
-        if key in ("bytes", "recordCount", "metricValue"):
-            value = F.when(is_finite(value), number_text(value.try_cast("double"))).otherwise(value)
-        pairs.append(F.struct(F.lit(key).alias("key"), value.alias("value")))
-    return F.filter(F.array(*pairs), lambda e: e["value"] != "")
+    """Filled structured keys as (key, value) entries."""
+    def shaped(e: Column) -> Column:
+        number = F.when(e["key"].isin(*NUMBER_KEYS) & nm.is_finite(e["value"]), nm.number_text(e["value"].try_cast("double")))
+        return F.struct(e["key"].alias("key"), F.coalesce(number, e["value"]).alias("value"))
+    filled = F.filter(pick_values(entries, STRUCTURED_KEYS), lambda e: e["value"] != "")
+    return F.when(F.size(entries) > 0, F.transform(filled, shaped)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
-from itemforge.session import stage, within_limit
+from itemforge.operators.documents import with_norms
+from itemforge.session import filter_settled, stage, within_limit
 
 # Keys tried for the title and the identity of a record, and further wanted facts.
 TITLE_KEYS = ("title", "displayName", "name", "primaryName", "country", "countryName", "entity", "condition", "recordId", "id")
@@ -31,12 +32,13 @@ def _useful(entries: Column) -> Column:
 
 
 def _first_by_keys(useful: Column, keys: tuple[str, ...]) -> Column:
-    options = []
-    for key in keys:
-        wanted = key.lower()
-        for test in ((lambda e, w=wanted: tx.norm_key(e["key"]) == w), (lambda e, w=wanted: tx.norm_key(e["key"]).endswith(w))):
-            options.append(F.filter(useful, test)[0]["value"])
-    return F.coalesce(*options)
+    """First useful value by key priority: the whole key, then its ending."""
+    wanted = F.array(*[F.lit(k.lower()) for k in keys])
+
+    def one(w: Column) -> Column:
+        return F.coalesce(tx.first_of(F.filter(useful, lambda e: e["norm"] == w))["value"],
+                          tx.first_of(F.filter(useful, lambda e: e["norm"].endswith(w)))["value"])
+    return tx.first_of(F.filter(F.transform(wanted, one), lambda v: v.isNotNull()))
 
 
 def generate(records: DataFrame) -> DataFrame:
@@ -44,19 +46,19 @@ def generate(records: DataFrame) -> DataFrame:
 
     One projection: every step is an array expression on the record's own entries.
     """
-    staged = records.withColumn("_u", _useful(F.col("entries"))).filter(F.size("_u") >= 3)
+    staged = records.withColumn("_u", with_norms(_useful(F.col("entries")))).filter(F.size("_u") >= 3)
     u = F.col("_u")
-    title = F.coalesce(_first_by_keys(u, TITLE_KEYS), u[0]["value"])
+    title = F.coalesce(_first_by_keys(u, TITLE_KEYS), tx.first_of(u)["value"])
     staged = staged.withColumn("_title", title)
     staged = staged.withColumn("_identity", F.coalesce(_first_by_keys(u, ID_KEYS), F.col("_title")))
     # one candidate per wanted key (an object without such a field gives none), then every other useful fact
-    wanted = F.array(*[F.filter(u, lambda e, w=key.lower(): tx.norm_key(e["key"]).endswith(w))[0]
-                       for key in dict.fromkeys((*ID_KEYS, *TITLE_KEYS, *MORE_KEYS))])
+    keys_in_order = F.array(*[F.lit(k.lower()) for k in dict.fromkeys((*ID_KEYS, *TITLE_KEYS, *MORE_KEYS))])
+    wanted = F.transform(keys_in_order, lambda w: tx.first_of(F.filter(u, lambda e: e["norm"].endswith(w))))
     others = F.filter(F.slice(u, 1, 40), lambda e: e["value"] != F.col("_title"))
     candidates = F.concat(F.filter(wanted, lambda e: e.isNotNull()), others)
     keys = F.transform("_cand", lambda e: e["key"])
     selected = F.slice(F.filter("_cand", lambda e, i: F.array_position(keys, e["key"]) == i + 1), 1, 4)
-    staged = staged.withColumn("_cand", candidates).withColumn("_s", selected).filter(F.size("_s") >= 2)
+    staged = filter_settled(staged.withColumn("_cand", candidates).withColumn("_s", selected), F.size("_s") >= 2)
     t = F.col("_title")
     labels = F.array_join(F.transform("_s", lambda e: tx.humanize_leaf(e["key"])), ", ")
     parts = F.array_join(F.transform("_s", lambda e: F.concat(tx.humanize_leaf(e["key"]), F.lit(" is "), e["value"])), "; ")

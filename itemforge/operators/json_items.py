@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import flat_entries, outline_json, record_roles
-from itemforge.operators.documents import STRUCTURED_KEYS, chunk_items, pick_value, structured_properties
+from itemforge.functions.arrow import flat_entries, record_roles
+from itemforge.operators.documents import STRUCTURED_KEYS, chunk_items, pick_values, structured_properties, with_norms
+from itemforge.session import filter_settled
 
 BODY_LIMIT = 30_000
 
@@ -36,15 +37,19 @@ DOMAIN_MARKS = {
 
 def infer_domain(entries: Column) -> Column:
     """Record domain from key presence and value patterns; first match wins."""
-    keys = F.transform(entries, lambda e: tx.norm_key(e["key"]))
+    def decide(rows: Column) -> Column:
+        keys = F.transform(rows, lambda e: e["norm"])
 
-    def has(domain: str) -> Column:
-        return F.arrays_overlap(keys, F.array(*[F.lit(k) for k in DOMAIN_MARKS[domain]]))
-    code = pick_value(entries, "code", suffix=False)
-    return (F.when(has("npi") | pick_value(entries, "npi", suffix=False).rlike(r"^\d{10}$"), "npi")
-            .when(has("icd10") | pick_value(entries, "codeSystem", suffix=False).rlike("(?i)icd-?10")
-                  | code.rlike("^[A-TV-Z][0-9][0-9A-Z]"), "icd10")
-            .when(has("cms"), "cms").otherwise("generic"))
+        def has(domain: str) -> Column:
+            return F.arrays_overlap(keys, F.array(*[F.lit(k) for k in DOMAIN_MARKS[domain]]))
+
+        def exact(key: str) -> Column:
+            hit = tx.first_of(F.filter(rows, lambda e: (e["key"] == F.lit(key)) & (e["value"] != "")))
+            return F.coalesce(hit["value"], tx.first_of(F.filter(rows, lambda e: e["norm"] == key.lower()))["value"], F.lit(""))
+        return (F.when(has("npi") | exact("npi").rlike(r"^\d{10}$"), "npi")
+                .when(has("icd10") | exact("codeSystem").rlike("(?i)icd-?10") | exact("code").rlike("^[A-TV-Z][0-9][0-9A-Z]"), "icd10")
+                .when(has("cms"), "cms").otherwise("generic"))
+    return tx.let(with_norms(entries), decide)
 
 
 def _sentence(*parts: Column) -> Column:
@@ -59,13 +64,14 @@ def _either(*values: Column) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
 
 
-def canonical_sentence(entries: Column, domain: Column) -> Column:
+# Keys that must match whole, not by their ending.
+_WHOLE_KEYS = ("npi", "recordId", "code", "cmsDatasetTitle", "title")
+
+
+def _canonical_sentence(domain: Column, pick, whole) -> Column:
     """One sentence that names the record; blank when its key value is missing."""
-    def pick(key: str, suffix: bool = True) -> Column:
-        return pick_value(entries, key, suffix)
-    npi = _either(pick("npi", False), pick("recordId", False))
-    code = _either(pick("code", False), pick("recordId", False))
-    dataset = _either(pick("cmsDatasetTitle", False), pick("title", False))
+    npi, code = _either(whole("npi"), whole("recordId")), _either(whole("code"), whole("recordId"))
+    dataset = _either(whole("cmsDatasetTitle"), whole("title"))
     title = _either(pick("title"), pick("displayName"), pick("recordId"))
     texts = {
         "npi": (npi, _sentence(_after("NPI", npi), _either(pick("providerName"), pick("organizationName"), pick("title")),
@@ -85,41 +91,51 @@ def canonical_sentence(entries: Column, domain: Column) -> Column:
     return out
 
 
-def structured_content(json_text: Column, entries: Column) -> Column:
-    """Sentence, canonical facts, exact source fields, search aliases and summary of one record."""
-    domain = infer_domain(entries)
-    listed = F.concat(F.filter(entries, lambda e: e["key"] != "domain"),
-                      F.array(F.struct(F.lit("domain").alias("key"), domain.alias("value"))))
-
-    def facts_in(order) -> Column:
-        keys = list(dict.fromkeys(("domain", *order, *STRUCTURED_KEYS)))
-        pairs = [F.struct(F.lit(k).alias("key"), pick_value(listed, k).alias("value")) for k in keys]
-        return F.filter(F.array(*pairs), lambda e: e["value"] != "")
-    # the same picks in another order: order the picked facts by the domain's own list
-    picked = facts_in(())
-    rank = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(k) for k in dict.fromkeys(
-        ("domain", *order, *STRUCTURED_KEYS))]).alias("keys")) for name, order in DOMAIN_ORDER.items()])
-    order = F.filter(rank, lambda r: r["name"] == domain)[0]["keys"]
-    canonical = F.transform(F.array_sort(F.transform(picked, lambda e: F.struct(
-        F.array_position(order, e["key"]).alias("at"), e["key"].alias("key"), e["value"].alias("value")))),
-        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    exact = F.filter(listed, lambda e: F.contains(e["key"], F.lit(".")))
-    sentence = canonical_sentence(listed, domain)
-    summary = pick_value(listed, "summary")
-    title = _either(pick_value(listed, "title"), pick_value(listed, "displayName"), pick_value(listed, "cmsDatasetTitle"))
-
-    def bullets(rows: Column, label=None) -> Column:
+_NO_ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
+    """Add ``domain``, ``structured`` (filled structured keys) and ``content`` (sentence, canonical facts,
+    exact source fields, search aliases, summary) for the record in ``entries``.
+
+    Each step is its own column, so every pick is made once per record.
+    """
+    staged = df.withColumn("domain", infer_domain(F.col(entries)))
+    staged = staged.withColumn("_listed", F.concat(
+        F.filter(entries, lambda e: e["key"] != "domain"),
+        F.array(F.struct(F.lit("domain").alias("key"), F.col("domain").alias("value")))))
+    staged = staged.withColumns({"_picked": pick_values(F.col("_listed"), STRUCTURED_KEYS),
+                                 "_whole": pick_values(F.col("_listed"), _WHOLE_KEYS, suffix=False)})
+    staged = staged.withColumns({"_pm": F.map_from_entries("_picked"), "_wm": F.map_from_entries("_whole")})
+
+    def pick(key: str) -> Column:
+        return F.col("_pm")[key]
+
+    def whole(key: str) -> Column:
+        return F.col("_wm")[key]
+    order = F.array(*[F.lit(k) for k in dict.fromkeys(("domain", *DOMAIN_ORDER["generic"], *STRUCTURED_KEYS))])
+    for name in ("cms", "icd10", "npi"):
+        keys = dict.fromkeys(("domain", *DOMAIN_ORDER[name], *STRUCTURED_KEYS))
+        order = F.when(F.col("domain") == name, F.array(*[F.lit(k) for k in keys])).otherwise(order)
+    canonical = F.filter(F.transform(order, lambda k: F.struct(k.alias("key"), F.col("_pm")[k].alias("value"))), lambda e: e["value"] != "")
+    staged = staged.withColumns({
+        "_canonical": canonical, "_exact": F.filter("_listed", lambda e: F.contains(e["key"], F.lit("."))),
+        "_sentence": _canonical_sentence(F.col("domain"), pick, whole),
+        "_title": _either(pick("title"), pick("displayName"), pick("cmsDatasetTitle"))})
+
+    def bullets(rows: str, label=None) -> Column:
         return F.array_join(F.transform(rows, lambda e: F.concat(
             F.lit("- "), e["key"] if label is None else label(e["key"]), F.lit(": "), e["value"])), "\n")
     text = F.concat_ws(
         "\n",
-        F.when(sentence != "", F.concat(sentence, F.lit("\n"))),
-        F.concat(F.lit("Canonical facts:\n"), bullets(canonical)),
-        F.when(F.size(exact) > 0, F.concat(F.lit("\nExact source fields:\n"), bullets(exact))),
-        F.concat(F.lit("\nSearch aliases:\n"), bullets(canonical, tx.humanize_json_key)),
-        F.when(summary != "", F.concat(F.lit("\nSummary:\n"), summary))
-        .when(title != "", F.concat(F.lit("\nSummary:\n"), title, F.lit(" record."))))
-    return F.coalesce(F.when(text != "", text), outline_json(json_text))
+        F.when(F.col("_sentence") != "", F.concat(F.col("_sentence"), F.lit("\n"))),
+        F.concat(F.lit("Canonical facts:\n"), bullets("_canonical")),
+        F.when(F.size("_exact") > 0, F.concat(F.lit("\nExact source fields:\n"), bullets("_exact"))),
+        F.concat(F.lit("\nSearch aliases:\n"), bullets("_canonical", tx.humanize_json_key)),
+        F.when(pick("summary") != "", F.concat(F.lit("\nSummary:\n"), pick("summary")))
+        .when(F.col("_title") != "", F.concat(F.lit("\nSummary:\n"), F.col("_title"), F.lit(" record."))))
+    out = staged.withColumn("content", F.when(F.col(json_text).isNotNull(), text))
+    return out.drop("_listed", "_picked", "_whole", "_pm", "_wm", "_canonical", "_exact", "_sentence", "_title")
 
 
 def flatten_search(c: Column) -> Column:
@@ -144,42 +160,42 @@ def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
     parsed = kept.withColumn("_json", F.when(F.col("_ok"), F.col("value")))
     # two Arrow columns in one pass over the batch
     flat = parsed.withColumns({"_e": flatten_search(F.col("_json")), "_r": record_roles(F.col("_json"))})
-    entries = F.coalesce("_e", F.array().cast("array<struct<key:string,value:string>>"))
-    is_record = F.col("_ok") & F.col("value").startswith("{")
-    quoted = F.col("_ok") & F.col("value").startswith('"')
+    flat = flat.withColumns({"_entries": F.coalesce("_e", F.array().cast(_NO_ENTRIES)), "_roles": F.coalesce("_r", F.array().cast(_NO_ENTRIES)),
+                             "_is_record": F.col("_ok") & F.col("value").startswith("{")})
+    shaped = with_structured(flat, "_entries", "_json")
+    quoted = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")
     body = tx.clean_content(F.when(~F.col("_ok"), F.col("value"))
-                            .when(quoted, F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")[0])
-                            .otherwise(structured_content(F.col("_json"), entries)))
-    staged = flat.withColumns({"_entries": entries, "body": body}).filter(F.col("body") != "")
+                            .when(F.col("value").startswith('"'), tx.first_of(quoted)).otherwise(F.col("content")))
+    staged = filter_settled(shaped.withColumn("body", body), F.col("body") != "")
 
     def role(name: str) -> Column:
         # the flat record already answers a role when one of its keys is the role name itself
-        direct = F.filter("_entries", lambda e: e["key"] == name)[0]["value"]
-        top = F.filter("_r", lambda e: e["key"] == name)[0]["value"]
-        return F.when(is_record, _either(F.coalesce(direct, F.lit("")), F.coalesce(top, F.lit("")))).otherwise("")
+        direct = tx.first_of(F.filter("_entries", lambda e: e["key"] == F.lit(name)))["value"]
+        top = tx.first_of(F.filter("_roles", lambda e: e["key"] == F.lit(name)))["value"]
+        return F.when(F.col("_is_record"), F.coalesce(F.when(direct != "", direct), F.when(top != "", top), F.lit(""))).otherwise("")
+    staged = staged.withColumns({f"_{n}": role(n) for n in ("title", "author", "date", "url")})
     line = F.col("line").cast("string")
-    title = _either(role("title"), F.concat(F.lit("Line "), line))
+    title = _either(F.col("_title"), F.concat(F.lit("Line "), line))
     place = F.concat(F.col("source_file"), F.lit("#line-"), line)
-    link = _either(role("url"), F.concat(ids.document_url(F.col("source_file"), url_prefix), F.lit("#line-"), line))
+    link = _either(F.col("_url"), F.concat(ids.document_url(F.col("source_file"), url_prefix), F.lit("#line-"), line))
     text = F.when(F.length("body") > BODY_LIMIT, F.concat(F.substring("body", 1, BODY_LIMIT), F.lit(
         "\n\n[Content truncated for connector item size; source record remains available in RAW baseline.]"))).otherwise(F.col("body"))
-    meta_entries = F.when(is_record, F.concat(
+    own_keys = F.transform("_entries", lambda e: e["key"])
+    meta = F.when(F.col("_is_record"), F.concat(
         F.filter("_entries", lambda e: e["key"] != "domain"),
-        F.array(F.struct(F.lit("domain").alias("key"), infer_domain(F.col("_entries")).alias("value"))),
-        F.filter("_r", lambda e: ~F.exists("_entries", lambda x: x["key"] == e["key"])))).otherwise(
-        F.array().cast("array<struct<key:string,value:string>>"))
-    meta = F.filter(meta_entries, lambda e: tx.trimmed(e["value"]) != "")
+        F.array(F.struct(F.lit("domain").alias("key"), F.col("domain").alias("value"))),
+        F.filter("_roles", lambda e: ~F.array_contains(own_keys, e["key"])))).otherwise(F.array().cast(_NO_ENTRIES))
     return staged.select(
         place.alias("source_file"), F.col("source_file").alias("file"), F.col("line"), F.lit("jsonl").alias("kind"),
-        title.alias("title"), role("author").alias("author"), role("date").alias("date"), link.alias("doc_url"),
-        F.col("body"), meta.alias("entries"), F.map_from_entries(meta).alias("metadata"), F.lit("").alias("section_path"),
+        title.alias("title"), F.col("_author").alias("author"), F.col("_date").alias("date"), link.alias("doc_url"),
+        F.col("body"), F.filter(meta, lambda e: tx.trimmed(e["value"]) != "").alias("entries"), F.lit("").alias("section_path"),
         title.alias("heading"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), text.alias("text"))
 
 
 def json_line_items(lines: DataFrame, url_prefix: str = "", access: str = "everyone") -> DataFrame:
     docs = json_lines_documents(lines, url_prefix)
     doc_id = ids.document_id(F.col("source_file"), F.col("title"))
-    chunks = (docs.withColumn("document_id", doc_id)
+    chunks = (docs.withColumns({"document_id": doc_id, "metadata": F.map_from_entries("entries")})
               .withColumn("structured", structured_properties(F.col("entries")))
               .withColumn("id", ids.chunk_id(F.col("source_file"), F.col("document_id"), F.lit(0), F.lit(""))))
     return chunk_items(chunks, access)

@@ -109,7 +109,7 @@ def grouped_items(df: DataFrame, header: list[str], config: EnrichConfig, *, que
     shown_fields = F.aggregate("fields", F.lit(0).cast("long"), lambda a, f: a + 2 * F.length(f["field"]) + F.length(f["value"]) + F.length(tx.trimmed(f["value"])) + 8)
     shown_lines = F.aggregate("lines", F.lit(-1).cast("long"), lambda a, x: a + F.length(x["line"]) + 1)
     hidden = F.col("raw_len") + F.col("fact_len") - shown_fields + F.col("lines_len") - shown_lines
-    core = {"url": ids.grouped_url(entity, year, iso, F.col("files")[0], url_prefix), "sourceFile": files,
+    core = {"url": ids.grouped_url(entity, year, iso, tx.first_of(F.col("files")), url_prefix), "sourceFile": files,
             "entityName": entity, "year": year, "isoCode": iso}
     return (joined.withColumn("_content", content)
             .select(ids.stable_id("indicator-group", files, entity, year, iso if li.get("iso") else F.lit("")).alias("id"),

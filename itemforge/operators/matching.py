@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
+from itemforge.functions.arrow import once
 from itemforge.session import within_limit
 
 # A phrase set up to this size is compiled into one automaton and shipped to the tasks.
@@ -54,7 +55,7 @@ def cell_for_fact(cells: Column, key: Column, config: EnrichConfig) -> Column:
         value = _role_of(cells, members)
         by_role = F.when(F.lower(key) == role.lower(), value).otherwise(by_role)
         member_of = F.when(F.lower(key).isin(*[m.lower() for m in members]), value).otherwise(member_of)
-    like = F.filter(cells, lambda c: ~tx.is_empty(c["value"]) & tx.norm_key(c["name"]).endswith(tx.norm_key(key)))[0]["value"]
+    like = tx.first_of(F.filter(cells, lambda c: ~tx.is_empty(c["value"]) & tx.norm_key(c["name"]).endswith(tx.norm_key(key))))["value"]
     return (F.when(~tx.is_empty(exact), tx.trimmed(exact))
             .when(by_role.isNotNull(), by_role)
             .otherwise(F.coalesce(tx.trimmed(like), member_of, F.lit(""))))
@@ -142,7 +143,8 @@ def _scan_with_automaton(content: DataFrame, distinct: DataFrame) -> DataFrame:
             return texts.map(lambda t: [])
         find = _finder(shared)
         return texts.map(lambda t: [shared.value["phrases"][i] for i in find(t)], na_action="ignore")
-    return content.select("item_id", F.explode(found("content")).alias("phrase"))
+    hits = content.select("item_id", once(found)("content").alias("found"))
+    return hits.select("item_id", F.explode("found").alias("phrase"))
 
 
 def _join_on_anchors(content: DataFrame, distinct: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def _entries_in_sequence(bases: list[str], values: list[Column]) -> list[tuple[C
     for base, value in zip(bases, values):
         options = F.array(F.lit(base), *[F.lit(names.suffixed(base, n)) for n in range(2, len(bases) + 3)])
         taken = F.array(*used)
-        label = F.filter(options, lambda o: ~F.coalesce(F.array_contains(taken, o), F.lit(False)))[0]
+        label = tx.first_of(F.filter(options, lambda o: ~F.coalesce(F.array_contains(taken, o), F.lit(False))))
         label = F.when(value.isNotNull(), label)
         used.append(F.coalesce(label, F.lit("")))
         out.append((label, value))

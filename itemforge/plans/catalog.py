@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from itemforge.plans import records, scalars  # noqa: F401
+from itemforge.plans import documents, records, scalars  # noqa: F401
 from itemforge.plans.registry import CATALOG
 
 __all__ = ["CATALOG"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "itemforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +48,12 @@ def stage(df: DataFrame) -> DataFrame:
 def within_limit(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def filter_settled(df: DataFrame, condition) -> DataFrame:
+    """Filter on costly computed columns without the optimizer copying their expressions below.
+
+    The row marker makes the projection a barrier, so each column is computed once per row.
+    """
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    return marked.filter(condition & (F.col("_at") >= 0)).drop("_at")
