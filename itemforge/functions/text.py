@@ -13,6 +13,7 @@ WS_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x2
 WS_CHARS = "".join(map(chr, WS_CODES))
 WS = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES) + "]"
 WS_INLINE = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code != 0x0A) + "]"
+WS_EXOTIC = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code not in (0x09, 0x0A, 0x20)) + "]"
 
 # Texts that count as "no value".
 EMPTY_TOKENS = ("", "null", "none", "nan", "n/a", "na")
@@ -90,11 +91,17 @@ def decode_entities(c: Column) -> Column:
             .when(~F.contains(c, F.lit("#")), named).otherwise(both))
 
 
+def _trim_lines(c: Column) -> Column:
+    """Trim every line of text whose blanks are already collapsed; only exotic blanks need a pattern."""
+    plain = F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    full = F.regexp_replace(c, f"(?md)^{WS_INLINE}+|{WS_INLINE}+$", "")
+    return F.when(c.rlike(WS_EXOTIC), full).otherwise(plain)
+
+
 def clean_content(c: Column) -> Column:
     """Decode entities, unify line ends, collapse blanks, trim lines, keep at most one blank line."""
     t = F.regexp_replace(decode_entities(c), "\r\n?", "\n")
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, f"(?md)^{WS_INLINE}+|{WS_INLINE}+$", "")
+    t = let(F.regexp_replace(t, "[ \t]+", " "), _trim_lines)
     return trimmed(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 

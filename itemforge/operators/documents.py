@@ -296,19 +296,27 @@ def _squeezed(key: str) -> str:
 
 
 def pick_values(entries: Column, keys, suffix: bool = True) -> Column:
-    """(key, value) per wanted key: the exact key if filled, else the first key whose normalized form
-    equals (or ends with) the wanted one. One nested array expression whatever the number of keys."""
-    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(_squeezed(k)).alias("norm")) for k in keys])
+    """(key, value) for each wanted key the entries can answer: the exact key if filled, else the first
+    key whose normalized form equals (or ends with) the wanted one.
+
+    A joined list of the normalized keys rules out most wanted keys with one text search each.
+    """
+    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(_squeezed(k)).alias("norm"),
+                                F.lit(_squeezed(k) + "|" if suffix else f"|{_squeezed(k)}|").alias("mark")) for k in keys])
 
     def one(rows: Column, w: Column) -> Column:
         exact = tx.first_of(F.filter(rows, lambda e: (e["key"] == w["key"]) & (e["value"] != "")))
         close = tx.first_of(F.filter(rows, lambda e: e["norm"].endswith(w["norm"]) if suffix else e["norm"] == w["norm"]))
         return F.struct(w["key"].alias("key"), F.coalesce(exact["value"], close["value"], F.lit("")).alias("value"))
-    return tx.let(with_norms(entries), lambda rows: F.transform(wanted, lambda w: one(rows, w)))
+
+    def answer(rows: Column) -> Column:
+        marks = F.concat(F.lit("|"), F.array_join(F.transform(rows, lambda e: e["norm"]), "|"), F.lit("|"))
+        return tx.let(marks, lambda m: F.transform(F.filter(wanted, lambda w: F.contains(m, w["mark"])), lambda w: one(rows, w)))
+    return tx.let(with_norms(entries), answer)
 
 
 def pick_value(entries: Column, key: str, suffix: bool = True) -> Column:
-    return tx.first_of(pick_values(entries, [key], suffix))["value"]
+    return F.coalesce(tx.first_of(pick_values(entries, [key], suffix))["value"], F.lit(""))
 
 
 # Structured keys that are numbers when they parse.

@@ -109,15 +109,15 @@ def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
     staged = staged.withColumns({"_pm": F.map_from_entries("_picked"), "_wm": F.map_from_entries("_whole")})
 
     def pick(key: str) -> Column:
-        return F.col("_pm")[key]
+        return F.coalesce(F.try_element_at("_pm", F.lit(key)), F.lit(""))
 
     def whole(key: str) -> Column:
-        return F.col("_wm")[key]
+        return F.coalesce(F.try_element_at("_wm", F.lit(key)), F.lit(""))
     order = F.array(*[F.lit(k) for k in dict.fromkeys(("domain", *DOMAIN_ORDER["generic"], *STRUCTURED_KEYS))])
     for name in ("cms", "icd10", "npi"):
         keys = dict.fromkeys(("domain", *DOMAIN_ORDER[name], *STRUCTURED_KEYS))
         order = F.when(F.col("domain") == name, F.array(*[F.lit(k) for k in keys])).otherwise(order)
-    canonical = F.filter(F.transform(order, lambda k: F.struct(k.alias("key"), F.col("_pm")[k].alias("value"))), lambda e: e["value"] != "")
+    canonical = F.filter(F.transform(order, lambda k: F.struct(k.alias("key"), F.try_element_at(F.col("_pm"), k).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
     staged = staged.withColumns({
         "_canonical": canonical, "_exact": F.filter("_listed", lambda e: F.contains(e["key"], F.lit("."))),
         "_sentence": _canonical_sentence(F.col("domain"), pick, whole),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
 from itemforge.functions.arrow import once
-from itemforge.session import within_limit
+from itemforge.session import filter_settled, within_limit
 
 # A phrase set up to this size is compiled into one automaton and shipped to the tasks.
 SHIPPED_PHRASES = 20_000
@@ -42,23 +42,34 @@ def _last_named(cells: Column, key: Column) -> Column:
     return F.try_element_at(F.filter(cells, lambda c: F.lower(c["name"]) == F.lower(key)), F.lit(-1))["value"]
 
 
+def _first_named(cells: Column, members: Column) -> Column:
+    """Trimmed value of the first member name that is filled; null when none is."""
+    return tx.let(cells, lambda c: tx.trimmed(tx.first_of(F.filter(
+        F.transform(members, lambda m: _last_named(c, m)), lambda v: ~tx.is_empty(v)))))
+
+
 def _role_of(cells: Column, members: list[str]) -> Column:
-    picks = [_last_named(cells, F.lit(m)) for m in members]
-    return F.coalesce(*[F.when(~tx.is_empty(p), tx.trimmed(p)) for p in picks], F.lit(""))
+    return F.coalesce(_first_named(cells, F.array(*[F.lit(m) for m in members])), F.lit("")) if members else F.lit("")
 
 
 def cell_for_fact(cells: Column, key: Column, config: EnrichConfig) -> Column:
-    """Value a row (``array<struct<name,value>>``) holds for a fact key that is data."""
-    exact = _last_named(cells, key)
-    by_role, member_of = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for role, members in reversed(list(config.key_fields.items())):
-        value = _role_of(cells, members)
-        by_role = F.when(F.lower(key) == role.lower(), value).otherwise(by_role)
-        member_of = F.when(F.lower(key).isin(*[m.lower() for m in members]), value).otherwise(member_of)
-    like = tx.first_of(F.filter(cells, lambda c: ~tx.is_empty(c["value"]) & tx.norm_key(c["name"]).endswith(tx.norm_key(key))))["value"]
-    return (F.when(~tx.is_empty(exact), tx.trimmed(exact))
-            .when(by_role.isNotNull(), by_role)
-            .otherwise(F.coalesce(tx.trimmed(like), member_of, F.lit(""))))
+    """Value a row (``array<struct<name,value>>``) holds for a fact key that is data.
+
+    Tried in turn: the column of that name, the role of that name (and nothing after it), a column whose
+    name ends like it, the role it is a member of.
+    """
+    roles = F.array(*[F.struct(F.lit(role.lower()).alias("role"), F.array(*[F.lit(m) for m in members]).alias("members"),
+                               F.array(*[F.lit(m.lower()) for m in members]).alias("lowered")) for role, members in config.key_fields.items()])
+
+    def look_up(held: Column, name: Column) -> Column:
+        like = tx.trimmed(tx.first_of(F.filter(held, lambda c: ~tx.is_empty(c["value"]) & tx.norm_key(c["name"]).endswith(tx.norm_key(name))))["value"])
+        named = tx.first_of(F.filter(roles, lambda r: r["role"] == F.lower(name)))
+        member = tx.first_of(F.filter(roles, lambda r: F.array_contains(r["lowered"], F.lower(name))))
+        by_role = F.coalesce(_first_named(held, named["members"]), F.lit(""))
+        return tx.let(_last_named(held, name), lambda exact: F.when(~tx.is_empty(exact), tx.trimmed(exact))
+                      .when(named.isNotNull(), by_role)
+                      .otherwise(F.coalesce(like, _first_named(held, member["members"]), F.lit(""))))
+    return tx.let(cells, lambda held: look_up(held, key))
 
 
 def fact_roles(facts: Column, config: EnrichConfig) -> tuple[Column, Column]:
@@ -66,24 +77,51 @@ def fact_roles(facts: Column, config: EnrichConfig) -> tuple[Column, Column]:
     return (_role_of(facts, config.key_fields.get("entity", [])), _role_of(facts, config.key_fields.get("year", [])))
 
 
+MAX_ANCHOR_KEYS = 32
+
+
 def match_by_entity_year(rows: DataFrame, evals: DataFrame, config: EnrichConfig | None = None) -> DataFrame:
     """Rows with an item's entity and year where every fact the row holds agrees, and at least one is held.
 
     ``rows`` carry ``item_id``, ``entity_name``, ``role_year`` and ``cells``; ``evals`` carry ``facts``.
+    Entity and year alone would pair every row of a group with every item of it, so the join key also
+    takes one more fact of the item: a row meets it when it holds the same value or no value for it.
+    The pair is then checked in full.
     """
     config = config or EnrichConfig()
     entity, year = fact_roles(F.col("facts"), config)
-    keyed = (evals.select("eval_id", "facts", tx.norm_value(entity).alias("k_entity"), tx.norm_value(year).alias("k_year"))
-             .filter((F.col("k_entity") != "") & (F.col("k_year") != "")))
+    keyed = evals.select("eval_id", "facts", tx.norm_value(entity).alias("k_entity"), tx.norm_value(year).alias("k_year"),
+                         _anchor_fact(config).alias("anchor"))
+    anchored = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != ""))
+    # the anchor keys are fact names: a handful, and checked
+    common = [r["k"] for r in anchored.select(F.lower("anchor.name").alias("k")).filter("k is not null").groupBy("k").count()
+              .orderBy(F.desc("count"), "k").limit(MAX_ANCHOR_KEYS).select("k").collect()]
+    name = F.coalesce(F.when(F.lower("anchor.name").isin(*common), F.lower("anchor.name")), F.lit("")) if common else F.lit("")
+    wanted = (anchored.withColumn("k_name", name)
+              .withColumn("k_value", F.explode(F.when(F.col("k_name") == "", F.array(F.lit(""))).otherwise(
+                  F.array_distinct(F.array(tx.norm_value(F.col("anchor.value")), F.lit("")))))).drop("anchor"))
     probe = rows.select("item_id", "cells", tx.norm_value(F.col("entity_name")).alias("k_entity"),
                         tx.norm_value(F.col("role_year")).alias("k_year"))
-    pairs = probe.join(keyed, ["k_entity", "k_year"])
+    held_for = F.array(F.struct(F.lit("").alias("n"), F.lit("").alias("v")), *[
+        F.struct(F.lit(k).alias("n"), _norm_held(F.col("cells"), k, config).alias("v")) for k in common])
+    probe = probe.withColumn("a", F.explode(held_for)).select("item_id", "cells", "k_entity", "k_year", F.col("a.n").alias("k_name"), F.col("a.v").alias("k_value"))
+    pairs = probe.join(wanted, ["k_entity", "k_year", "k_name", "k_value"])
     held = F.filter(F.transform("facts", lambda f: F.struct(
         f["value"].alias("want"), cell_for_fact(F.col("cells"), f["name"], config).alias("have"))),
         lambda f: ~tx.is_empty(f["want"]) & ~tx.is_empty(f["have"]))
-    agree = F.forall("_held", lambda f: tx.norm_value(f["have"]) == tx.norm_value(f["want"]))
-    return (pairs.withColumn("_held", held).filter((F.size("_held") > 0) & agree)
-            .select("item_id", "eval_id").distinct())
+    agree = tx.let(held, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: tx.norm_value(f["have"]) == tx.norm_value(f["want"])))
+    return pairs.filter(agree).select("item_id", "eval_id").distinct()
+
+
+def _norm_held(cells: Column, key: str, config: EnrichConfig) -> Column:
+    return tx.let(cell_for_fact(cells, F.lit(key), config), lambda v: F.when(tx.is_empty(v), F.lit("")).otherwise(tx.norm_value(v)))
+
+
+def _anchor_fact(config: EnrichConfig) -> Column:
+    """The longest filled fact that is neither entity nor year: long values repeat least."""
+    taken = [m.lower() for role in ("entity", "year") for m in (role, *config.key_fields.get(role, []))]
+    free = F.filter("facts", lambda f: ~F.lower(f["name"]).isin(*taken) & ~tx.is_empty(f["value"]))
+    return F.array_max(F.transform(free, lambda f: F.struct(F.length(f["value"]).alias("n"), f["name"].alias("name"), f["value"].alias("value"))))
 
 
 def row_cells(header: list[str]) -> Column:
@@ -148,37 +186,41 @@ def _scan_with_automaton(content: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _join_on_anchors(content: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Exact containment by equi joins.
+    """Exact containment by equi joins over the vocabulary of the texts.
 
-    A phrase of three or more words must bring its inner words along as whole words: its rarest inner
-    word is the anchor. A shorter phrase anchors on its first characters. Candidates are then verified
-    against the text, so anchors only decide the work, never the result.
+    A phrase of three or more words brings its inner words along whole: its rarest inner word anchors it.
+    Of a two-word phrase one word ends and the other starts a word of the text; a single word sits inside
+    one. Candidates are then verified against the text, so anchors decide the work, never the result.
     """
-    inner = F.slice(F.split("phrase", r"\s+"), F.lit(2), F.greatest(F.size(F.split("phrase", r"\s+")) - 2, F.lit(0)))
-    split = distinct.withColumn("inner", inner)
-    worded = split.filter(F.size("inner") > 0)
-    words = content.select("item_id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("anchor")).filter("anchor <> ''")
-    wanted = worded.select(F.explode("inner").alias("anchor")).distinct()
-    seen = words.join(wanted, "anchor", "left_semi")
-    frequency = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    # a phrase with an inner word no text holds cannot match, so the inner join may drop it
-    rare = (worded.select("phrase", F.size(F.array_distinct("inner")).alias("need"), F.explode(F.array_distinct("inner")).alias("anchor"))
-            .join(frequency, "anchor").groupBy("phrase", "need")
-            .agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"), F.count(F.lit(1)).alias("have"))
-            .filter("have = need").select("phrase", "anchor"))
-    by_word = seen.join(rare, "anchor").select("item_id", "phrase")
-
-    short = split.filter(F.size("inner") == 0).select(
-        "phrase", F.least(F.length("phrase"), F.lit(GRAM)).alias("g")).withColumn("anchor", F.expr("substring(phrase, 1, g)"))
-    sizes = [r["g"] for r in short.select("g").distinct().collect()]  # at most GRAM values
-    pairs = by_word
+    words = content.select("item_id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("token")).filter("token <> ''")
+    vocabulary = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    split = distinct.withColumn("w", F.split("phrase", r"\s+")).withColumn("n_words", F.size("w"))
+
+    inner = split.filter("n_words > 2").select("phrase", F.explode(F.array_distinct(F.expr("slice(w, 2, n_words - 2)"))).alias("token"),
+                                               F.size(F.array_distinct(F.expr("slice(w, 2, n_words - 2)"))).alias("need"))
+    # a phrase with an inner word no text holds cannot match at all
+    by_inner = (inner.join(vocabulary, "token").groupBy("phrase", "need")
+                .agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count(F.lit(1)).alias("have"))
+                .filter("have = need").select("phrase", "token"))
+
+    edge = F.when(F.length(F.col("w")[0]) >= F.length(F.col("w")[1]), F.struct(F.lit("end").alias("side"), F.substr(
+        F.col("w")[0], F.greatest(F.length(F.col("w")[0]) - GRAM + 1, F.lit(1))).alias("part"))).otherwise(
+        F.struct(F.lit("start").alias("side"), F.substring(F.col("w")[1], 1, GRAM).alias("part")))
+    two = split.filter("n_words = 2").select("phrase", edge.alias("e")).select("phrase", "e.side", "e.part")
+    edges = F.array(*[F.struct(F.lit(side).alias("side"), part.alias("part")) for g in range(1, GRAM + 1) for side, part in (
+        ("end", F.substr("token", F.length("token") - g + 1)), ("start", F.substring("token", 1, g)))])
+    by_edge = (vocabulary.select("token", F.inline(F.filter(edges, lambda e: F.length(e["part"]) > 0))).distinct()
+               .join(two, ["side", "part"]).select("phrase", "token"))
+
+    one = split.filter("n_words = 1").select("phrase", F.substring("phrase", 1, GRAM).alias("part"))
+    sizes = [r["g"] for r in one.select(F.length("part").alias("g")).distinct().collect()]  # at most GRAM values
+    pairs = by_inner.unionByName(by_edge)
     for g in sizes:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content") - g + 1), lambda i: F.substr("content", i, F.lit(g))))
-        held = content.filter(F.length("content") >= g).select("item_id", F.explode(grams).alias("anchor"))
-        # only grams some phrase starts with survive before the shuffle on the anchor
-        pairs = pairs.unionByName(held.join(short.filter(F.col("g") == g).select("anchor", "phrase"), "anchor").select("item_id", "phrase"))
-    return (pairs.distinct().join(content, "item_id").filter(F.contains("content", F.col("phrase")))
-            .select("item_id", "phrase"))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substr("token", i, F.lit(g))))
+        held = vocabulary.filter(F.length("token") >= g).select("token", F.explode(grams).alias("part"))
+        pairs = pairs.unionByName(held.join(one.filter(F.length("part") == g), "part").select("phrase", "token"))
+    candidates = words.join(pairs, "token").select("item_id", "phrase").distinct()
+    return candidates.join(content, "item_id").filter(F.contains("content", F.col("phrase"))).select("item_id", "phrase")
 
 
 def merge_matches(*paths: DataFrame) -> DataFrame:
