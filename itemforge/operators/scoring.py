@@ -135,6 +135,7 @@ def agent_summary(scores: DataFrame, by: list[str]) -> DataFrame:
         _rate("assertions_passed", "assertions_total").alias("assertion_rate"),
         F.sum("assertions_passed").alias("assertions_passed"), F.sum("assertions_total").alias("assertions_total"),
         _rate("facts_passed", "facts_total").alias("fact_rate"),
+        F.sum("facts_passed").alias("facts_passed"), F.sum("facts_total").alias("facts_total"),
         F.count_if(F.col("status") == "pass").alias("pass_count"), F.count_if(F.col("status") == "partial").alias("partial_count"),
         F.count_if(F.col("status") == "fail").alias("fail_count"), F.count_if("has_citation").alias("citation_count"))
 

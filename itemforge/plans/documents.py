@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itemforge.functions import text as tx
 from itemforge.functions.arrow import window_chunks as cut_windows
 from itemforge.operators import documents as docs
 from itemforge.operators import json_items
@@ -221,5 +220,3 @@ def markdown_documents(spark, sf):
     files = d.select("doc_id", F.lit("x.md").alias("source_file"), raw.alias("raw"))
     return docs.markdown_documents(files).select("doc_id", "title", "author", F.sha2("body", 256).alias("body_digest"))
 
-
-__all__ = ["tx"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itemforge.functions import numbers as nm
 from itemforge.operators import scoring
 from itemforge.plans import sql as S
 from itemforge.plans.registry import query
@@ -131,7 +130,7 @@ def report_items(spark, sf):
     return report_rows(spark, sf).select("eval_id", "run_id", "score", "status", "citation", "matched", "invalid", "assertions_passed", "facts_passed", "category")
 
 
-_REPORT = f"""count(*) AS prompts, count(*) FILTER (NOT invalid) AS valid_prompts, coalesce({S.pct(S.mean('score') + ' FILTER (NOT invalid) / 100') if False else S.pct("CAST(sum(CAST(CASE WHEN NOT invalid THEN score END AS DECIMAL(28,6))) AS DOUBLE) / count(CASE WHEN NOT invalid THEN score END) / 100")}, 0.0) AS deterministic_avg,
+_REPORT = f"""count(*) AS prompts, count(*) FILTER (NOT invalid) AS valid_prompts, coalesce({S.pct("CAST(sum(CAST(CASE WHEN NOT invalid THEN score END AS DECIMAL(28,6))) AS DOUBLE) / count(CASE WHEN NOT invalid THEN score END) / 100")}, 0.0) AS deterministic_avg,
  count(*) FILTER (NOT invalid AND status = 'pass') AS pass_count, count(*) FILTER (NOT invalid AND status = 'partial') AS partial_count, count(*) FILTER (NOT invalid AND status = 'fail') AS fail_count,
  coalesce({S.pct("CAST(sum(CAST(CASE WHEN NOT invalid THEN semantic END AS DECIMAL(28,6))) AS DOUBLE) / nullif(count(CASE WHEN NOT invalid THEN semantic END), 0) / 100")}, 0.0) AS semantic_avg,
  coalesce({S.pct("count(*) FILTER (NOT invalid AND citation) / nullif(count(*) FILTER (NOT invalid), 0)")}, 0.0) AS citation_rate,
@@ -253,5 +252,3 @@ def positional_scores(spark, sf):
     s = scoring.library_scores(scoring.join_by_position(evals, answers))
     return s.select("item_id", (F.col("assertions_passed") == 1).alias("passed"), F.length("actual_answer").cast("long").alias("answer_length"))
 
-
-__all__ = ["nm"]
