@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
 from itemforge.functions.arrow import once
+from itemforge.operators.records import fact_value_for
 from itemforge.session import filter_settled, within_limit
 
 # A phrase set up to this size is compiled into one automaton and shipped to the tasks.
@@ -77,46 +78,64 @@ def fact_roles(facts: Column, config: EnrichConfig) -> tuple[Column, Column]:
     return (_role_of(facts, config.key_fields.get("entity", [])), _role_of(facts, config.key_fields.get("year", [])))
 
 
-MAX_ANCHOR_KEYS = 32
+# Distinct fact names that may become plain columns of the match.
+MAX_FACT_NAMES = 64
 
 
-def match_by_entity_year(rows: DataFrame, evals: DataFrame, config: EnrichConfig | None = None) -> DataFrame:
+def match_by_entity_year(rows: DataFrame, header: list[str], evals: DataFrame, config: EnrichConfig | None = None) -> DataFrame:
     """Rows with an item's entity and year where every fact the row holds agrees, and at least one is held.
 
-    ``rows`` carry ``item_id``, ``entity_name``, ``role_year`` and ``cells``; ``evals`` carry ``facts``.
+    ``rows`` carry ``item_id``, ``entity_name``, ``role_year`` and the header columns; ``evals`` carry ``facts``.
     Entity and year alone would pair every row of a group with every item of it, so the join key also
-    takes one more fact of the item: a row meets it when it holds the same value or no value for it.
+    takes one more fact of the item, its longest: a row meets it when it holds the same value or none.
     The pair is then checked in full.
     """
     config = config or EnrichConfig()
     entity, year = fact_roles(F.col("facts"), config)
     keyed = evals.select("eval_id", "facts", tx.norm_value(entity).alias("k_entity"), tx.norm_value(year).alias("k_year"),
                          _anchor_fact(config).alias("anchor"))
-    anchored = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != ""))
-    # the anchor keys are fact names: a handful, and checked
-    common = [r["k"] for r in anchored.select(F.lower("anchor.name").alias("k")).filter("k is not null").groupBy("k").count()
-              .orderBy(F.desc("count"), "k").limit(MAX_ANCHOR_KEYS).select("k").collect()]
-    name = F.coalesce(F.when(F.lower("anchor.name").isin(*common), F.lower("anchor.name")), F.lit("")) if common else F.lit("")
-    wanted = (anchored.withColumn("k_name", name)
+    keyed = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != ""))
+    # fact names are vocabulary: a handful, and checked
+    found = evals.select(F.explode("facts").alias("f")).select("f.name").distinct().limit(MAX_FACT_NAMES + 1).collect()
+    names = sorted(r["name"] for r in found)
+    columnar = len(names) <= MAX_FACT_NAMES
+    held = {n: fact_value_for(header, n, config) for n in names} if columnar else {}
+    anchors = names if columnar else []
+
+    # an item whose anchor is no plain column joins on entity and year alone
+    anchor = F.when(F.col("anchor.name").isin(*anchors), F.col("anchor.name")) if anchors else F.lit(None).cast("string")
+    wanted = (keyed.withColumn("k_name", F.coalesce(anchor, F.lit("")))
               .withColumn("k_value", F.explode(F.when(F.col("k_name") == "", F.array(F.lit(""))).otherwise(
                   F.array_distinct(F.array(tx.norm_value(F.col("anchor.value")), F.lit("")))))).drop("anchor"))
-    probe = rows.select("item_id", "cells", tx.norm_value(F.col("entity_name")).alias("k_entity"),
-                        tx.norm_value(F.col("role_year")).alias("k_year"))
-    held_for = F.array(F.struct(F.lit("").alias("n"), F.lit("").alias("v")), *[
-        F.struct(F.lit(k).alias("n"), _norm_held(F.col("cells"), k, config).alias("v")) for k in common])
-    probe = probe.withColumn("a", F.explode(held_for)).select("item_id", "cells", "k_entity", "k_year", F.col("a.n").alias("k_name"), F.col("a.v").alias("k_value"))
+    used = [r["k_name"] for r in wanted.select("k_name").distinct().collect()]  # at most MAX_FACT_NAMES values
+
+    columns = {f"h{i}": F.when(tx.is_empty(held[n]), F.lit("")).otherwise(tx.norm_value(held[n])) for i, n in enumerate(names)} if columnar else {}
+    base = rows.select("item_id", tx.norm_value(F.col("entity_name")).alias("k_entity"), tx.norm_value(F.col("role_year")).alias("k_year"),
+                       *[v.alias(k) for k, v in columns.items()], *([] if columnar else [row_cells(header).alias("cells")]))
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), (F.col(f"h{names.index(n)}") if n else F.lit("")).alias("v")) for n in used])
+    probe = base.withColumn("a", F.explode(keys)).withColumns({"k_name": F.col("a.n"), "k_value": F.col("a.v")}).drop("a")
+    if columnar:
+        by_name = F.map_from_entries(F.transform("facts", lambda f: F.struct(f["name"], f["value"])))
+        wanted = wanted.withColumn("_m", by_name)
+        for i, n in enumerate(names):
+            want = F.try_element_at("_m", F.lit(n))
+            wanted = wanted.withColumn(f"w{i}", F.when(tx.is_empty(want), F.lit("")).otherwise(tx.norm_value(want)))
+        wanted = wanted.drop("_m", "facts")
     pairs = probe.join(wanted, ["k_entity", "k_year", "k_name", "k_value"])
-    held = F.filter(F.transform("facts", lambda f: F.struct(
-        f["value"].alias("want"), cell_for_fact(F.col("cells"), f["name"], config).alias("have"))),
-        lambda f: ~tx.is_empty(f["want"]) & ~tx.is_empty(f["have"]))
-    agree = tx.let(held, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: tx.norm_value(f["have"]) == tx.norm_value(f["want"])))
+    if columnar:
+        some, all_equal = F.lit(False), F.lit(True)
+        for i in range(len(names)):
+            both = (F.col(f"w{i}") != "") & (F.col(f"h{i}") != "")
+            some, all_equal = some | both, all_equal & (~both | (F.col(f"w{i}") == F.col(f"h{i}")))
+        agree = some & all_equal
+    else:
+        checked = F.filter(F.transform("facts", lambda f: F.struct(
+            f["value"].alias("want"), cell_for_fact(F.col("cells"), f["name"], config).alias("have"))),
+            lambda f: ~tx.is_empty(f["want"]) & ~tx.is_empty(f["have"]))
+        agree = tx.let(checked, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: tx.norm_value(f["have"]) == tx.norm_value(f["want"])))
     return pairs.filter(agree).select("item_id", "eval_id").distinct()
 
 
-def _norm_held(cells: Column, key: str, config: EnrichConfig) -> Column:
-    return tx.let(cell_for_fact(cells, F.lit(key), config), lambda v: F.when(tx.is_empty(v), F.lit("")).otherwise(tx.norm_value(v)))
-
-
 def _anchor_fact(config: EnrichConfig) -> Column:
     """The longest filled fact that is neither entity nor year: long values repeat least."""
     taken = [m.lower() for role in ("entity", "year") for m in (role, *config.key_fields.get(role, []))]

@@ -112,8 +112,8 @@ _EY = f"""{S.ORDERS}, ev AS (SELECT code AS eval_id, country, year, CASE WHEN st
 @query("entity_year_matches", "JOIN-02 PRJ-25", f"WITH {_EY} SELECT DISTINCT item_id, eval_id FROM ey")
 def entity_year_matches(spark, sf):
     o = records.with_roles(order_records(spark, sf), ORDER_HEADER, CONFIG)
-    rows = o.select(F.col("source_row").alias("item_id"), "entity_name", "role_year", matching.row_cells(ORDER_HEADER).alias("cells"))
-    return matching.match_by_entity_year(rows, order_evals(spark, sf), CONFIG)
+    rows = o.withColumnRenamed("source_row", "item_id")
+    return matching.match_by_entity_year(rows, ORDER_HEADER, order_evals(spark, sf), CONFIG)
 
 
 @query("merged_matches", "JOIN-05", f"""WITH {_EY} SELECT item_id, eval_id FROM ey UNION SELECT o_orderkey + 1, 'ORD-' || o_orderkey FROM orders""")

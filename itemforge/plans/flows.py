@@ -99,9 +99,9 @@ def error_budget(spark, sf):
     return counted.withColumn("aborted", F.col("failed") >= crawl.MAX_FAILURES)
 
 
-@query("incremental_rows", "STM-05", "SELECT event_id, user_id FROM events WHERE ts > (SELECT max(o_orderdate) + INTERVAL 23 YEAR FROM orders)")
+@query("incremental_rows", "STM-05", "SELECT event_id, user_id FROM events WHERE ts > (SELECT max(o_orderdate) + INTERVAL 8200 DAY FROM orders)")
 def incremental_rows(spark, sf):
-    done = table(spark, sf, "orders").select((F.col("o_orderdate") + F.expr("INTERVAL 23 YEARS")).alias("at"))
+    done = table(spark, sf, "orders").select((F.col("o_orderdate") + F.expr("INTERVAL 8200 DAYS")).alias("at"))
     return crawl.since(table(spark, sf, "events"), "ts", done, "at").select("event_id", "user_id")
 
 

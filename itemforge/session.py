@@ -57,3 +57,12 @@ def filter_settled(df: DataFrame, condition) -> DataFrame:
     """
     marked = df.withColumn("_at", F.monotonically_increasing_id())
     return marked.filter(condition & (F.col("_at") >= 0)).drop("_at")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work one task per core when the scan has fewer splits than that.
+
+    A large scan already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
