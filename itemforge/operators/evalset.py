@@ -21,10 +21,12 @@ def parse_facts(facts: Column) -> Column:
     """``k=v`` texts to entries, later repeats of a key winning in place; texts without ``=`` are left out."""
     pairs = F.filter(F.transform(facts, lambda f: F.struct(tx.fact_key(f).alias("name"), tx.fact_value(f).alias("value"))),
                      lambda p: p["name"].isNotNull())
-    keys = F.transform(pairs, lambda p: p["name"])
-    firsts = F.filter(F.transform(keys, lambda k, i: F.when(F.array_position(keys, k) == i + 1, k)), lambda k: k.isNotNull())
-    return F.transform(firsts, lambda k: F.struct(k.alias("name"), F.element_at(
-        F.filter(pairs, lambda p: p["name"] == k), F.lit(-1))["value"].alias("value")))
+
+    def last_per_name(rows: Column) -> Column:
+        firsts = F.filter(rows, lambda p, i: F.array_position(F.transform(rows, lambda x: x["name"]), p["name"]) == i + 1)
+        return F.transform(firsts, lambda p: F.struct(p["name"].alias("name"), F.element_at(
+            F.filter(rows, lambda x: x["name"] == p["name"]), F.lit(-1))["value"].alias("value")))
+    return tx.let(pairs, last_per_name)
 
 
 def _useful(entries: Column) -> Column:
