@@ -185,7 +185,7 @@ def dataset_fingerprint(spark, sf):
     return evalset.dataset_fingerprint(files)
 
 
-@query("locale_order", "SRT-02")
+@query("locale_order", "SRT-02", "SELECT DISTINCT split_part(url, '/', 3) AS host FROM pages")
 def locale_order(spark, sf):
     names = table(spark, sf, "pages").select(F.split("url", "/")[2].alias("host")).distinct()
     return names.orderBy(F.collate("host", "UNICODE"))

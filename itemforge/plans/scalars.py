@@ -321,7 +321,8 @@ def name_collisions(spark, sf):
     return assign(columns).select(F.col("source_id").alias("source"), "ordinal", F.col("column").alias("column_name"), "name", "collided")
 
 
-@query("strict_words", "STR-06")
+@query("strict_words", "STR-06", f"""WITH {S.TURNS}, w AS (SELECT eval_id, {S.fold('answer')} AS a, {S.fold("split_part(prompt, ' ', 1)")} AS w FROM turns)
+SELECT eval_id, w = '' OR regexp_matches(a, '(^|[^a-z0-9])' || regexp_escape(w) || '([^a-z0-9]|$)') AS whole_word FROM w""")
 def strict_words(spark, sf):
     w = turn_pairs(spark, sf).select("eval_id", tx.fold(F.col("answer")).alias("a"), tx.fold(F.substring_index("prompt", " ", 1)).alias("w"))
     return w.select("eval_id", tx.contains_word(F.col("a"), F.col("w")).alias("whole_word"))
