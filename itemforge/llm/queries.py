@@ -1,9 +1,10 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import mixing
+from itemforge.llm import bpe, mixing
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
