@@ -1,8 +1,9 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, mixing
+from itemforge.llm import bpe, mixing, token_files
 
 QUERIES = {
+    "op1_tokens": token_files.op1_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
