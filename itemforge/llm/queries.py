@@ -1,10 +1,11 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, jaccard, langid, mixing, token_files
+from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, token_files
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
     "op3_mixing": mixing.op3_mixing,
+    "op4_hnsw": hnsw.op4_hnsw,
     "op6_jaccard": jaccard.op6_jaccard,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
