@@ -1,15 +1,19 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, token_files
+from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, token_files, topk, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op4_hnsw": hnsw.op4_hnsw,
+    "op5_warc": warc.op5_warc,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_topk": topk.op7_topk,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
+    "op5_warc": warc.SQL,
+    "op7_topk": topk.SQL,
 }
