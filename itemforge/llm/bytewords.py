@@ -39,15 +39,15 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows of at most ``limit`` text bytes, one row where a row is longer. Null is empty."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of rows of at most ``limit`` text bytes and ``most`` rows, one row where a row is longer. Null is empty."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
     _, where, data = texts.buffers()
     offsets = np.frombuffer(where, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        end = min(at + most, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1))
         yield batch.slice(at, end - at), raw[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 

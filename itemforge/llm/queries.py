@@ -1,9 +1,10 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, token_files, topk, warc
+from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
+    "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op4_hnsw": hnsw.op4_hnsw,
     "op5_warc": warc.op5_warc,
