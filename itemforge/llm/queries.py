@@ -1,6 +1,6 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, hnsw, jaccard, langid, mixing, quality, token_files, topk, warc
+from itemforge.llm import bpe, hnsw, jaccard, langid, lines, mixing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_topk": topk.op7_topk,
+    "op8_lines": lines.op8_lines,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
 }
