@@ -188,7 +188,7 @@ _classes: list[np.ndarray] = []
 def char_classes() -> np.ndarray:
     """Letter, number, white space or other for every code point."""
     if not _classes:
-        points = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+        points = "".join(chr(i) for i in range(0x40000) if not 0xD800 <= i < 0xE000)  # no such characters beyond
         kinds = np.zeros(0x110000, np.uint8)
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, points):
@@ -301,9 +301,9 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encode_table(docs: DataFrame, words: Broadcast, keep: list[str]) -> DataFrame:
-    """The kept columns, ``ids`` (array of int) and the text that decoding the ids gives."""
-    read = docs.select(*keep, docs["text"].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", ids array<int>, decoded string"
+    """The kept columns, n_tokens, ids, and whether decoding the ids gives the text back."""
+    read = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long, ids array<int>, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = words.value
@@ -312,10 +312,13 @@ def encode_table(docs: DataFrame, words: Broadcast, keep: list[str]) -> DataFram
             for rows, data, offsets in text_slices(batch, "_text"):
                 ids, before = memory.ids(data, offsets)
                 raw, at = vocab.bytes_of(ids)
-                raw = raw.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[before[:-1]].tolist(), at[before[1:]].tolist())]
+                same = np.diff(at[before]) == np.diff(offsets)
+                if same.all():
+                    wrong = np.concatenate([[0], np.cumsum(raw != data)])[offsets]
+                    same = np.diff(wrong) == 0
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(np.diff(before), pa.int64()), lists, pa.array(same)],
+                                                 [*keep, "n_tokens", "ids", "round_trip"])
     return read.mapInArrow(run, schema)
 
 
