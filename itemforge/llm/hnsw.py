@@ -12,8 +12,8 @@ costs n rows, not n^2. Components are the connected components of those edges, w
 Scale: every class visits every shard of its label, as the method asks; a label's hot share is spread over its shards.
 A task holds one shard (graph and vectors) and one batch of queries. Recall measured on the test tables: 1.00.
 
-Cases: null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing and
-are their own component; vectors of different lengths are never compared; repeated rows count as vectors of their own;
+Cases: null labels, null vec_ids and vectors that are null, empty, zero or hold null or non-finite components link with
+nothing and are their own component; vectors of different lengths are never compared; repeated rows count as vectors of their own;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -223,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed, sizes = _vectors(batch.column(1))
-            known = pc.is_valid(batch.column(2)).to_pylist()
+            known = pc.and_(pc.is_valid(batch.column(2)), pc.is_valid(batch.column(0))).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array([x if k else None for x, k in zip(packed, known)], pa.binary())],
                                              ["vec_id", "label", "dim", "vector"])
     read = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), "embedding", vectors["label"].cast("string").alias("label"))

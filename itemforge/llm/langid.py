@@ -37,7 +37,7 @@ from itemforge.llm.bytewords import text_slices
 from itemforge.llm.shared import held_out, table
 
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, TABLE_MB, LANE = 300, 2_000, 30_000, 64, 512
-BLANK, UNKNOWN, PAD = 0, 1, 2
+BLANK, UNKNOWN = 0, 1
 NONE = "und"
 SENTENCE = regex.compile(r"[.!?|\n]+\s*")
 
@@ -88,7 +88,7 @@ class Model:
     def symbols(self) -> np.ndarray:
         """The symbol of every code point."""
         if not hasattr(self, "_symbols"):
-            known = {c: i + 3 for i, c in enumerate(self.letters)}
+            known = {c: i + 2 for i, c in enumerate(self.letters)}
             classes = char_classes()
             out = np.where(classes == LETTER, UNKNOWN, BLANK).astype(np.int32)
             for point in np.flatnonzero(classes == LETTER):
@@ -119,7 +119,7 @@ class Model:
         first, last, owner = first[order], last[order], owner[order]
         lengths = last - first
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        phrases = np.ones_like(state)
+        phrases = np.zeros_like(state)
         for step in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -step, side="left"))
             to = self.moves[state[:, :live] + found[first[:live] + step]]
@@ -148,22 +148,22 @@ def build(samples: dict[str, list[str]]) -> Model:
         for c in text.replace(" ", ""):
             counts[c] = counts.get(c, 0) + 1
     letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:4_000])
-    width = len(letters) + 3
+    width = len(letters) + 2
     if cleaned:
         cut = max(200, min(cut, (TABLE_MB << 20) // (len(cleaned) * 2 * width * 4)))
-    known = {c: i + 3 for i, c in enumerate(letters)} | {" ": BLANK}
+    known = {c: i + 2 for i, c in enumerate(letters)} | {" ": BLANK}
     tables, roots, bits, base = [], [], [], 0
     for text in cleaned.values():
         symbols = [known.get(c, UNKNOWN) for c in text[:cut]]
         moves = suffix_automaton([s for s in symbols if s != UNKNOWN], width)
-        states = np.arange(len(moves))
-        again = np.where(moves[0] >= 0, moves[0], 0)  # a new phrase opens with this symbol, or is this symbol alone
+        closed = len(moves)  # one more state, where every symbol opens a phrase: at the start and after a symbol never seen
+        again = np.where(moves[0] >= 0, moves[0], closed)
+        moves = np.concatenate([moves, np.full((1, width), -1)])
         moves = np.where(moves >= 0, (moves + base) * width, ~((again + base) * width)[None, :])
-        moves[:, PAD] = (states + base) * width
         tables.append(moves.astype(np.int32).ravel())
-        roots.append(base * width)
+        roots.append((base + closed) * width)
         bits.append(np.log2(len(symbols) + 1))
-        base += len(states)
+        base += closed + 1
     return Model(list(cleaned), letters, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(bits))
 
 
