@@ -14,8 +14,8 @@ quarter of a block decodes alone, and a CRC-32. ``read_documents`` checks the su
 Payload: b"RANS", version 1, ids, blocks (unsigned 32-bit, little-endian), then per block: ids, words, checkpoints,
 CRC-32 of what follows; then per checkpoint 64 states (unsigned 64-bit) and a stream position (32-bit), then the words.
 
-The library sees every distinct pre-token of a task's texts once, which gives the ids of the whole texts, because
-byte-level encoding never crosses a pre-token; tokenizers of any other kind get the whole texts.
+The library's model encodes every distinct pre-token of a worker's texts once, which gives the ids of the whole texts,
+because byte-level encoding never crosses a pre-token; tokenizers of any other kind get the whole texts.
 
 Scale: one range shuffle of (doc_id, text); the ids are staged once in the shared folder, counted there (one row per
 id and task shuffled), and coded with no further shuffle. Files come from Spark's own writer, so lost tasks are redone.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from itemforge.llm.bpe import WordMemory
+from itemforge.llm.bpe import WordMemory, byte_alphabet
 from itemforge.llm.bytewords import text_slices
 from itemforge.llm.shared import discard, fresh_dir, table
 
@@ -46,6 +46,17 @@ SCALE_BITS, LANES, BLOCK, INTERVAL = 20, 64, 65_536, 256
 _LOW = np.uint64(1 << 32)
 
 
+_encoders: dict[str, "LibraryEncoder"] = {}
+
+
+def encoder_of(text: str) -> "LibraryEncoder":
+    """The encoder of this Python worker, kept from task to task."""
+    if text not in _encoders:
+        _encoders.clear()
+        _encoders[text] = LibraryEncoder(text)
+    return _encoders[text]
+
+
 class LibraryEncoder:
     """Ids of many texts from the tokenizers library."""
 
@@ -56,21 +67,23 @@ class LibraryEncoder:
         added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in model.get("added_tokens", []))
         split = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and model.get("normalizer") is None and plain
+        self.stand_in = {byte: char for char, byte in byte_alphabet().items()}
         self.memory = WordMemory(self._words, added) if split else None
 
     def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        return self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())])
+        spelled = data.tobytes().decode("latin-1").translate(self.stand_in)  # one character for each byte
+        found = [[t.id for t in self.tokenizer.model.tokenize(spelled[a:b])] for a, b in zip(starts.tolist(), ends.tolist())]
+        return np.array([len(f) for f in found], np.int64), np.fromiter((i for f in found for i in f), np.int64)
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return np.array([len(i) for i in found], np.int64), np.array([i for ids in found for i in ids], np.int64)
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([len(f) for f in found], np.int64), np.concatenate([*found, np.zeros(0, np.int64)])
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.memory:
             return self.memory.ids(data, offsets)
         raw = data.tobytes()
-        counts, ids = self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        counts, ids = self._whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
@@ -183,7 +196,7 @@ class Coder:
 
 def _stage_ids(docs: DataFrame, tokenizer: Broadcast, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, first = LibraryEncoder(tokenizer.value), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, first = encoder_of(tokenizer.value), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 ids, before = encoder.ids(data, offsets)
