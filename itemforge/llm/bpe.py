@@ -199,14 +199,19 @@ def char_classes() -> np.ndarray:
     return _classes[0]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes and the byte each starts at."""
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(place) != len(chars):
+        raise ValueError("text is not UTF-8")
+    return chars, place
+
+
 def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte starts of the pre-tokens of the byte-level pattern: contractions, runs of letters, numbers or signs, each
     with one blank before it, and white space, whose last character stays apart before anything else."""
-    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    wide = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
-    place = np.concatenate([[0], np.cumsum(wide)])
-    if place[-1] != len(data):
-        raise ValueError("text is not UTF-8")
+    chars, place = code_points(data)
     n = len(chars)
     if not n:
         return np.zeros(0, np.int64)
@@ -228,7 +233,7 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         opens[at + 1] = False
         rest = at + size
         opens[rest[rest < n]] = True
-    return place[:-1][opens]
+    return place[opens]
 
 
 class WordMemory:

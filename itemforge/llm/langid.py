@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemforge.llm.bpe import LETTER, char_classes
+from itemforge.llm.bpe import LETTER, char_classes, code_points
 from itemforge.llm.bytewords import text_slices
 from itemforge.llm.shared import held_out, table
 
@@ -98,9 +98,7 @@ class Model:
 
     def parse(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (languages, documents), symbols and letters of every document."""
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        wide = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
-        place = np.concatenate([[0], np.cumsum(wide)])
+        chars, place = code_points(data)
         bounds = np.searchsorted(place, offsets)
         found = self.symbols()[chars]
         letters = np.diff(np.concatenate([[0], np.cumsum(found != BLANK)])[bounds])

@@ -7,12 +7,12 @@ order of doc_id, three Parquet tables under one folder:
 * ``parts``: part, start. Ids before each part of the document order; one row per writing task.
 * ``chunks``: part, seq, first (ids before the chunk in its part), doc_ids, lengths, payload.
 
-A payload holds independent blocks of 65,536 ids. A block runs 64 interleaved coders (id i belongs to coder i mod 64)
-that share one stream of 32-bit words, and stores the coders' states and the stream position every 256 rounds, so each
-quarter of a block decodes alone, and a CRC-32. ``read_documents`` checks the sums and decodes all quarters together.
+A payload holds independent blocks of 65,536 ids. A block runs 256 interleaved coders (id i belongs to coder i mod 256)
+that share one stream of 32-bit words, and stores the coders' states and the stream position every 128 rounds, so each
+half of a block decodes alone, and a CRC-32. ``read_documents`` checks the sums and decodes all halves together.
 
 Payload: b"RANS", version 1, ids, blocks (unsigned 32-bit, little-endian), then per block: ids, words, checkpoints,
-CRC-32 of what follows; then per checkpoint 64 states (unsigned 64-bit) and a stream position (32-bit), then the words.
+CRC-32 of what follows; then per checkpoint 256 states (unsigned 64-bit) and a stream position (32-bit), then the words.
 
 The library's model encodes every distinct pre-token of a worker's texts once, which gives the ids of the whole texts,
 because byte-level encoding never crosses a pre-token; tokenizers of any other kind get the whole texts.
@@ -42,7 +42,7 @@ from itemforge.llm.bpe import WordMemory, byte_alphabet
 from itemforge.llm.bytewords import text_slices
 from itemforge.llm.shared import discard, fresh_dir, table
 
-SCALE_BITS, LANES, BLOCK, INTERVAL = 20, 64, 65_536, 256
+SCALE_BITS, LANES, BLOCK, INTERVAL = 20, 256, 65_536, 128
 _LOW = np.uint64(1 << 32)
 
 
