@@ -31,10 +31,18 @@ def exact_mean(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Number as text, integral values without a fraction."""
+    """Number as text: no fraction for integral values, plain digits from 1e-6 up to 1e21, else an exponent like 1.5e-7."""
     d = c.cast("double")
-    whole = d == F.floor(d)
-    return F.when(whole & (F.abs(d) < 1e18), F.floor(d).cast("string")).otherwise(d.cast("string"))
+    size, shortest = F.abs(d), d.cast("string")
+
+    def plain(scale: int) -> Column:
+        return F.regexp_replace(d.try_cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+    power = F.replace(F.replace(F.replace(shortest, F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+"))
+    return (F.when((d == F.floor(d)) & (size < 1e18), F.floor(d).cast("string"))
+            .when(F.isnan(d) | (size == float("inf")), shortest)
+            .when((size >= 1e21) | (size < 1e-6), power)
+            .when(size >= 1e18, d.try_cast("decimal(38,0)").cast("string"))
+            .when(size >= 1e7, plain(14)).when(size < 1e-3, plain(24)).otherwise(shortest))
 
 
 def scalar_text(c: Column, kind: str) -> Column:

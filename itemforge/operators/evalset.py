@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from itemforge.functions import ids
 from itemforge.functions import text as tx
 from itemforge.operators.documents import with_norms
-from itemforge.session import filter_settled, stage, within_limit
+from itemforge.session import filter_settled, stage
 
 # Keys tried for the title and the identity of a record, and further wanted facts.
 TITLE_KEYS = ("title", "displayName", "name", "primaryName", "country", "countryName", "entity", "condition", "recordId", "id")
 ID_KEYS = ("id", "recordId", "nctId", "trialId", "studyId", "code", "countryiso3code", "country", "countryName")
 MORE_KEYS = ("year", "status", "condition", "intervention", "sponsor", "phase", "value")
-MAX_FINGERPRINT_ROWS = 200_000
 
 
 def parse_facts(facts: Column) -> Column:
@@ -125,37 +124,29 @@ def canonical_items(evals: DataFrame) -> DataFrame:
     return shaped.withColumn("canonical", F.to_json(F.struct(*shaped.columns)))
 
 
-def ordered_digest(lines: DataFrame, order: list[Column], line: str, max_rows: int = MAX_FINGERPRINT_ROWS) -> DataFrame:
-    """SHA-256 over lines joined by newlines in a given order: one row (hash, n).
+def digest_tree(lines: DataFrame, line: str) -> DataFrame:
+    """Order-insensitive SHA-256 over lines: one row (hash, n), the same tree at every size.
 
-    One digest over one long text cannot be split, so it is only taken below a checked row bound
-    (one line per file or per evaluation item). Past it, lines are digested in 256 order-preserving
-    groups and the group digests are digested again, marked as ``sha256-tree``.
+    Every line is digested; digests with the same four leading hex digits are sorted, joined by newlines and digested,
+    then those with the same two, then all. Digests are uniform, so the groups stay even whatever the lines hold, and
+    the last two levels join at most 256 digests each.
     """
-    if within_limit(lines, max_rows):
-        picked = F.array_sort(F.collect_list(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.col(line).alias("line"))))
-        text = F.array_join(F.transform(picked, lambda x: x["line"]), "\n")
-        return lines.agg(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("hash"), F.count(F.lit(1)).alias("n"))
-    leaf = lines.select(F.sha2(F.concat_ws("\t", *[o.cast("string") for o in order], F.col(line)), 256).alias("h"))
-    # digests are uniform, so groups by leading bytes stay even whatever the lines hold
-    level = leaf.groupBy(F.substring("h", 1, 4).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    top = level.groupBy(F.substring("g", 1, 2).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.sum("n").alias("n"))
-    return top.agg(F.concat(F.lit("sha256-tree:"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256)).alias("hash"),
-                   F.sum("n").alias("n"))
+    joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h")
+    leaf = lines.select(F.sha2(F.col(line), 256).alias("h"))
+    groups = leaf.groupBy(F.substring("h", 1, 4).alias("g")).agg(joined, F.count(F.lit(1)).alias("n"))
+    tops = groups.groupBy(F.substring("g", 1, 2).alias("g")).agg(joined, F.sum("n").alias("n"))
+    return tops.agg(joined, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.concat(F.lit("sha256-tree:"), "h").alias("hash"), "n")
 
 
 def evalset_fingerprint(evals: DataFrame) -> DataFrame:
     """Order-insensitive hash of an evaluation set."""
-    items = canonical_items(evals)
-    return ordered_digest(items.withColumn("_k", F.collate("id", "UNICODE")), [F.col("_k"), F.col("canonical")], "canonical")
+    return digest_tree(canonical_items(evals), "canonical")
 
 
 def dataset_fingerprint(files: DataFrame) -> DataFrame:
     """Hash over (path, sha256, bytes) of every file, path in lower case."""
     line = F.concat_ws("\t", F.lower("path"), "sha256", F.col("bytes").cast("string"))
-    return ordered_digest(files.withColumns({"_line": line, "_k": F.collate(F.lower("path"), "UNICODE")}), [F.col("_k")], "_line")
+    return digest_tree(files.select(line.alias("_line")), "_line")
 
 
 def fact_key_counts(evals: DataFrame) -> DataFrame:

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import once
 from itemforge.operators.records import fact_value_for
-from itemforge.session import filter_settled, within_limit
+from itemforge.session import filter_settled
 
-# A phrase set up to this size is compiled into one automaton and shipped to the tasks.
-SHIPPED_PHRASES = 20_000
-SHIPPED_CHARS = 4_000_000
+# Characters of a word that anchor a phrase of one or two words.
 GRAM = 6
 
 
@@ -154,56 +149,18 @@ def phrases_of(evals: DataFrame) -> DataFrame:
         F.col("phrase") != "").distinct()
 
 
-def match_by_content(items: DataFrame, evals: DataFrame, *, shipped_phrases: int = SHIPPED_PHRASES) -> DataFrame:
+def match_by_content(items: DataFrame, evals: DataFrame) -> DataFrame:
     """Items whose lowered content holds any assertion of an evaluation item.
 
-    Never a nested loop. A phrase set under a checked size becomes one automaton per task, one pass over
-    each text. A larger set is joined on an anchor every text holding the phrase must also hold.
+    Never a nested loop, whatever the number of phrases: a phrase is joined on an anchor that every text holding it
+    must also hold, and the candidates are verified against the text.
     """
     phrases = phrases_of(evals)
-    distinct = phrases.select("phrase").distinct()
-    small = within_limit(distinct, shipped_phrases) and (
-        (distinct.agg(F.sum(F.length("phrase")).alias("n")).first()["n"] or 0) <= SHIPPED_CHARS)
     content = items.select("item_id", F.lower("content").alias("content"))
-    hits = _scan_with_automaton(content, distinct) if small else _join_on_anchors(content, distinct)
+    hits = _join_on_anchors(content, phrases.select("phrase").distinct())
     return hits.join(phrases, "phrase").select("item_id", "eval_id").distinct()
 
 
-_compiled: dict[int, object] = {}
-
-
-def _finder(shared):
-    """Automaton of the shared phrases, built once per Python worker."""
-    if shared.value["id"] not in _compiled:
-        phrases = shared.value["phrases"]
-        try:
-            import ahocorasick
-            automaton = ahocorasick.Automaton()
-            for i, p in enumerate(phrases):
-                automaton.add_word(p, i)
-            automaton.make_automaton()
-            find = lambda text: sorted({i for _, i in automaton.iter(text)})
-        except ImportError:
-            find = lambda text: [i for i, p in enumerate(phrases) if p in text]
-        _compiled[shared.value["id"]] = find
-    return _compiled[shared.value["id"]]
-
-
-def _scan_with_automaton(content: DataFrame, distinct: DataFrame) -> DataFrame:
-    phrases = sorted(r["phrase"] for r in distinct.collect())  # bounded by the size check of the caller
-    key = hash(tuple(phrases))
-    shared = content.sparkSession.sparkContext.broadcast({"id": key, "phrases": phrases})
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def found(texts: pd.Series) -> pd.Series:
-        if not shared.value["phrases"]:
-            return texts.map(lambda t: [])
-        find = _finder(shared)
-        return texts.map(lambda t: [shared.value["phrases"][i] for i in find(t)], na_action="ignore")
-    hits = content.select("item_id", once(found)("content").alias("found"))
-    return hits.select("item_id", F.explode("found").alias("phrase"))
-
-
 def _join_on_anchors(content: DataFrame, distinct: DataFrame) -> DataFrame:
     """Exact containment by equi joins over the vocabulary of the texts.
 

@@ -35,12 +35,6 @@ def content_matches(spark, sf):
     return matching.match_by_content(doc_items(spark, sf), passage_items(spark, sf))
 
 
-@query("content_matches_anchored", "JOIN-04", f"WITH {_EDGES} SELECT item_id, eval_id FROM edges")
-def content_matches_anchored(spark, sf):
-    """The same matches through the path for phrase sets too large to ship."""
-    return matching.match_by_content(doc_items(spark, sf), passage_items(spark, sf), shipped_phrases=0)
-
-
 @query("unmatched_items", "JOIN-06", f"WITH {_EDGES} SELECT CAST(item_id AS VARCHAR) AS eval_id FROM benchmark WHERE CAST(item_id AS VARCHAR) NOT IN (SELECT eval_id FROM edges)")
 def unmatched_items(spark, sf):
     e = passage_items(spark, sf)
@@ -171,13 +165,17 @@ def canonical_eval_items(spark, sf):
     return evalset.canonical_items(canonical_source(spark, sf)).select("id", "canonical")
 
 
-@query("evalset_fingerprint", "AGG-22 SRT-02", f"WITH {_CANON} SELECT 'sha256:' || sha256(string_agg(canonical, chr(10) ORDER BY id, canonical)) AS hash, count(*) AS n FROM j")
+_TREE = """g AS (SELECT substr(h, 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM l GROUP BY 1),
+ t AS (SELECT substr(g, 1, 2) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, sum(n) AS n FROM g GROUP BY 1)
+ SELECT 'sha256-tree:' || sha256(string_agg(h, chr(10) ORDER BY h)) AS hash, sum(n)::BIGINT AS n FROM t"""
+
+
+@query("evalset_fingerprint", "AGG-22 SRT-02", f"WITH {_CANON}, l AS (SELECT sha256(canonical) AS h FROM j), {_TREE}")
 def evalset_fingerprint(spark, sf):
     return evalset.evalset_fingerprint(canonical_source(spark, sf))
 
 
-@query("dataset_fingerprint", "AGG-21", """WITH f AS (SELECT 'docs/' || source || '-' || doc_id || '.txt' AS path, sha256(text) AS h, octet_length(encode(text)) AS b FROM documents)
-SELECT 'sha256:' || sha256(string_agg(path || chr(9) || h || chr(9) || b, chr(10) ORDER BY path)) AS hash, count(*) AS n FROM f""")
+@query("dataset_fingerprint", "AGG-21", """WITH f AS (SELECT 'docs/' || source || '-' || doc_id || '.txt' AS path, sha256(text) AS h, octet_length(encode(text)) AS b FROM documents)""" + f", l AS (SELECT sha256(path || chr(9) || h || chr(9) || b) AS h FROM f), {_TREE}")
 def dataset_fingerprint(spark, sf):
     files = table(spark, sf, "documents").select(
         F.concat(F.lit("Docs/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),

@@ -80,6 +80,14 @@ def raw_items(spark, sf):
     return readers.envelope_or_raw(records).select("ordinal", "id", "enveloped", F.col("error").isNotNull().alias("failed"))
 
 
+@query("newest_versions", "SNK-08 STM-04", """SELECT user_id AS id, event_id FROM (SELECT user_id, event_id, row_number() OVER (
+ PARTITION BY user_id ORDER BY event_id % 12 DESC, event_id DESC) AS place FROM events) WHERE place = 1""")
+def newest_versions(spark, sf):
+    """The newest row of a log of twelve versions, v10 after v9."""
+    log = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", F.concat(F.lit("v"), (F.col("event_id") % 12).cast("string")).alias("version"), F.col("event_id").alias("batch"))
+    return last_wins(log, ["id"], writers.version_place(F.col("version"), F.col("batch"))).select("id", "event_id")
+
+
 @query("upsert_latest", "SNK-08 WIN-06 STM-04", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def upsert_latest(spark, sf):
     """Two overlapping batches, the first applied twice: what the item table would hold."""

@@ -158,6 +158,15 @@ def scalar_texts(spark, sf):
                     nm.scalar_text(F.lit(None).cast("string"), "string").alias("missing"))
 
 
+@query("wide_numbers", "STR-18 PRJ-20 PRJ-22", """SELECT o_orderkey, (o_orderkey + 12345678) || '.25' AS large,
+ CASE WHEN o_orderkey >= 1000 THEN '0.' || rtrim(lpad(o_orderkey::VARCHAR, 9, '0'), '0')
+  ELSE rtrim(substr(o_orderkey::VARCHAR, 1, 1) || CASE WHEN rtrim(substr(o_orderkey::VARCHAR, 2), '0') <> '' THEN '.' || rtrim(substr(o_orderkey::VARCHAR, 2), '0') ELSE '' END, '.')
+   || 'e-' || (10 - length(o_orderkey::VARCHAR)) END AS small FROM orders WHERE o_orderkey > 0""")
+def wide_numbers(spark, sf):
+    key = F.col("o_orderkey").cast("double")
+    return table(spark, sf, "orders").filter("o_orderkey > 0").select("o_orderkey", nm.number_text(key + 12345678.25).alias("large"), nm.number_text(key / 1e9).alias("small"))
+
+
 @query("short_ids", "STR-19", f"SELECT conv_id, turn, {S.short_hash('text')} AS short_id FROM conversations")
 def short_ids(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", ids.short_hash(F.col("text")).alias("short_id"))
@@ -219,12 +228,12 @@ def map_merge(spark, sf):
                          mean_of_map(F.col("n")).alias("mean_score"), F.size("n").alias("numeric_keys"))
 
 
-@query("json_parse", "JSN-01 JSN-04 SRC-05", """WITH l AS (SELECT event_id, props AS v FROM events UNION ALL SELECT -1 - doc_id, substr(text, 1, 40) FROM documents)
+@query("json_parse", "JSN-01 JSN-04 SRC-05", """WITH l AS (SELECT event_id, props AS v FROM events UNION ALL SELECT -1 - doc_id, text FROM documents)
 SELECT event_id, json_valid(v) AS parsed, coalesce(try(json_type(v)) = 'OBJECT', false) AS is_object, coalesce(TRY_CAST(try(json_extract_string(v, '$.k')) AS BIGINT), -1) AS k FROM l""")
 def json_parse(spark, sf):
     from itemforge.sources.readers import is_object
     events = table(spark, sf, "events").select("event_id", F.col("props").alias("v"))
-    lines = events.unionByName(table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("event_id"), F.substring("text", 1, 40).alias("v")))
+    lines = events.unionByName(table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("event_id"), F.col("text").alias("v")))
     return lines.select("event_id", F.try_parse_json("v").isNotNull().alias("parsed"), is_object(F.col("v")).alias("is_object"),
                         F.coalesce(F.try_variant_get(F.try_parse_json("v"), "$.k", "bigint"), F.lit(-1).cast("long")).alias("k"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder when the cluster names one; otherwise leave the plan.
+    """Cut lineage through the shared folder that the cluster names; a missing folder is an error.
 
     Only reliable checkpoints are used, so a lost executor never loses the staged rows.
     """
@@ -40,16 +42,13 @@ def stage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = checkpoint_dir(spark)
         if folder is None:
-            return df
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="itemforge-")  # one machine: local mode
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def within_limit(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def filter_settled(df: DataFrame, condition) -> DataFrame:
     """Filter on costly computed columns without the optimizer copying their expressions below.
 

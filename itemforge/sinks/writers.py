@@ -117,11 +117,16 @@ def upsert_batch(items: DataFrame, target: str, version: str, batch_id: int) ->
     latest.write.mode("overwrite").parquet(f"{target}/version={version}/batch={batch_id:012d}")
 
 
+def version_place(version: Column, batch: Column) -> Column:
+    """Order of a batch: the numbers inside its version one by one (v9 before v10), the version as text, the batch."""
+    numbers = F.transform(F.regexp_extract_all(version.cast("string"), F.lit("([0-9]+)")), lambda n: n.cast("decimal(38,0)"))
+    return F.struct(numbers.alias("numbers"), version.cast("string").alias("version"), batch.cast("long").alias("batch"))
+
+
 def latest_items(spark: SparkSession, target: str) -> DataFrame:
     """Current item per id: the newest batch that holds it."""
     log = spark.read.option("basePath", target).parquet(target)
-    place = F.struct(F.col("version").cast("string"), F.col("batch").cast("long"))
-    return last_wins(log, ["id"], place).drop("version", "batch")
+    return last_wins(log, ["id"], version_place(F.col("version"), F.col("batch"))).drop("version", "batch")
 
 
 def compact(spark: SparkSession, target: str, new_target: str, version: str) -> None:

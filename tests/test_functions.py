@@ -64,3 +64,22 @@ def test_flatteners():
     flat = arrow.flat_for_search(record)
     assert flat["city"] == "NYC" and flat["address.city"] == "NYC" and flat["tags"] == "x; y" and flat["rows.1.n"] == "2"
     assert arrow.sorted_json({"b": [1, {"d": 1, "c": None}], "a": 1.0}) == '{"a":1,"b":[1,{"c":null,"d":1}]}'
+
+
+def test_number_text(spark):
+    from pyspark.sql import functions as F
+
+    from itemforge.functions.numbers import number_text
+    cases = {12345678.9: "12345678.9", 0.5: "0.5", 3.0: "3", -0.25: "-0.25", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e300: "1.5e+300", 1e-6: "0.000001", 1.5e-7: "1.5e-7",
+             0.00012: "0.00012", -123456789.125: "-123456789.125", 1e7 + 0.5: "10000000.5", 1e-7: "1e-7", 0.001: "0.001", 0.0: "0"}
+    rows = spark.createDataFrame([(k,) for k in cases], "x double")
+    assert [r.t for r in rows.select(number_text(F.col("x")).alias("t")).collect()] == list(cases.values())
+
+
+def test_version_order(spark):
+    from pyspark.sql import functions as F
+
+    from itemforge.sinks.writers import version_place
+    rows = spark.createDataFrame([("v9", 3), ("v10", 1), ("v10", 2), ("v2", 9), ("2024-01-31", 0), ("2024-02-01", 0)], "version string, batch long")
+    ordered = rows.orderBy(version_place(F.col("version"), F.col("batch"))).collect()
+    assert [tuple(r) for r in ordered] == [("v2", 9), ("v9", 3), ("v10", 1), ("v10", 2), ("2024-01-31", 0), ("2024-02-01", 0)]

@@ -101,8 +101,7 @@ def test_content_paths_agree_with_brute_force(spark):
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, content string")
     evals = spark.createDataFrame([(p, [p, " "]) for p in phrases], "eval_id string, assertions array<string>")
     want = {(i, p) for i, t in enumerate(texts) for p in phrases if p in t.lower()}
-    for limit in (100, 0):
-        assert {tuple(r) for r in matching.match_by_content(items, evals, shipped_phrases=limit).collect()} == want
+    assert {tuple(r) for r in matching.match_by_content(items, evals).collect()} == want
 
 
 def test_grounding_case(spark):
