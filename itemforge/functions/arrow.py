@@ -151,14 +151,6 @@ def compact_json(v) -> str:
     return scalar(v)
 
 
-def sorted_json(v) -> str:
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{sorted_json(v[k])}" for k in sorted(v)) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(sorted_json, v)) + "]"
-    return compact_json(v)
-
-
 def _nested(v) -> bool:
     return isinstance(v, (dict, list))
 
@@ -216,71 +208,6 @@ def flat_for_search(value, prefix: str = "") -> dict[str, str]:
     return out
 
 
-def flat_for_identity(value: dict, prefix: str = "") -> dict[str, str]:
-    """Nulls become blank, scalar arrays join by ``, ``, arrays holding objects stay compact JSON."""
-    out: dict[str, str] = {}
-    for k, x in value.items():
-        key = _dotted(prefix, k)
-        if x is None:
-            out[key] = ""
-        elif isinstance(x, dict):
-            out.update(flat_for_identity(x, key))
-        elif isinstance(x, list):
-            plain = not any(_nested(y) for y in x)
-            out[key] = ", ".join(t for t in ("" if y is None else scalar(y) for y in x) if t) if plain else compact_json(x)
-        else:
-            out[key] = scalar(x)
-    return out
-
-
-def flat_for_eval(value: dict, prefix: str = "") -> dict[str, str]:
-    """Nulls vanish, the first five scalars of an array join, only its first object is followed."""
-    out: dict[str, str] = {}
-    for k, x in value.items():
-        key = _dotted(prefix, k)
-        if isinstance(x, list):
-            texts = [t for t in (("" if y is None else scalar(y).strip(_WS)) for y in x if not _nested(y)) if t]
-            if texts:
-                out[key] = ", ".join(texts[:5])
-            inner = next((y for y in x if isinstance(y, dict)), None)
-            if inner is not None:
-                out.update(flat_for_eval(inner, key))
-        elif isinstance(x, dict):
-            out.update(flat_for_eval(x, key))
-        elif x is not None:
-            out[key] = scalar(x).strip(_WS)
-    return out
-
-
-# Keys whose long text becomes a section of its own.
-_BODY_KEYS = {"body", "content", "text", "summary", "description", "excerpt", "message"}
-
-
-def _label(key: str) -> str:
-    text = re.sub("([a-z])([A-Z])", r"\1 \2", re.sub(r"[_\-]+", " ", key)).strip(_WS)
-    return text[:1].upper() + text[1:] if text else "Value"
-
-
-def outline(value, heading: str = "", level: int = 1) -> str:
-    """Headings for nested keys, bullets for scalars, long body fields as sections."""
-    top = f"{'#' * min(level, 6)} {heading}\n\n" if heading else ""
-    if isinstance(value, list):
-        parts = [outline(x, f"Item {i + 1}", level + 1) if _nested(x) else f"- {scalar(x)}" for i, x in enumerate(value)]
-    elif isinstance(value, dict):
-        parts = []
-        for k, x in value.items():
-            text = None if _nested(x) else scalar(x)
-            if text is None:
-                parts.append(outline(x, _label(k), level + 1))
-            elif text and len(text) > 120 and re.sub("[^a-z0-9]+", "", k.lower()) in _BODY_KEYS:
-                parts.append(outline(text, _label(k), level + 1))
-            elif text:
-                parts.append(f"- {_label(k)}: {text}")
-    else:
-        parts = [scalar(value)]
-    return (top + "\n\n".join(parts)).strip(_WS)
-
-
 def _parsed(text):
     try:
         return json.loads(text, parse_constant=lambda name: (_ for _ in ()).throw(ValueError(name)))
@@ -288,37 +215,17 @@ def _parsed(text):
         return None
 
 
-_FLAT = {"search": flat_for_search, "identity": flat_for_identity, "eval": flat_for_eval}
 _ENTRIES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
 
 
-def flat_entries(mode: str):
-    """JSON text to ordered (key, value) entries; ``mode`` is search, identity or eval."""
-    flat = _FLAT[mode]
-
+@once
+@F.pandas_udf(_ENTRIES)
+def search_entries(s: pd.Series) -> pd.Series:
+    """JSON text to ordered (key, value) entries with an alias under each leaf name."""
     def entries(text):
         value = _parsed(text)
-        if not isinstance(value, dict):
-            if mode != "search":
-                value = {"value": value}
-            elif not isinstance(value, list):
-                return []
-        return [{"key": k, "value": v} for k, v in flat(value).items()]
-
-    @F.pandas_udf(_ENTRIES)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(entries, na_action="ignore")
-    return once(run)
-
-
-@F.pandas_udf(T.StringType())
-def outline_json(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: outline(_parsed(v)), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def canonical_json(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: sorted_json(_parsed(v)), na_action="ignore")
+        return [{"key": k, "value": v} for k, v in flat_for_search(value).items()] if _nested(value) else []
+    return s.map(entries, na_action="ignore")
 
 
 def packed_lists(size: int, overlap: int):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import flat_entries, record_roles
+from itemforge.functions.arrow import record_roles, search_entries
 from itemforge.operators.documents import STRUCTURED_KEYS, chunk_items, pick_values, structured_properties, with_norms
 from itemforge.session import filter_settled
 
@@ -139,15 +139,7 @@ def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
 
 
 def flatten_search(c: Column) -> Column:
-    return flat_entries("search")(c)
-
-
-def flatten_identity(c: Column) -> Column:
-    return flat_entries("identity")(c)
-
-
-def flatten_eval(c: Column) -> Column:
-    return flat_entries("eval")(c)
+    return search_entries(c)
 
 
 def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemforge.functions.arrow import window_chunks as cut_windows
+from itemforge.functions.json_tree import entry_rows, with_eval_entries, with_identity_entries, with_outline
 from itemforge.operators import documents as docs
 from itemforge.operators import json_items
 from itemforge.plans import sql as S
@@ -171,13 +172,13 @@ def json_flatten_search(spark, sf):
 @query("json_flatten_identity", "PRJ-13b", f"""WITH {_EVENT} SELECT event_id, unnest(['recordId','title','customProperties.k','customProperties.tags','customProperties.userId']) AS key,
  unnest([CAST(event_id AS VARCHAR), t || ' event', k, t, CAST(u AS VARCHAR)]) AS value FROM e""")
 def json_flatten_identity(spark, sf):
-    return event_json(spark, sf).select("event_id", F.inline(json_items.flatten_identity(F.col("value"))))
+    return entry_rows(with_identity_entries(event_json(spark, sf), "value", "e"), "e", "event_id")
 
 
 @query("json_flatten_eval", "PRJ-13c", f"""WITH {_EVENT} SELECT event_id, unnest(['recordId','title','customProperties.k','customProperties.tags','customProperties.userId']) AS key,
  unnest([CAST(event_id AS VARCHAR), t || ' event', k, t, CAST(u AS VARCHAR)]) AS value FROM e""")
 def json_flatten_eval(spark, sf):
-    return event_json(spark, sf).select("event_id", F.inline(json_items.flatten_eval(F.col("value"))))
+    return entry_rows(with_eval_entries(event_json(spark, sf), "value", "e"), "e", "event_id")
 
 
 @query("json_flatten_level1", "PRJ-16 JSN-04", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number FROM events")
@@ -191,8 +192,7 @@ def json_flatten_level1(spark, sf):
 @query("json_outline", "PRJ-14", f"""WITH {_EVENT} SELECT event_id, '- Record Id: ' || event_id || chr(10) || chr(10) || '- Title: ' || t || ' event' || chr(10) || chr(10) || '## Custom Properties' || chr(10) || chr(10) || '- K: ' || k
  || chr(10) || chr(10) || '### Tags' || chr(10) || chr(10) || '- ' || t || chr(10) || chr(10) || '-' || chr(10) || chr(10) || '- User Id: ' || u AS outline FROM e""")
 def json_outline(spark, sf):
-    from itemforge.functions.arrow import outline_json
-    return event_json(spark, sf).select("event_id", outline_json(F.col("value")).alias("outline"))
+    return with_outline(event_json(spark, sf), "value", "outline").select("event_id", "outline")
 
 
 _STRUCT = """t || ' event record.' || chr(10) || chr(10) || 'Canonical facts:' || chr(10) || '- domain: generic' || chr(10) || '- recordId: ' || event_id || chr(10) || '- title: ' || t || ' event' || chr(10) || chr(10)

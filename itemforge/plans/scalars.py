@@ -8,7 +8,7 @@ from itemforge.functions import ids
 from itemforge.functions import names as nm_
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import canonical_json
+from itemforge.functions.json_tree import canonical_json
 from itemforge.operators.scoring import mean_of_map, numeric_entries
 from itemforge.plans import sql as S
 from itemforge.plans.registry import query

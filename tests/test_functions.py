@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from itemforge.functions import arrow
@@ -57,13 +59,29 @@ def test_chunking_cases():
     assert all(len(c) <= 2001 for c in cuts) and cuts[0].startswith("word") and len(cuts) == 3
 
 
-def test_flatteners():
-    record = {"id": "a", "address": {"city": "NYC", "zip": "10001"}, "tags": ["x", "y"], "gone": None, "rows": [{"n": 1}, {"n": 2}]}
-    assert arrow.flat_for_identity(record) == {"id": "a", "address.city": "NYC", "address.zip": "10001", "tags": "x, y", "gone": "", "rows": '[{"n":1},{"n":2}]'}
-    assert arrow.flat_for_eval(record) == {"id": "a", "address.city": "NYC", "address.zip": "10001", "tags": "x, y", "rows.n": "1"}
+def test_flatteners(spark):
+    from pyspark.sql import functions as F
+
+    from itemforge.functions import json_tree
+    record = {"id": "a", "address": {"city": "NYC", "zip": "10001"}, "tags": ["x", "y"], "gone": None, "rows": [{"n": 1}, {"n": 2}], "deep": {"b": {"c": [[1, None], "z"], "d": {}}}, "price": 12345678.9}
+    rows = spark.createDataFrame([(json.dumps(record),), ('[1,{"a":2}]',), ("no json",)], "v string")
+    found = json_tree.with_eval_entries(json_tree.with_identity_entries(rows, "v", "i"), "v", "e").withColumn("c", json_tree.canonical_json(F.col("v"))).collect()
+    assert {e.key: e.value for e in found[0].i} == {"id": "a", "address.city": "NYC", "address.zip": "10001", "tags": "x, y", "gone": "", "rows": '[{"n":1},{"n":2}]', "deep.b.c": '[[1,null],"z"]',
+                                                    "price": "12345678.9"}
+    assert {e.key: e.value for e in found[0].e} == {"id": "a", "address.city": "NYC", "address.zip": "10001", "tags": "x, y", "rows.n": "1", "deep.b.c": "z", "price": "12345678.9"}
+    assert [e.key for e in found[0].i][:3] == ["id", "address.city", "address.zip"]
+    assert {e.key: e.value for e in found[1].i} == {"value": '[1,{"a":2}]'} and found[2].i is None and found[2].c == "null"
+    assert found[1].c == '[1,{"a":2}]'
     flat = arrow.flat_for_search(record)
     assert flat["city"] == "NYC" and flat["address.city"] == "NYC" and flat["tags"] == "x; y" and flat["rows.1.n"] == "2"
-    assert arrow.sorted_json({"b": [1, {"d": 1, "c": None}], "a": 1.0}) == '{"a":1,"b":[1,{"c":null,"d":1}]}'
+    ordered = spark.createDataFrame([('{"b": [1, {"d": 1, "c": null}], "a": 1.0}',)], "v string")
+    assert ordered.select(json_tree.canonical_json(F.col("v"))).first()[0] == '{"a":1,"b":[1,{"c":null,"d":1}]}'
+
+
+def test_outline_levels(spark):
+    from itemforge.functions import json_tree
+    rows = spark.createDataFrame([('{"title":"T","partsList":[{"a":1},2,""],"body":"' + "w" * 130 + '"}',)], "v string")
+    assert json_tree.with_outline(rows, "v", "o").first().o == "- Title: T\n\n## Parts List\n\n### Item 1\n\n- A: 1\n\n- 2\n\n-\n\n## Body\n\n" + "w" * 130
 
 
 def test_number_text(spark):
