@@ -183,10 +183,10 @@ def _join_on_anchors(content: DataFrame, distinct: DataFrame) -> DataFrame:
         F.col("w")[0], F.greatest(F.length(F.col("w")[0]) - GRAM + 1, F.lit(1))).alias("part"))).otherwise(
         F.struct(F.lit("start").alias("side"), F.substring(F.col("w")[1], 1, GRAM).alias("part")))
     two = split.filter("n_words = 2").select("phrase", edge.alias("e")).select("phrase", "e.side", "e.part")
-    edges = F.array(*[F.struct(F.lit(side).alias("side"), part.alias("part")) for g in range(1, GRAM + 1) for side, part in (
-        ("end", F.substr("token", F.length("token") - g + 1)), ("start", F.substring("token", 1, g)))])
+    cuts = [(r["side"], r["g"]) for r in two.select("side", F.length("part").alias("g")).distinct().collect()]  # at most 2 * GRAM rows
+    edges = F.array(*[F.struct(F.lit(side).alias("side"), (F.substr("token", F.length("token") - g + 1) if side == "end" else F.substring("token", 1, g)).alias("part")) for side, g in cuts])
     by_edge = (vocabulary.select("token", F.inline(F.filter(edges, lambda e: F.length(e["part"]) > 0))).distinct()
-               .join(two, ["side", "part"]).select("phrase", "token"))
+               .join(two, ["side", "part"]).select("phrase", "token")) if cuts else by_inner.limit(0)
 
     one = split.filter("n_words = 1").select("phrase", F.substring("phrase", 1, GRAM).alias("part"))
     sizes = [r["g"] for r in one.select(F.length("part").alias("g")).distinct().collect()]  # at most GRAM values
