@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from itemforge.functions.arrow import nfkd_fold, nfkd_lower
+from itemforge.functions.fixed import NAMED_ENTITIES, WS_CHARS, WS_CODES
 
-# Code points a script-style trim removes.
-WS_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
-            0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
-WS_CHARS = "".join(map(chr, WS_CODES))
 WS = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES) + "]"
 WS_INLINE = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code != 0x0A) + "]"
 WS_EXOTIC = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code not in (0x09, 0x0A, 0x20)) + "]"
@@ -19,10 +16,6 @@ WS_EXOTIC = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code not
 EMPTY_TOKENS = ("", "null", "none", "nan", "n/a", "na")
 USELESS_TOKENS = ("null", "none", "nan", "n/a")
 
-# Named entities in decode order.
-NAMED_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                  ("&#039;", "'"), ("&apos;", "'"))
-
 # Phrases that say nothing was found.
 NO_RESULT_PHRASES = ("no matching", "not found", "unable to return", "was not located",
                      "no records found", "could not find")

@@ -9,6 +9,7 @@ from itemforge.functions import ids
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
 from itemforge.functions.arrow import packed_lists
+from itemforge.functions.fixed import AUTHOR_KEYS, DATE_KEYS, ICON_KEYS, URL_KEYS
 from itemforge.operators.records import access_entries, capped
 
 CHUNK_SIZE = 2000
@@ -20,13 +21,7 @@ KINDS = {"txt": "text", "text": "text", "md": "markdown", "markdown": "markdown"
 MEDIA_TYPES = {"text": "text/plain", "markdown": "text/markdown", "html": "text/html",
                "json": "application/json", "jsonl": "application/jsonl"}
 
-# Names that mark an author, a date, a link or an icon.
-TITLE_KEYS = ("title", "name", "headline", "subject")
-AUTHOR_KEYS = ("author", "authors", "by", "byline", "creator", "createdby")
-DATE_KEYS = ("date", "published", "publisheddate", "publishedat", "created", "createdat", "updatedat", "timestamp")
-URL_KEYS = ("url", "link", "source", "sourceurl", "canonicalurl", "permalink")
-ICON_KEYS = ("icon", "iconurl", "image", "imageurl", "thumbnail", "thumbnailurl")
-
+# Patterns of a text head and of a heading line.
 _TEXT_META = r"(?i)^(author|byline|date|published|source|url)\s*:\s*(.+)$"
 _HEADING = r"^(#{1,6})\s+(\S.*)$"
 

@@ -144,10 +144,10 @@ def field_weights(spark, sf):
         F.col("field") == "quality", 1).otherwise(2).alias("ordinal"))
     filled = profile.file_stats(customer_records(spark, sf), CUSTOMER_HEADER).select(
         F.col("column").alias("field"), F.col("filled").alias("weight"), (F.col("position") + 100).alias("ordinal"))
-    from pyspark.sql import Window
     top = profile.field_weights(cited, filled, k=6)
-    # six rows: ranked after the cut
-    return top.select("field", "weight", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), "ordinal")).alias("place"))
+    # six rows: placed after the cut
+    ordered = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "ordinal", "field", "weight"))).alias("rows"))
+    return ordered.select(F.posexplode("rows").alias("at", "row")).select("row.field", "row.weight", (F.col("at") + 1).alias("place"))
 
 
 LONG_HEADER = ["indicatorId", "indicatorName", "countryName", "date", "value", "countryiso3code"]
