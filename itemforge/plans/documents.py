@@ -151,6 +151,26 @@ def all_chunk_items(spark, sf):
     return items.select("id", "title", "url", "chunk_index", "chunk_count", "content")
 
 
+@query("nested_headings", "GEN-01 WIN-08", """WITH n AS (SELECT item_id, unnest([1, 2, 3, 4]) AS i FROM benchmark)
+SELECT item_id, ['Top ' || item_id, 'Top ' || item_id || ' > Skip', 'Top ' || item_id || ' > Skip > Deep', 'Top ' || item_id || ' > Side'][i] AS section_path,
+ ['Top ' || item_id, 'Skip', 'Deep', 'Side'][i] AS heading, ['x' || item_id, 'y' || item_id, 'z' || item_id, 'w' || item_id][i] AS text FROM n""")
+def nested_headings(spark, sf):
+    """Levels 1, 3, 3 and 2: a path keeps the last level - 1 headings by position, so a skipped level closes up and a repeated one nests."""
+    n = F.col("item_id").cast("string")
+    body = F.concat(F.lit("# Top "), n, F.lit("\nx"), n, F.lit("\n\n### Skip\ny"), n, F.lit("\n### Deep\nz"), n, F.lit("\n## Side\nw"), n)
+    return table(spark, sf, "benchmark").select("item_id", F.inline(docs.heading_sections(body))).select("item_id", "section_path", "heading", "text")
+
+
+@query("packed_paragraphs", "GEN-03 GEN-05", """WITH n AS (SELECT item_id, unnest([0, 1]) AS i FROM benchmark)
+SELECT item_id, i::BIGINT AS chunk_index, CASE i WHEN 0 THEN repeat('a', 2500) ELSE repeat('a', 200) || chr(10) || chr(10) || 'tail ' || item_id END AS text FROM n""")
+def packed_paragraphs(spark, sf):
+    """A paragraph over the limit stays whole; the next chunk starts with its last 200 characters."""
+    from itemforge.functions.arrow import packed_chunks
+    body = F.concat(F.repeat(F.lit("a"), F.lit(2500)), F.lit("\n\n"), F.lit("tail "), F.col("item_id").cast("string"))
+    chunks = table(spark, sf, "benchmark").select("item_id", F.posexplode(packed_chunks(2000, 200)(body)).alias("chunk_index", "text"))
+    return chunks.select("item_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
 def event_json(spark, sf):
     """Events as nested records."""
     nested = F.struct(F.col("event_id").cast("string").alias("recordId"), F.concat(F.col("event_type"), F.lit(" event")).alias("title"),

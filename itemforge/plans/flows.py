@@ -30,6 +30,38 @@ def jsonl_scan(spark, sf):
     return r.select("ordinal", F.get_json_object("json", "$.k").alias("k"))
 
 
+@query("disguised_lines", "SRC-10", """WITH l AS (SELECT 'part-' || (user_id % 40) || CASE WHEN user_id % 2 = 0 THEN '.json' ELSE '.jsonl' END AS source_file, user_id % 8 <> 0 OR event_id % 5 <> 0 AS ok FROM events)
+SELECT source_file, count(*) AS lines FROM l WHERE source_file LIKE '%.json' GROUP BY 1 HAVING bool_and(ok) AND count(*) >= 2""")
+def disguised_lines(spark, sf):
+    """Events as lines of forty files; some files named .json also hold lines that are no objects."""
+    name = F.concat(F.lit("part-"), (F.col("user_id") % 40).cast("string"), F.when(F.col("user_id") % 2 == 0, ".json").otherwise(".jsonl"))
+    value = F.when((F.col("user_id") % 8 != 0) | (F.col("event_id") % 5 != 0), F.col("props")).otherwise("[1]")
+    return readers.json_lines_files(table(spark, sf, "events").select(name.alias("source_file"), F.col("event_id").alias("line"), value.alias("value")))
+
+
+@query("line_delimiters", "SRC-03", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM pages""")
+def line_delimiters(spark, sf):
+    """Header lines in four spellings; a quoted cell with other signs does not count."""
+    sep = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), (F.col("page_id") % 4 + 1).cast("int"))
+    head = F.concat_ws("\u0001", F.lit("id"), F.lit('"a,b;c|d\te"'), F.lit("url"), F.lit("size"))
+    return table(spark, sf, "pages").select("page_id", readers.delimiter_of(F.replace(head, F.lit("\u0001"), sep), F.lit("x.csv")).alias("delimiter"))
+
+
+@query("newest_runs", "FLT-12 SRT-06", """SELECT 'run-' || doc_id AS run_id, lpad(doc_id::VARCHAR, 12, '0') AS created_at FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+ORDER BY created_at DESC LIMIT 200""")
+def newest_runs(spark, sf):
+    """Runs of one mode that have a report, the newest first; the limit is the operator's own."""
+    marks = table(spark, sf, "labels")
+    run = F.concat(F.lit("run-"), F.col("doc_id").cast("string")).alias("run_id")
+    runs = marks.select(run, F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("created_at"), F.when(F.col("quality") == 1, "evaluate").otherwise("build").alias("mode"))
+    return readers.filter_runs(runs, mode="evaluate", scored=True, reports=marks.filter("toxic = 1").select(run)).select("run_id", "created_at")
+
+
+@query("required_items", "FLT-13", "SELECT page_id, url FROM pages")
+def required_items(spark, sf):
+    return writers.require_items(table(spark, sf, "pages").select("page_id", "url"), [".html"], [".html"])
+
+
 @query("jsonl_table", "SRC-11 SRC-10", """SELECT event_id + 1 AS source_row, 'e' || event_id AS record_id, event_type AS title, '{"k":' || json_extract_string(props, '$.k') || CASE event_type WHEN 'view' THEN ',"title":"inner"' WHEN 'error' THEN ',"codes":[1,2]' ELSE '' END || '}' AS custom FROM events""")
 def jsonl_table(spark, sf):
     header, rows = readers.json_lines_table(readers.read_json_records(event_records(spark, sf)))
