@@ -17,7 +17,8 @@ two documents being linked when den * |intersection| >= num * |union|. Exact: no
    A block above ``TILE_SHINGLES`` is cut into tiles, and each pair of tiles is a task of its own.
 5. Components of the links, with the smallest doc_id as root.
 
-Scale: shuffles are packed keys (about 0.16 per shingle at 0.9), the texts once by doc_id, and the sets of block members.
+Scale: shuffles are packed keys (about 0.16 per shingle at 0.9) and the sets of block members, of which a bit map of fixed
+size keeps most others out. Texts are read three times and never shuffled.
 The number of key buckets follows the row count, so a task holds one bucket, one pack of blocks or one pair of tiles.
 
 Cases: words are runs without ASCII white space, A-Z lower-cased; fewer words than the width make one shingle; null or
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from itemforge.llm.bytewords import mix, ranges, shingle_sets, text_slices
 from itemforge.llm.components import components
-from itemforge.llm.shared import settle, table
+from itemforge.llm.shared import bit_map, in_bit_map, settle, table
 
 RATIO, TILE_SHINGLES, BITS, FAN, SALTS = 0.67, 2_000_000, 512, 8, 16
 
@@ -105,6 +106,17 @@ def stars(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[opens], classes[opens], edges[:, 0], edges[:, 1]
 
 
+def short_keys(keys: np.ndarray) -> np.ndarray:
+    """The upper six bytes of each key, which tell the keys of one bucket apart; a chance match only adds a candidate."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+
+
+def long_keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, class_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +141,23 @@ def candidate_edges(docs: DataFrame, width: int, num: int, den: int, buckets: in
                 there, first = np.unique(to[order], return_index=True)
                 packed = lambda values, cuts: [x.tobytes() for x in np.split(values, cuts)]
                 edge_cuts = np.linspace(0, len(a), len(there) + 1).astype(int)[1:-1]
+                names = [np.unique(c, return_inverse=True) for c in np.split(classes[order], first[1:])] if len(there) else []
                 if len(there):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(there, pa.int32()), pa.array(packed(keys[order], first[1:]), pa.binary()), pa.array(packed(classes[order], first[1:]), pa.binary()),
-                        pa.array(packed(a, edge_cuts), pa.binary()), pa.array(packed(b, edge_cuts), pa.binary())], ["bucket", "keys", "classes", "a", "b"])
+                        pa.array(there, pa.int32()), pa.array(packed(short_keys(keys[order]), first[1:]), pa.binary()), pa.array([n.tobytes() for n, _ in names], pa.binary()),
+                        pa.array([i.astype(np.uint16 if len(n) <= 65_536 else np.uint32).tobytes() for n, i in names], pa.binary()),
+                        pa.array(packed(a, edge_cuts), pa.binary()), pa.array(packed(b, edge_cuts), pa.binary())], ["bucket", "keys", "names", "places", "a", "b"])
 
     def meet(group: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-        _, _, a, b = stars(joined("keys", np.uint64), joined("classes", np.int64))
-        edges = np.unique(np.stack([np.concatenate([joined("a", np.int64), a]), np.concatenate([joined("b", np.int64), b])], axis=1), axis=0)
+        joined = lambda name: np.frombuffer(b"".join(group.column(name).to_pylist()), np.int64)
+        keys, classes = [], []
+        for raw, names, places in zip(*(group.column(c).to_pylist() for c in ("keys", "names", "places"))):
+            keys.append(long_keys(raw))
+            classes.append(np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint16 if len(places) == 2 * len(keys[-1]) else np.uint32)])
+        _, _, a, b = stars(np.concatenate(keys), np.concatenate(classes))
+        edges = np.unique(np.stack([np.concatenate([joined("a"), a]), np.concatenate([joined("b"), b])], axis=1), axis=0)
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
-    return docs.mapInArrow(send, "bucket int, keys binary, classes binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return docs.mapInArrow(send, "bucket int, keys binary, names binary, places binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 class Forest:
@@ -244,20 +262,32 @@ def tree_links(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> li
     return links
 
 
+def placed_in_blocks(classes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """id, class_id, block, band, tiles, tile: where the classes of blocks are worked.
+
+    A block above ``TILE_SHINGLES`` is cut into bands of size first: sizes that can be linked are at most one factor
+    den / num apart, so a class joins its own band and the one before. A band above the bound has several tiles.
+    """
+    chosen = classes.join(blocks, "class_id").select("id", "class_id", "block", "n_shingles")
+    weights = chosen.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
+    step = F.floor(F.log("n_shingles") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")  # the margin covers rounding
+    bands = F.when(F.col("weight") <= TILE_SHINGLES, F.array(F.lit(-2))).otherwise(F.array(step - 1, step))
+    banded = chosen.join(weights, "block").withColumn("band", F.explode(bands))
+    tiles = banded.groupBy("block", "band").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).cast("int").alias("tiles"))
+    return banded.join(tiles, ["block", "band"]).select("id", "class_id", "block", "band", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
+
+
 def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame:
-    """``members`` (block, id, n_shingles, shingles): links (a, b) by id. Blocks above a tile are worked by pairs of tiles."""
-    weights = members.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
-    tiles = weights.select("block", F.ceil(F.col("weight") / F.lit(TILE_SHINGLES)).cast("int").alias("tiles"))
-    placed = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    """``members`` (block, band, tiles, tile, id, shingles): links (a, b) by id. Several tiles are worked by pairs of tiles."""
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("one"), F.greatest(t, F.col("tile")).alias("two")))
-    spread = placed.withColumn("pair", F.explode(pairs)).withColumn(
-        "pack", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(packs))).otherwise(F.xxhash64("block", "pair").bitwiseOR(F.lit(1 << 40))))
+    spread = members.withColumn("pair", F.explode(pairs)).withColumn(
+        "pack", F.when(F.col("band") == -2, F.pmod(F.xxhash64("block"), F.lit(packs))).otherwise(F.xxhash64("block", "band", "pair").bitwiseOR(F.lit(1 << 40))))
 
     def verify(group: pa.Table) -> pa.Table:
-        block, one, two, ids = (np.array(group.column(c).to_pylist(), np.int64) for c in ("block", "one", "two", "id"))
+        block, band, one, two, ids = (np.array(group.column(c).to_pylist(), np.int64) for c in ("block", "band", "one", "two", "id"))
         sets, a, b = group.column("shingles").to_pylist(), [], []
-        order = np.lexsort((ids, two, one, block))
-        cut = np.flatnonzero(np.any(np.diff(np.stack([block, one, two])[:, order], axis=1) != 0, axis=0)) + 1
+        order = np.lexsort((ids, two, one, band, block))
+        cut = np.flatnonzero(np.any(np.diff(np.stack([block, band, one, two])[:, order], axis=1) != 0, axis=0)) + 1
         for rows in np.split(order, cut):
             rows = rows[np.concatenate([[True], ids[rows][1:] != ids[rows][:-1]])]
             if len(rows) > 1:
@@ -267,7 +297,7 @@ def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame
                     a.append(ids[rows[i]])
                     b.append(ids[rows[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    return (spread.select("pack", "block", F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "id", "shingles")
+    return (spread.select("pack", "block", "band", F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "id", "shingles")
             .groupBy("pack").applyInArrow(verify, "a long, b long"))
 
 
@@ -278,20 +308,23 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // (64 << 20)))
     sized = settle(set_sizes(read, width))
     blocks = components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block"))
-    salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"))
-    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.collect_set("salt").alias("salts")))
-    chosen = classes.join(blocks, "class_id").select("id", "class_id", "block")
+    salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"))
+    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.max("size").alias("n_shingles"), F.collect_set("salt").alias("salts")))
+    chosen = settle(placed_in_blocks(classes, blocks, num, den))
+
+    shared = spark.sparkContext.broadcast(bit_map(chosen, "class_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 hashes, bounds = shingle_sets(data, offsets, width)
-                same = pa.array(class_ids(hashes, bounds) == rows.column(1).to_numpy(zero_copy_only=False))
-                cuts = bounds.tolist()
-                packed = pa.array([hashes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())
-                out = pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), pa.array(np.diff(bounds), pa.int64()), packed], ["block", "id", "n_shingles", "shingles"])
-                yield out.filter(same)
-    members = settle(read.join(chosen, read["doc_id"] == chosen["id"]).select("id", "class_id", "block", "text").mapInArrow(sets, "block long, id long, n_shingles long, shingles binary"))
+                named = class_ids(hashes, bounds)
+                passes, cuts = in_bit_map(shared.value, named), bounds.tolist()
+                at = np.flatnonzero(passes)
+                packed = pa.array([hashes[cuts[i]:cuts[i + 1]].tobytes() for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array(named[at]), packed], ["id", "class_id", "shingles"])
+    found = read.mapInArrow(sets, "id long, class_id long, shingles binary")
+    members = found.join(chosen, ["id", "class_id"]).select("block", "band", "tiles", "tile", "id", "shingles")
     roots = components(block_links(members, num, den, 4 * buckets))
     named = classes.join(roots, "id", "left").select("class_id", F.explode("salts").alias("salt"), F.coalesce("root", "id").alias("named"))
     joined = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(named, ["class_id", "salt"], "left")
@@ -301,13 +334,28 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The documents, with all their columns, that name their component: one of each group of near copies.
 
-    Rows that repeat a doc_id leave one, that with the smallest hash of its text; rows without a doc_id stay.
+    Rows that repeat a doc_id leave one, that with the smallest hash of its text; rows without a doc_id stay. Only
+    documents that a bit map of the removed and repeated ids lets through are shuffled to the exact decision.
     """
-    kept = jaccard_classes(docs, width, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    named = packed.filter("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    first = named.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).filter("_place = 1")
-    return first.select("_row.*").union(packed.filter("_id is null").select("_row.*"))
+    spark = docs.sparkSession
+    found = settle(jaccard_classes(docs, width, num, den).filter("doc_id is not null").groupBy("doc_id")
+                   .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept")).filter("n > 1 or kept = 0"))
+    shared = spark.sparkContext.broadcast(bit_map(found, "doc_id"))
+    names, at = docs.columns, docs.columns.index("doc_id") if "doc_id" in docs.columns else 0
+
+    def split(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(at).cast(pa.int64())
+                hit = in_bit_map(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == inside))
+        return docs.select(*[docs[c] for c in names]).mapInArrow(run, docs.schema)
+    doubtful = split(True)
+    packed = doubtful.select(doubtful["doc_id"].cast("long").alias("_id"), F.xxhash64(doubtful["text"]).alias("_text"), F.struct(*[doubtful[c] for c in names]).alias("_row"))
+    placed = packed.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
+    verdict = found.select(F.col("doc_id").alias("_id"), "kept")
+    kept = placed.join(verdict, "_id", "left").filter(F.coalesce(F.col("kept"), F.lit(1)) == 1).filter("_place = 1").select("_row.*")
+    return split(False).union(kept)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
