@@ -160,3 +160,14 @@ def test_lines_equal_brute_force(spark):
     assert got.columns == df.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == lines_truth(rows)
     assert lines.without_recurring(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def kept_lines(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    return {r.doc_id: r.text for r in lines.without_recurring(df).collect()}
+
+
+def test_lines_of_numbers_are_exact(spark):
+    texts = ["12 34 56 78 90", "1 2 3 4 5", "Revenue 2019 1,234 2020 1,456", "Revenue 2021 1,999 2022 2,010", "12 34 56 78 90",
+             "ticket 17 was closed by the night shift", "ticket 18 was closed by the night shift"]
+    assert kept_lines(spark, texts) == dict(enumerate([*texts[:4], "", texts[5], ""]))
