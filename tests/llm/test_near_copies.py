@@ -171,3 +171,11 @@ def test_lines_of_numbers_are_exact(spark):
     texts = ["12 34 56 78 90", "1 2 3 4 5", "Revenue 2019 1,234 2020 1,456", "Revenue 2021 1,999 2022 2,010", "12 34 56 78 90",
              "ticket 17 was closed by the night shift", "ticket 18 was closed by the night shift"]
     assert kept_lines(spark, texts) == dict(enumerate([*texts[:4], "", texts[5], ""]))
+
+
+def test_templates_tell_all_tokens_apart(spark):
+    frequent = [f"alpha beta gamma same {word} e f g h" for word in (f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(999))]
+    rare = [f"alpha beta gamma x{''.join('abcdefghij'[int(c)] for c in str(k))} w e f g h" for k in range(900)]
+    got = kept_lines(spark, frequent + rare)
+    assert [got[i] for i in range(len(frequent))] == [frequent[0]] + [""] * (len(frequent) - 1)
+    assert [got[len(frequent) + i] for i in range(len(rare))] == rare
