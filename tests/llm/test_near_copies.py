@@ -179,3 +179,16 @@ def test_templates_tell_all_tokens_apart(spark):
     got = kept_lines(spark, frequent + rare)
     assert [got[i] for i in range(len(frequent))] == [frequent[0]] + [""] * (len(frequent) - 1)
     assert [got[len(frequent) + i] for i in range(len(rare))] == rare
+
+
+def letters(k):
+    return "".join("abcdefghij"[int(c)] for c in str(k))
+
+
+def test_families_in_one_leaf_part(spark):
+    one = [f"the job was started by {letters(k)} on the first node" for k in range(100)]
+    two = [f"the job was moved to queue after all {letters(k)} retries" for k in range(100)]
+    few = [f"a call has ended well with {letters(k)} and nothing else" for k in range(200)] + [f"a call has been cut short again near {letters(k)} today" for k in range(12)]
+    odd = ["a call has never met any of those other words"]
+    got = kept_lines(spark, one + two + few + odd)
+    assert sorted(t for t in got.values() if t) == sorted([one[0], two[0], few[0], few[200], *odd])
