@@ -192,3 +192,8 @@ def test_families_in_one_leaf_part(spark):
     odd = ["a call has never met any of those other words"]
     got = kept_lines(spark, one + two + few + odd)
     assert sorted(t for t in got.values() if t) == sorted([one[0], two[0], few[0], few[200], *odd])
+
+
+def test_short_lines_recur_exactly(spark):
+    texts = ["All rights reserved.\none", "All rights reserved.\n\ntwo", "Read more\nPage 3\nAll rights", "Page 4\nRead more\n \nAll wrongs reserved."]
+    assert kept_lines(spark, texts) == dict(enumerate([texts[0], "\ntwo", texts[2], "Page 4\n \nAll wrongs reserved."]))
