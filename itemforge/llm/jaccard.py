@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from itemforge.llm.bytewords import mix, ranges, shingle_sets, text_slices
 from itemforge.llm.components import components
@@ -274,11 +275,11 @@ def placed_in_blocks(classes: DataFrame, blocks: DataFrame, num: int, den: int)
     bands = F.when(F.col("weight") <= TILE_SHINGLES, F.array(F.lit(-2))).otherwise(F.array(step - 1, step))
     banded = chosen.join(weights, "block").withColumn("band", F.explode(bands))
     tiles = banded.groupBy("block", "band").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).cast("int").alias("tiles"))
-    return banded.join(tiles, ["block", "band"]).select("id", "class_id", "block", "band", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
+    return banded.join(tiles, ["block", "band"]).select("id", "class_id", "block", "band", "tiles", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int").alias("tile"))
 
 
 def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame:
-    """``members`` (block, band, tiles, tile, id, shingles): links (a, b) by id. Several tiles are worked by pairs of tiles."""
+    """``members`` (block, band, tiles, tile, id, shingles): links (a, b) by id, that of a class. Several tiles are worked by pairs of tiles."""
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("one"), F.greatest(t, F.col("tile")).alias("two")))
     spread = members.withColumn("pair", F.explode(pairs)).withColumn(
         "pack", F.when(F.col("band") == -2, F.pmod(F.xxhash64("block"), F.lit(packs))).otherwise(F.xxhash64("block", "band", "pair").bitwiseOR(F.lit(1 << 40))))
@@ -301,8 +302,8 @@ def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame
             .groupBy("pack").applyInArrow(verify, "a long, b long"))
 
 
-def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and root (the component, named by its smallest class) of every row."""
     spark = docs.sparkSession
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // (64 << 20)))
@@ -324,22 +325,33 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
                 packed = pa.array([hashes[cuts[i]:cuts[i + 1]].tobytes() for i in at.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array(named[at]), packed], ["id", "class_id", "shingles"])
     found = read.mapInArrow(sets, "id long, class_id long, shingles binary")
-    members = found.join(chosen, ["id", "class_id"]).select("block", "band", "tiles", "tile", "id", "shingles")
-    roots = components(block_links(members, num, den, 4 * buckets))
-    named = classes.join(roots, "id", "left").select("class_id", F.explode("salts").alias("salt"), F.coalesce("root", "id").alias("named"))
+    members = found.join(chosen, ["id", "class_id"]).select("block", "band", "tiles", "tile", F.col("class_id").alias("id"), "shingles")
+    roots = settle(components(block_links(members, num, den, 4 * buckets)).select(F.col("id").alias("class_id"), "root"))
+    least = roots.join(classes, "class_id").groupBy("root").agg(F.min("id").alias("least"))
+    linked = roots.join(least, "root")
+    named = classes.join(linked, "class_id", "left").select("class_id", F.explode("salts").alias("salt"), F.coalesce("least", "id").alias("named"), F.coalesce("root", "class_id").alias("root"))
     joined = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(named, ["class_id", "salt"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", F.coalesce("root", "class_id").alias("root"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return named_classes(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The documents, with all their columns, that name their component: one of each group of near copies.
 
-    Rows that repeat a doc_id leave one, that with the smallest hash of its text; rows without a doc_id stay. Only
-    documents that a bit map of the removed and repeated ids lets through are shuffled to the exact decision.
+    Rows that repeat a doc_id are each judged by their text; those in one component, or of one blank text, leave one,
+    that with the smallest hash of its text; rows without a doc_id stay. Only documents that a bit map of the removed
+    and repeated ids lets through are shuffled to the exact decision.
     """
     spark = docs.sparkSession
-    found = settle(jaccard_classes(docs, width, num, den).filter("doc_id is not null").groupBy("doc_id")
-                   .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept")).filter("n > 1 or kept = 0"))
+    sets = (named_classes(docs, width, num, den).filter("doc_id is not null").groupBy("doc_id", "class_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept"), F.max("root").alias("root")))
+    sets = settle(sets)
+    repeated = sets.groupBy("doc_id").agg(F.sum("n").alias("rows"), F.min("kept").alias("least"))
+    found = settle(repeated.filter("rows > 1 or least = 0").select("doc_id"))
     shared = spark.sparkContext.broadcast(bit_map(found, "doc_id"))
     names, at = docs.columns, docs.columns.index("doc_id") if "doc_id" in docs.columns else 0
 
@@ -351,10 +363,17 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
                 yield batch.filter(pa.array(hit == inside))
         return docs.select(*[docs[c] for c in names]).mapInArrow(run, docs.schema)
     doubtful = split(True)
-    packed = doubtful.select(doubtful["doc_id"].cast("long").alias("_id"), F.xxhash64(doubtful["text"]).alias("_text"), F.struct(*[doubtful[c] for c in names]).alias("_row"))
-    placed = packed.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
-    verdict = found.select(F.col("doc_id").alias("_id"), "kept")
-    kept = placed.join(verdict, "_id", "left").filter(F.coalesce(F.col("kept"), F.lit(1)) == 1).filter("_place = 1").select("_row.*")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "_words"):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(class_ids(*shingle_sets(data, offsets, width)), pa.int64())], [*rows.schema.names, "_class"])
+    packed = doubtful.select(doubtful["doc_id"].cast("long").alias("_id"), F.xxhash64(doubtful["text"]).alias("_text"), F.struct(*[doubtful[c] for c in names]).alias("_row"), doubtful["text"].alias("_words"))
+    packed = packed.mapInArrow(named, StructType([*packed.schema.fields, StructField("_class", LongType())])).drop("_words")
+    verdict = sets.select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"), "kept", "root")
+    judged = packed.join(verdict, ["_id", "_class"]).filter("kept = 1")
+    blank = F.when(F.col("_class") == 0, F.col("_text"))  # blank texts link with nothing
+    kept = judged.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "root", blank).orderBy("_text"))).filter("_place = 1").select("_row.*")
     return split(False).union(kept)
 
 

@@ -197,3 +197,14 @@ def test_families_in_one_leaf_part(spark):
 def test_short_lines_recur_exactly(spark):
     texts = ["All rights reserved.\none", "All rights reserved.\n\ntwo", "Read more\nPage 3\nAll rights", "Page 4\nRead more\n \nAll wrongs reserved."]
     assert kept_lines(spark, texts) == dict(enumerate([texts[0], "\ntwo", texts[2], "Page 4\n \nAll wrongs reserved."]))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b + " more"), (2, a + " more"), (3, b + " more"), (4, c), (2, c + " more"), (1, a), (6, ""), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, "en", "s", None) for r in rows], DOCS).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect())
+    whole = [(i, t) for i, t in got if i == 1 and t in (b, b + " more")]
+    assert len(whole) == 1 and got == Counter([(1, a), *whole, (2, c + " more"), (6, ""), (6, None)])
+    assert Counter(map(tuple, jaccard.jaccard_classes(df).collect())) == jaccard_truth([tuple(r) for r in rows], 3, 9, 10)
