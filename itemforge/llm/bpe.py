@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import pre_tokenizers
 
 from itemforge.llm.bytewords import edges, hash_ranges, ranges, text_slices
 from itemforge.llm.shared import table
@@ -186,15 +187,25 @@ _classes: list[np.ndarray] = []
 
 
 def char_classes() -> np.ndarray:
-    """Letter, number, white space or other for every code point."""
+    """Letter, number, white space or other for every code point, as the tokenizer library's own byte-level pattern has them.
+
+    A run of code points that the library keeps together is of one class, and its first character tells which: it joins
+    a letter, a number or a sign before it, or none of them. So results follow the library's Unicode version.
+    """
     if not _classes:
-        points = "".join(chr(i) for i in range(0x40000) if not 0xD800 <= i < 0xE000)  # no such characters beyond
+        cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         kinds = np.zeros(0x110000, np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, points):
-                a, b = ord(m.group()[0]), ord(m.group()[-1])
-                kinds[a:b + 1] = kind
-        kinds[0xD800:0xE000] = 0
+        together = lambda pair: len(cut(pair)) == 1
+
+        def kind(char: str) -> int:
+            return next((k for k, before in ((LETTER, "a"), (NUMBER, "1"), (0, "!")) if together(before + char)), BLANK)
+        for code in range(0x80):
+            kinds[code] = kind(chr(code))
+        for start in [0x80, *range(0x400, 0x110000, 0x400)]:
+            if not 0xD800 <= start < 0xE000:
+                chars = "".join(map(chr, range(start, start // 0x400 * 0x400 + 0x400)))
+                for _, (a, b) in cut(chars):
+                    kinds[start + a:start + b] = kind(chars[a])
         _classes.append(kinds)
     return _classes[0]
 
@@ -255,9 +266,6 @@ class WordMemory:
         starts = pre_tokens(data, offsets)
         ends = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
         keys = hash_ranges(data, starts, ends)
-        long = np.flatnonzero(ends - starts > VECTOR_BYTES)
-        for i in long:  # a digest, since the running hash is meant for short words
-            keys[i] = np.frombuffer(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > MEMORY_WORDS:
             self.clear()
@@ -317,10 +325,9 @@ def encode_table(docs: DataFrame, words: Broadcast, keep: list[str]) -> DataFram
             for rows, data, offsets in text_slices(batch, "_text"):
                 ids, before = memory.ids(data, offsets)
                 raw, at = vocab.bytes_of(ids)
-                same = np.diff(at[before]) == np.diff(offsets)
-                if same.all():
-                    wrong = np.concatenate([[0], np.cumsum(raw != data)])[offsets]
-                    same = np.diff(wrong) == 0
+                made, same = at[before], np.diff(at[before]) == np.diff(offsets)
+                for i in np.flatnonzero(same):
+                    same[i] = np.array_equal(raw[made[i]:made[i + 1]], data[offsets[i]:offsets[i + 1]])
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(np.diff(before), pa.int64()), lists, pa.array(same)],
                                                  [*keep, "n_tokens", "ids", "round_trip"])

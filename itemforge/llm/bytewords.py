@@ -6,13 +6,14 @@ or one document where that is larger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, LONG_BYTES = 2 << 20, 64
 _STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_KEYS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
@@ -60,11 +61,17 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte range: a polynomial over random byte keys, read off one running sum."""
+    """A 64-bit hash of every byte range: a polynomial over random byte keys, read off one running sum.
+
+    Long ranges (over ``LONG_BYTES``) get a cryptographic digest: repetitive ones can meet under any polynomial modulo 2^64.
+    """
     running = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_KEYS[data] * _power(_STEP, len(data)), out=running[1:])
     sums = (running[ends] - running[starts]) * _power(_BACK, len(data) + 1)[starts]
-    return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(ends - starts > LONG_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def edges(offsets: np.ndarray, size: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, hnsw, jaccard, langid, lines, mixing, quality, token_files, topk, warc
+from itemforge.llm import bpe, hnsw, jaccard, langid, lines, merkle, mixing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
+    "op12_merkle": merkle.op12_merkle,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
     "op5_warc": warc.SQL,
     "op7_topk": topk.SQL,
+    "op12_merkle": merkle.SQL,
 }

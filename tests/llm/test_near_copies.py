@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from itemforge.llm import components, hnsw, jaccard, lines
+from itemforge.llm import bytewords, components, hnsw, jaccard, lines
 from tests.llm.common import DOCS, WORDS, documents, groups, prose, shingles, with_clashes
 
 
@@ -208,3 +208,13 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     whole = [(i, t) for i, t in got if i == 1 and t in (b, b + " more")]
     assert len(whole) == 1 and got == Counter([(1, a), *whole, (2, c + " more"), (6, ""), (6, None)])
     assert Counter(map(tuple, jaccard.jaccard_classes(df).collect())) == jaccard_truth([tuple(r) for r in rows], 3, 9, 10)
+
+
+def test_long_words_that_meet_under_any_polynomial():
+    word = "a"
+    for _ in range(11):  # Thue-Morse words of 2,048 letters
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((word + other).encode(), np.uint8)
+    one, two = bytewords.hash_ranges(raw, np.array([0, len(word)]), np.array([len(word), len(raw)]))
+    assert one != two

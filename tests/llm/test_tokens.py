@@ -114,3 +114,12 @@ def test_empty_token_files(spark):
     path = fresh_dir(spark, "test-tokens")
     token_files.write_token_files(spark.createDataFrame([], DOCS), path, PATH)
     assert token_files.read_checksums(spark, path).count() == 0
+
+
+def test_every_code_point_is_classed_as_in_the_library(vocabulary, library):
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    memory = bpe.WordMemory(vocabulary.encode_words, vocabulary.added)
+    for at in range(0, len(points), 4_096):
+        texts = ["\n".join("{0}'s {0}1 a{0}!".format(c) for c in points[at + k:at + k + 64]) for k in range(0, 4_096, 64)]
+        ids, before = memory.ids(*packed(texts))
+        assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
