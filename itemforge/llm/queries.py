@@ -1,6 +1,6 @@
 """The operators' queries and their SQL twins."""
 
-from itemforge.llm import bpe, hnsw, jaccard, langid, lines, merkle, mixing, quality, token_files, topk, warc
+from itemforge.llm import align, bpe, counts, hnsw, jaccard, langid, lines, merkle, mixing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
+    "op11_align": align.op11_align,
     "op12_merkle": merkle.op12_merkle,
+    "op13_counts": counts.op13_counts,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
