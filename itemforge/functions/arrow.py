@@ -1,8 +1,7 @@
-"""Arrow-batched helpers for the few steps the JVM has no function for."""
+"""The Unicode fold, the one step the JVM has no function for, in Arrow batches."""
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
@@ -10,8 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemforge.functions.fixed import AUTHOR_KEYS, DATE_KEYS, ICON_KEYS, NAMED_ENTITIES, TITLE_KEYS, URL_KEYS, WS_CHARS
-
 try:  # the richer module knows the Diacritic property
     import regex as _regex
 
@@ -20,11 +17,6 @@ except ImportError:  # pragma: no cover
     _MARKS = re.compile("[\\^`" + "".join(map(chr, (0xA8, 0xAF, 0xB4, 0xB7, 0xB8, *range(0x300, 0x370)))) + "]")
 
 
-def once(udf):
-    """Keep the optimizer from repeating a costly call in filters it derives from the result."""
-    return udf.asNondeterministic()
-
-
 @F.pandas_udf(T.StringType())
 def nfkd_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _MARKS.sub("", unicodedata.normalize("NFKD", v)).lower(), na_action="ignore")
@@ -33,228 +25,3 @@ def nfkd_fold(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def nfkd_lower(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKD", v).lower(), na_action="ignore")
-
-
-def clean(text: str) -> str:
-    """Same rules as the JVM ``clean_content``; used between two cuts of one document."""
-    if "&" in text:
-        for name, char in NAMED_ENTITIES:
-            text = text.replace(name, char)
-        text = re.sub(r"&#(\d+);", lambda m: chr(int(m[1]) % 65536), text)
-        text = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: chr(int(m[1], 16) % 65536), text)
-    lines = (re.sub("[ \t]+", " ", line).strip(WS_CHARS) for line in re.sub("\r\n?", "\n", text).split("\n"))
-    return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip(WS_CHARS)
-
-
-# Cut points, tried together; the latest one inside the window wins.
-_CUT_MARKS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
-
-
-def window_cuts(text: str, size: int, overlap: int) -> list[str]:
-    """Overlapping windows over one text; the cursor depends on the previous cut."""
-    text = clean(text)
-    if len(text) <= size:
-        return [text] if text else []
-    out, start = [], 0
-    while True:
-        end = min(len(text), start + size)
-        if end < len(text):
-            # a mark may begin exactly at the limit, hence the widened search end
-            last = max(text.rfind(mark, start, end + len(mark)) for mark in _CUT_MARKS)
-            if last > start:
-                end = last + 1
-        piece = text[start:end].strip(WS_CHARS)
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            return out
-        start = max(end - overlap, start + 1)
-
-
-def packed_cuts(text: str, size: int, overlap: int, floor: int = 50) -> list[str]:
-    """Pack paragraphs up to ``size``; carry a tail of ``overlap`` characters into the next pack."""
-    out, held = [], ""
-    for part in re.split("\n{2,}", text):
-        part = part.strip(WS_CHARS)
-        if not part:
-            continue
-        grown = f"{held}\n\n{part}" if held else part
-        if not held or len(grown) <= size or len(held) < floor:
-            held = grown
-            continue
-        out.append(clean(held))
-        tail = held[-overlap:].strip(WS_CHARS) if overlap > 0 else ""
-        held = f"{tail}\n\n{part}" if tail else part
-    if len(held) > size:
-        out += [clean(piece) for piece in window_cuts(held, size, overlap)]
-    elif held:
-        out.append(clean(held))
-    return [piece for piece in out if piece]
-
-
-def window_chunks(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: window_cuts(v, size, overlap), na_action="ignore")
-    return cut
-
-
-def packed_chunks(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: packed_cuts(v, size, overlap), na_action="ignore")
-    return pack
-
-
-def number_text(n) -> str:
-    """Shortest decimal text of a double, integral values without a fraction."""
-    if isinstance(n, int) and abs(n) <= 2 ** 53:
-        return str(n)
-    x = float(n)
-    if x == int(x) and abs(x) < 1e21:
-        digits = repr(x)
-        if "e" not in digits:
-            return digits.split(".")[0]
-        mantissa, exponent = digits.split("e")
-        sign, mantissa = ("-", mantissa[1:]) if mantissa[0] == "-" else ("", mantissa)
-        whole, _, frac = mantissa.partition(".")
-        return sign + (whole + frac).ljust(int(exponent) + 1, "0")
-    text = repr(x)
-    if "e" in text:
-        mantissa, exponent = text.split("e")
-        power = int(exponent)
-        if -7 < power < 0:
-            return f"{x:.{len(mantissa.replace('.', '').lstrip('-')) - 1 - power}f}"
-        return f"{mantissa}e{'+' if power > 0 else '-'}{abs(power)}"
-    return text
-
-
-def scalar(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    return v if isinstance(v, str) else number_text(v)
-
-
-def compact_json(v) -> str:
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{compact_json(x)}" for k, x in v.items()) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(compact_json, v)) + "]"
-    if isinstance(v, str):
-        return json.dumps(v, ensure_ascii=False)
-    return scalar(v)
-
-
-def _nested(v) -> bool:
-    return isinstance(v, (dict, list))
-
-
-def _dotted(prefix: str, key) -> str:
-    return f"{prefix}.{key}" if prefix else str(key)
-
-
-def search_leaves(value, prefix: str = ""):
-    """(dotted key, text) for item search: arrays joined by ``; ``, elements indexed, long texts left out."""
-    if isinstance(value, list):
-        # an object inside an array has no useful text of its own but still takes a place
-        texts = ["[object Object]" if isinstance(x, dict)
-                 else ",".join("" if y is None else scalar(y) if not _nested(y) else compact_json(y) for y in x)
-                 if isinstance(x, list) else scalar(x) for x in value]
-        texts = [t for t in texts if t and len(t) <= 1000]
-        if prefix and texts:
-            yield prefix, "; ".join(texts)
-        children = [(_dotted(prefix, i), x) for i, x in enumerate(value) if _nested(x)]
-        for key, x in children:
-            yield from search_leaves(x, key)
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            key = _dotted(prefix, k)
-            if _nested(x):
-                yield from search_leaves(x, key)
-            elif (text := scalar(x)) and len(text) <= 1000:
-                yield key, text
-
-
-def flat_for_search(value, prefix: str = "") -> dict[str, str]:
-    """Dotted keys plus an alias under the leaf name; the first leaf inside one object keeps the alias."""
-    out: dict[str, str] = {}
-
-    def put(key: str, text: str) -> None:
-        out[key] = text
-        leaf = key.rsplit(".", 1)[-1] or key
-        if not out.get(leaf):
-            out[leaf] = text
-
-    if isinstance(value, list):
-        own = next(((k, t) for k, t in search_leaves(value, prefix) if k == prefix), None)
-        if own and prefix:
-            put(*own)
-        for i, x in enumerate(value):
-            if _nested(x):
-                out.update(flat_for_search(x, _dotted(prefix, i)))
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            key = _dotted(prefix, k)
-            if _nested(x):
-                out.update(flat_for_search(x, key))
-            elif (text := scalar(x)) and len(text) <= 1000:
-                put(key, text)
-    return out
-
-
-def _parsed(text):
-    try:
-        return json.loads(text, parse_constant=lambda name: (_ for _ in ()).throw(ValueError(name)))
-    except ValueError:
-        return None
-
-
-_ENTRIES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
-
-
-@once
-@F.pandas_udf(_ENTRIES)
-def search_entries(s: pd.Series) -> pd.Series:
-    """JSON text to ordered (key, value) entries with an alias under each leaf name."""
-    def entries(text):
-        value = _parsed(text)
-        return [{"key": k, "value": v} for k, v in flat_for_search(value).items()] if _nested(value) else []
-    return s.map(entries, na_action="ignore")
-
-
-def packed_lists(size: int, overlap: int):
-    """Section texts of one document to one list of chunks per section."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda texts: [packed_cuts(t, size, overlap) for t in texts], na_action="ignore")
-    return once(pack)
-
-
-_ROLE_KEYS = {"title": TITLE_KEYS, "author": AUTHOR_KEYS, "date": DATE_KEYS, "url": URL_KEYS, "iconUrl": ICON_KEYS}
-
-
-def role_texts(value: dict) -> dict[str, str]:
-    """First text per role in key order; arrays of scalars join, nested objects give their title or name."""
-    out: dict[str, str] = {}
-    for k, x in value.items():
-        key = re.sub("[^a-z0-9]+", "", k.lower())
-        if isinstance(x, dict):
-            x = next((x[n] for n in ("title", "name") if isinstance(x.get(n), str)), "")
-        elif isinstance(x, list):
-            x = "" if any(_nested(y) or y is None for y in x) else ", ".join(map(scalar, x))
-        if isinstance(x, str) and x:
-            role = next((r for r, names in _ROLE_KEYS.items() if key in names), None)
-            if role:
-                out.setdefault(role, x)
-    return out
-
-
-@once
-@F.pandas_udf(_ENTRIES)
-def record_roles(s: pd.Series) -> pd.Series:
-    def run(text):
-        value = _parsed(text)
-        return [{"key": k, "value": v} for k, v in role_texts(value).items()] if isinstance(value, dict) else []
-    return s.map(run, na_action="ignore")

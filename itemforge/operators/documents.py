@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from itemforge.functions import ids
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import packed_lists
+from itemforge.functions.chunks import packed_chunks
 from itemforge.functions.fixed import AUTHOR_KEYS, DATE_KEYS, ICON_KEYS, URL_KEYS
 from itemforge.operators.records import access_entries, capped
 
@@ -220,10 +220,9 @@ def sections(kind: Column, body: Column) -> Column:
 
 
 def document_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk. Sections stay inside their document row, so numbering needs no shuffle;
-    one Arrow call per batch packs the section texts."""
+    """One row per chunk. Sections stay inside their document row, so cutting and numbering need no shuffle."""
     with_sections = docs.withColumn("_s", sections(F.col("kind"), F.col("body")))
-    cut = with_sections.withColumn("_c", packed_lists(size, overlap)(F.transform("_s", lambda s: s["text"])))
+    cut = with_sections.withColumn("_c", F.transform("_s", lambda s: packed_chunks(s["text"], size, overlap)))
     merged = F.flatten(F.zip_with("_s", "_c", lambda s, c: F.transform(c, lambda t: F.struct(
         s["section_path"].alias("section_path"), s["heading"].alias("heading"), t.alias("text")))))
     whole = F.array(F.struct(F.lit("").alias("section_path"), F.lit("").alias("heading"), F.substring("body", 1, size).alias("text")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
-from itemforge.functions.arrow import record_roles, search_entries
+from itemforge.functions.json_tree import record_roles, with_search_entries
 from itemforge.operators.documents import STRUCTURED_KEYS, chunk_items, pick_values, structured_properties, with_norms
 from itemforge.session import filter_settled
 
@@ -138,10 +138,6 @@ def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
     return out.drop("_listed", "_picked", "_whole", "_pm", "_wm", "_canonical", "_exact", "_sentence", "_title")
 
 
-def flatten_search(c: Column) -> Column:
-    return search_entries(c)
-
-
 def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
     """``source_file``, ``line``, ``value`` to one single-chunk document per non-blank line.
 
@@ -150,8 +146,7 @@ def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
     kept = (lines.withColumn("value", tx.trimmed(F.col("value"))).filter(F.col("value") != "")
             .withColumn("_ok", F.try_parse_json("value").isNotNull() | F.get_json_object("value", "$").isNotNull()))
     parsed = kept.withColumn("_json", F.when(F.col("_ok"), F.col("value")))
-    # two Arrow columns in one pass over the batch
-    flat = parsed.withColumns({"_e": flatten_search(F.col("_json")), "_r": record_roles(F.col("_json"))})
+    flat = with_search_entries(parsed, "_json", "_e").withColumn("_r", record_roles(F.col("_json")))
     flat = flat.withColumns({"_entries": F.coalesce("_e", F.array().cast(_NO_ENTRIES)), "_roles": F.coalesce("_r", F.array().cast(_NO_ENTRIES)),
                              "_is_record": F.col("_ok") & F.col("value").startswith("{")})
     shaped = with_structured(flat, "_entries", "_json")

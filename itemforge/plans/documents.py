@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itemforge.functions.arrow import window_chunks as cut_windows
-from itemforge.functions.json_tree import entry_rows, with_eval_entries, with_identity_entries, with_outline
+from itemforge.functions.chunks import packed_chunks
+from itemforge.functions.chunks import window_chunks as cut_windows
+from itemforge.functions.json_tree import entry_rows, with_eval_entries, with_identity_entries, with_outline, with_search_entries
 from itemforge.operators import documents as docs
 from itemforge.operators import json_items
 from itemforge.plans import sql as S
@@ -109,7 +110,7 @@ _WINDOWS = f"""RECURSIVE x AS (SELECT doc_id, {S.clean('text')} AS t FROM docume
 @query("window_chunks", "GEN-04", f"""WITH {_WINDOWS}, c AS (SELECT doc_id, s, {S.trim('substr(t, s + 1, e - s)')} AS piece FROM step WHERE e >= 0)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, length(piece) AS n, sha256(piece) AS digest FROM c WHERE piece <> ''""")
 def window_chunks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(cut_windows(2000, 200)("text")).alias("chunk_index", "piece"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(cut_windows(F.col("text"), 2000, 200)).alias("chunk_index", "piece"))
     return d.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("piece").cast("long").alias("n"), F.sha2("piece", 256).alias("digest"))
 
 
@@ -165,9 +166,8 @@ def nested_headings(spark, sf):
 SELECT item_id, i::BIGINT AS chunk_index, CASE i WHEN 0 THEN repeat('a', 2500) ELSE repeat('a', 200) || chr(10) || chr(10) || 'tail ' || item_id END AS text FROM n""")
 def packed_paragraphs(spark, sf):
     """A paragraph over the limit stays whole; the next chunk starts with its last 200 characters."""
-    from itemforge.functions.arrow import packed_chunks
     body = F.concat(F.repeat(F.lit("a"), F.lit(2500)), F.lit("\n\n"), F.lit("tail "), F.col("item_id").cast("string"))
-    chunks = table(spark, sf, "benchmark").select("item_id", F.posexplode(packed_chunks(2000, 200)(body)).alias("chunk_index", "text"))
+    chunks = table(spark, sf, "benchmark").select("item_id", F.posexplode(packed_chunks(body, 2000, 200)).alias("chunk_index", "text"))
     return chunks.select("item_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
@@ -186,7 +186,7 @@ _EVENT = """e AS (SELECT event_id, event_type AS t, user_id AS u, json_extract_s
 @query("json_flatten_search", "PRJ-13a JSN-04 MAP-01", f"""WITH {_EVENT} SELECT event_id, unnest(['recordId','title','customProperties.k','k','customProperties.tags','tags','customProperties.userId','userId']) AS key,
  unnest([CAST(event_id AS VARCHAR), t || ' event', k, k, t, t, CAST(u AS VARCHAR), CAST(u AS VARCHAR)]) AS value FROM e""")
 def json_flatten_search(spark, sf):
-    return event_json(spark, sf).select("event_id", F.inline(json_items.flatten_search(F.col("value"))))
+    return entry_rows(with_search_entries(event_json(spark, sf), "value", "e"), "e", "event_id")
 
 
 @query("json_flatten_identity", "PRJ-13b", f"""WITH {_EVENT} SELECT event_id, unnest(['recordId','title','customProperties.k','customProperties.tags','customProperties.userId']) AS key,
@@ -201,6 +201,49 @@ def json_flatten_eval(spark, sf):
     return entry_rows(with_eval_entries(event_json(spark, sf), "value", "e"), "e", "event_id")
 
 
+DEEP = 20
+_PATHS = [".".join(f"k{k}" for k in range(DEEP, i, -1)) for i in range(DEEP + 1)]  # of the object on level i, 0 being the innermost
+
+
+def deep_json(spark, sf):
+    """Customers as records of twenty-one levels, each with a name of its own before the next level."""
+    record = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit('-0","tags":["'), F.col("c_mktsegment"), F.lit('",'), F.col("c_custkey").cast("string"), F.lit("]}"))
+    for i in range(1, DEEP + 1):
+        record = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit(f'-{i}","k{i}":'), record, F.lit("}"))
+    return table(spark, sf, "customer").select("c_custkey", record.alias("value"))
+
+
+def _deep_entries(tags: str, outer: str, aliases: str = "") -> str:
+    names = ", ".join(f"{{'key': '{p}.name', 'value': c_name || '-{i}'}}" for i, p in enumerate(_PATHS[:-1]))
+    entries = f"[{{'key': 'name', 'value': c_name || '-{outer}'}}, {names}, {{'key': '{_PATHS[0]}.tags', 'value': {tags}}}{aliases}]"
+    return f"SELECT c_custkey, e.key AS key, e.value AS value FROM (SELECT c_custkey, unnest({entries}) AS e FROM customer)"
+
+
+@query("deep_search_entries", "PRJ-13a", _deep_entries("c_mktsegment || '; ' || c_custkey", "0", ", {'key': 'tags', 'value': c_mktsegment || '; ' || c_custkey}"))
+def deep_search_entries(spark, sf):
+    """The innermost name is the alias, as the last nested member that has one gives it."""
+    return entry_rows(with_search_entries(deep_json(spark, sf), "value", "e"), "e", "c_custkey")
+
+
+@query("deep_identity_entries", "PRJ-13b", _deep_entries("c_mktsegment || ', ' || c_custkey", str(DEEP)))
+def deep_identity_entries(spark, sf):
+    return entry_rows(with_identity_entries(deep_json(spark, sf), "value", "e"), "e", "c_custkey")
+
+
+@query("deep_eval_entries", "PRJ-13c", _deep_entries("c_mktsegment || ', ' || c_custkey", str(DEEP)))
+def deep_eval_entries(spark, sf):
+    return entry_rows(with_eval_entries(deep_json(spark, sf), "value", "e"), "e", "c_custkey")
+
+
+_BREAK = "chr(10) || chr(10)"
+_DEEP_OUTLINE = " || ".join([f"'- Name: ' || c_name || '-{i}' || {_BREAK} || repeat('#', least({DEEP - i + 2}, 6)) || ' K{i}' || {_BREAK}" for i in range(DEEP, 0, -1)])
+
+
+@query("deep_outline", "PRJ-14", f"SELECT c_custkey, {_DEEP_OUTLINE} || '- Name: ' || c_name || '-0' || {_BREAK} || '###### Tags' || {_BREAK} || '- ' || c_mktsegment || {_BREAK} || '- ' || c_custkey AS outline FROM customer")
+def deep_outline(spark, sf):
+    return with_outline(deep_json(spark, sf), "value", "outline").select("c_custkey", "outline")
+
+
 @query("json_flatten_level1", "PRJ-16 JSN-04", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number FROM events")
 def json_flatten_level1(spark, sf):
     entries = F.map_entries(F.from_json("props", "map<string,string>"))

@@ -2,8 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from itemforge.functions import arrow
-from itemforge.functions import names
+from itemforge.functions import chunks, names
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
 
@@ -32,9 +31,7 @@ def test_prose(spark):
 
 def test_clean_and_entities(spark):
     raw = "a&nbsp;&amp;lt;\r\n\t b  c \r\n\n\n\n" + chr(0xA0) + "&#65;&#x42;&#0; end"
-    expected = arrow.clean(raw)
-    assert values(spark, [raw], tx.clean_content) == [expected]
-    assert expected.startswith("a <\nb c\n\nAB")
+    assert values(spark, [raw], tx.clean_content) == ["a <\nb c\n\nAB\x00 end"]
 
 
 def test_references_and_facts(spark):
@@ -51,12 +48,33 @@ def test_names(spark):
     assert values(spark, samples, names.plain_name) == [names.plain_base(s) for s in samples]
 
 
-def test_chunking_cases():
-    packed = arrow.packed_cuts("a" * 2500 + "\n\ntail", 2000, 200)
-    assert packed == ["a" * 2500, "a" * 200 + "\n\ntail"]
-    text = "word " * 1000
-    cuts = arrow.window_cuts(text, 2000, 200)
+def test_chunking_cases(spark):
+    def packed(text, size=2000, overlap=200):
+        return values(spark, [text], lambda c: chunks.packed_chunks(c, size, overlap))[0]
+
+    def windows(text, size=2000, overlap=200):
+        return values(spark, [text], lambda c: chunks.window_chunks(c, size, overlap))[0]
+    assert packed("a" * 2500 + "\n\ntail") == ["a" * 2500, "a" * 200 + "\n\ntail"]
+    assert packed("one\n\n\n two \n\nthree") == ["one\n\ntwo\n\nthree"] and packed("\n\n") == []
+    assert packed("x" * 60 + "\n\n" + "y" * 60, 100, 0) == ["x" * 60, "y" * 60]
+    cuts = windows("word " * 1000)
     assert all(len(c) <= 2001 for c in cuts) and cuts[0].startswith("word") and len(cuts) == 3
+    assert windows("") == [] and windows(None) is None and windows("short") == ["short"]
+    assert windows("ab cd ef gh", 5, 0) == ["ab cd", "ef gh"]
+    assert windows("aaaa. bbb", 4, 0) == ["aaaa.", "bbb"]  # a sentence end that straddles the limit
+    assert windows("é" * 4500) == ["é" * 2000, "é" * 2000, "é" * 900]
+    # the only mark of a window stands near its start: windows move on by one character, far more often than usual
+    stuck = "ab " + "c" * 12
+    want, at = [], 0
+    while True:
+        end = min(len(stuck), at + 6)
+        mark = stuck.rfind(" ", at, end + 1) if end < len(stuck) else -1
+        end = mark + 1 if mark > at else end
+        want += [stuck[at:end].strip()]
+        if end >= len(stuck):
+            break
+        at = max(end - 5, at + 1)
+    assert windows(stuck, 6, 5) == want
 
 
 def test_flatteners(spark):
@@ -72,12 +90,54 @@ def test_flatteners(spark):
     assert [e.key for e in found[0].i][:3] == ["id", "address.city", "address.zip"]
     assert {e.key: e.value for e in found[1].i} == {"value": '[1,{"a":2}]'} and found[2].i is None and found[2].c == "null"
     assert found[1].c == '[1,{"a":2}]'
-    flat = arrow.flat_for_search(record)
+    flat = {e.key: e.value for e in json_tree.with_search_entries(rows, "v", "s").collect()[0].s}
     assert flat["city"] == "NYC" and flat["address.city"] == "NYC" and flat["tags"] == "x; y" and flat["rows.1.n"] == "2"
+    assert flat["rows"] == "[object Object]; [object Object]" and flat["deep.b.c"] == "1,; z" and flat["gone"] == "null" and flat["n"] == "2"
     ordered = spark.createDataFrame([('{"b": [1, {"d": 1, "c": null}], "a": 1.0}',)], "v string")
     assert ordered.select(json_tree.canonical_json(F.col("v"))).first()[0] == '{"a":1,"b":[1,{"c":null,"d":1}]}'
 
 
+def test_search_aliases(spark):
+    from itemforge.functions import json_tree
+    cases = {
+        '{"a":{"name":"x"},"name":"y"}': [("a.name", "x"), ("name", "y")],
+        '{"name":"y","a":{"name":"x"}}': [("name", "x"), ("a.name", "x")],
+        '{"p":{"n":"1","q":{"n":"2"},"r.n":"3"}}': [("p.n", "1"), ("n", "2"), ("p.q.n", "2"), ("p.r.n", "3")],
+        '{"p":{"r.n":"3","n":"1"}}': [("p.r.n", "3"), ("n", "3"), ("p.n", "1")],
+        '[{"k":1},[2,{"k":3}]]': [("0.k", "1"), ("k", "3"), ("1", "2; [object Object]"), ("1.1.k", "3")],
+        '{"t":"","long":"' + "x" * 1001 + '","l":["", "' + "y" * 1001 + '", true]}': [("l", "true")],
+        '"text"': [], "7": [], "no json": [],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases] + [(None,)], "v string").coalesce(1)
+    found = {r.v: r.e for r in json_tree.with_search_entries(rows, "v", "e").collect()}
+    assert found.pop(None) is None
+    assert {v: [tuple(e) for e in es] for v, es in found.items()} == cases
+
+
+def test_record_roles(spark):
+    from itemforge.functions import json_tree
+    cases = {
+        '{"Name":"n","title":"t","by":["a",1],"link":{"x":1,"name":"l"},"Created At":7,"date":"d"}': {"title": "n", "author": "a, 1", "url": "l", "date": "d"},
+        '{"authors":["a",null],"subject":{"title":3,"name":"s"},"icon":""}': {"title": "s"},
+        '[{"title":"t"}]': None, "no": None,
+    }
+    got = values(spark, list(cases), json_tree.record_roles)
+    assert [None if g is None else {e.key: e.value for e in g} for g in got] == list(cases.values())
+
+
+def test_records_of_thirty_levels(spark):
+    from itemforge.functions import json_tree
+    text = '{"leaf":0}'
+    for i in range(1, 30):
+        text = '{"leaf":%d,"k%d":%s}' % (i, i, text)
+    row = spark.createDataFrame([(text,)], "v string")
+    path = ".".join(f"k{i}" for i in range(29, 0, -1)) + ".leaf"
+    for build in (json_tree.with_search_entries, json_tree.with_identity_entries, json_tree.with_eval_entries):
+        found = {e.key: e.value for e in build(row, "v", "e").first().e}
+        assert found[path] == "0" and found["leaf"] == ("0" if build is json_tree.with_search_entries else "29") and len(found) == 30
+    assert json_tree.with_outline(row, "v", "o").first().o.endswith("- Leaf: 0")
+
+
 def test_outline_levels(spark):
     from itemforge.functions import json_tree
     rows = spark.createDataFrame([('{"title":"T","partsList":[{"a":1},2,""],"body":"' + "w" * 130 + '"}',)], "v string")
