@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
 from itemforge.operators.records import fact_value_for
 from itemforge.session import filter_settled
 
-# Characters of a word that anchor a phrase of one or two words.
-GRAM = 6
+# Bytes of phrases in one automaton, and what a phrase counts besides its own bytes.
+SHARD_BYTES, PHRASE_BYTES = 4 << 20, 64
 
 
 def reference_rows(evals: DataFrame) -> DataFrame:
@@ -150,53 +156,45 @@ def phrases_of(evals: DataFrame) -> DataFrame:
 
 
 def match_by_content(items: DataFrame, evals: DataFrame) -> DataFrame:
-    """Items whose lowered content holds any assertion of an evaluation item.
-
-    Never a nested loop, whatever the number of phrases: a phrase is joined on an anchor that every text holding it
-    must also hold, and the candidates are verified against the text.
-    """
+    """Items whose lowered content holds any assertion of an evaluation item."""
     phrases = phrases_of(evals)
-    content = items.select("item_id", F.lower("content").alias("content"))
-    hits = _join_on_anchors(content, phrases.select("phrase").distinct())
+    hits = texts_holding(items.select("item_id", F.lower("content").alias("content")), phrases.select("phrase"))
     return hits.join(phrases, "phrase").select("item_id", "eval_id").distinct()
 
 
-def _join_on_anchors(content: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Exact containment by equi joins over the vocabulary of the texts.
+def texts_holding(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(item_id, phrase) for every text of ``texts`` (item_id, content) and every phrase it holds.
 
-    A phrase of three or more words brings its inner words along whole: its rarest inner word anchors it.
-    Of a two-word phrase one word ends and the other starts a word of the text; a single word sits inside
-    one. Candidates are then verified against the text, so anchors decide the work, never the result.
+    Phrases are dealt by hash into shards of about ``SHARD_BYTES``; each shard is one multi-pattern automaton past which
+    every text is streamed once, where it is scanned. Texts are never shuffled, exploded or paired with phrases, and the
+    time of a pass follows the texts and the hits, not the number of phrases. A shard is all that is broadcast at a time;
+    however many phrases there are, they take this same path, in as many passes as there are shards.
     """
-    words = content.select("item_id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("token")).filter("token <> ''")
-    vocabulary = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    split = distinct.withColumn("w", F.split("phrase", r"\s+")).withColumn("n_words", F.size("w"))
-
-    inner = split.filter("n_words > 2").select("phrase", F.explode(F.array_distinct(F.expr("slice(w, 2, n_words - 2)"))).alias("token"),
-                                               F.size(F.array_distinct(F.expr("slice(w, 2, n_words - 2)"))).alias("need"))
-    # a phrase with an inner word no text holds cannot match at all
-    by_inner = (inner.join(vocabulary, "token").groupBy("phrase", "need")
-                .agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count(F.lit(1)).alias("have"))
-                .filter("have = need").select("phrase", "token"))
-
-    edge = F.when(F.length(F.col("w")[0]) >= F.length(F.col("w")[1]), F.struct(F.lit("end").alias("side"), F.substr(
-        F.col("w")[0], F.greatest(F.length(F.col("w")[0]) - GRAM + 1, F.lit(1))).alias("part"))).otherwise(
-        F.struct(F.lit("start").alias("side"), F.substring(F.col("w")[1], 1, GRAM).alias("part")))
-    two = split.filter("n_words = 2").select("phrase", edge.alias("e")).select("phrase", "e.side", "e.part")
-    cuts = [(r["side"], r["g"]) for r in two.select("side", F.length("part").alias("g")).distinct().collect()]  # at most 2 * GRAM rows
-    edges = F.array(*[F.struct(F.lit(side).alias("side"), (F.substr("token", F.length("token") - g + 1) if side == "end" else F.substring("token", 1, g)).alias("part")) for side, g in cuts])
-    by_edge = (vocabulary.select("token", F.inline(F.filter(edges, lambda e: F.length(e["part"]) > 0))).distinct()
-               .join(two, ["side", "part"]).select("phrase", "token")) if cuts else by_inner.limit(0)
-
-    one = split.filter("n_words = 1").select("phrase", F.substring("phrase", 1, GRAM).alias("part"))
-    sizes = [r["g"] for r in one.select(F.length("part").alias("g")).distinct().collect()]  # at most GRAM values
-    pairs = by_inner.unionByName(by_edge)
-    for g in sizes:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substr("token", i, F.lit(g))))
-        held = vocabulary.filter(F.length("token") >= g).select("token", F.explode(grams).alias("part"))
-        pairs = pairs.unionByName(held.join(one.filter(F.length("part") == g), "part").select("phrase", "token"))
-    candidates = words.join(pairs, "token").select("item_id", "phrase").distinct()
-    return candidates.join(content, "item_id").filter(F.contains("content", F.col("phrase"))).select("item_id", "phrase")
+    distinct = phrases.filter("phrase <> ''").distinct()
+    size = distinct.agg(F.sum(F.octet_length("phrase") + F.lit(PHRASE_BYTES))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)))
+    schema = T.StructType([texts.schema["item_id"], T.StructField("phrase", T.StringType())])
+    passes = [_streamed(texts, dealt.filter(F.col("shard") == k).select("phrase"), schema) for k in range(shards)]
+    return reduce(DataFrame.union, passes)
+
+
+def _streamed(texts: DataFrame, shard: DataFrame, schema: T.StructType) -> DataFrame:
+    patterns = texts.sparkSession.sparkContext.broadcast([r["phrase"] for r in shard.collect()])  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for phrase in patterns.value:
+            automaton.add_word(phrase, phrase)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if len(automaton) else []):
+                held = {phrase for _, phrase in automaton.iter(text)} if text else ()
+                at += [i] * len(held)
+                found += held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], schema.names)
+    return texts.select("item_id", "content").mapInArrow(run, schema)
 
 
 def merge_matches(*paths: DataFrame) -> DataFrame:
@@ -218,8 +216,9 @@ def rows_with_match(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def found_assertions(items: DataFrame, evals: DataFrame, edges: DataFrame) -> DataFrame:
     """(eval_id, assertion) seen verbatim, case included, in any matched item."""
     wanted = evals.select("eval_id", F.explode(F.array_distinct("assertions")).alias("assertion")).filter(F.col("assertion") != "")
-    pairs = edges.join(wanted, "eval_id").join(items.select("item_id", "content"), "item_id")
-    return pairs.filter(F.contains("content", F.col("assertion"))).select("eval_id", "assertion").distinct()
+    held = texts_holding(items.select("item_id", "content"), wanted.select(F.col("assertion").alias("phrase")))
+    seen = held.join(wanted, held["phrase"] == wanted["assertion"]).join(edges, ["item_id", "eval_id"], "left_semi")
+    return seen.select("eval_id", "assertion").distinct()
 
 
 def assertion_gaps(evals: DataFrame, found: DataFrame) -> DataFrame:
