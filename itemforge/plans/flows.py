@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from itemforge.operators import profile, runtime
@@ -10,6 +12,7 @@ from itemforge.operators.ordinals import last_wins, stride
 from itemforge.plans import sql as S
 from itemforge.plans.registry import query
 from itemforge.plans.tables import table
+from itemforge.session import shared_folder
 from itemforge.sinks import writers
 from itemforge.sources import readers
 from itemforge.streaming import crawl
@@ -30,6 +33,31 @@ def jsonl_scan(spark, sf):
     return r.select("ordinal", F.get_json_object("json", "$.k").alias("k"))
 
 
+def _files(df, spark, write):
+    """A copy of a table as files in the shared folder, for the scans that read files."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    write(df.write, path)
+    return path
+
+
+@query("numbered_lines", "SRC-01 STM-01", "SELECT doc_id, true AS placed FROM documents")
+def numbered_lines(spark, sf):
+    """Documents as lines of files, each line with its own place; the scan finds the same places."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
+    lines = table(spark, sf, "documents").select(F.concat_ws("|", place, "doc_id").alias("value"))
+    found = F.split("value", r"\|")
+    return readers.read_lines(spark, _files(lines, spark, lambda w, p: w.text(p))).select(found[1].cast("long").alias("doc_id"), (found[0].cast("long") + 1 == F.col("line")).alias("placed"))
+
+
+@query("quoted_scan", "SRC-02", "SELECT doc_id, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS digest FROM documents")
+def quoted_scan(spark, sf):
+    """Documents as delimited files whose cells hold the texts' own line breaks, read in splits."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = _files(docs, spark, lambda w, p: w.option("header", True).option("quoteAll", True).option("escape", '"').csv(p))
+    (_, rows), = readers.read_table(spark, [path], multi_line=True)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
 @query("disguised_lines", "SRC-10", """WITH l AS (SELECT 'part-' || (user_id % 40) || CASE WHEN user_id % 2 = 0 THEN '.json' ELSE '.jsonl' END AS source_file, user_id % 8 <> 0 OR event_id % 5 <> 0 AS ok FROM events)
 SELECT source_file, count(*) AS lines FROM l WHERE source_file LIKE '%.json' GROUP BY 1 HAVING bool_and(ok) AND count(*) >= 2""")
 def disguised_lines(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +34,35 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a missing one is an error, but in local mode, which is one machine."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="itemforge-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder that the cluster names; a missing folder is an error.
 
     Only reliable checkpoints are used, so a lost executor never loses the staged rows.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = checkpoint_dir(spark)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="itemforge-")  # one machine: local mode
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: like ``stage``, and Spark knows its size when it plans joins with it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def filter_settled(df: DataFrame, condition) -> DataFrame:
     """Filter on costly computed columns without the optimizer copying their expressions below.
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+import io
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
+from itemforge.sources import splits
 
 # Extensions, skipped folders and evaluation-set files.
 DISCOVERED = ("csv", "tsv", "json", "jsonl", "xlsx", "xls", "docx", "pdf", "pptx", "txt", "md")
@@ -55,25 +57,11 @@ def default_extensions(files: DataFrame) -> list[str] | None:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
-    """(source_file, line, value): every physical line with its 1-based number inside the file.
-
-    A file is read in splits. Lines are ranked inside their split only and a small table of split sizes
-    gives the offset, so one huge file is numbered by many tasks.
-    """
-    scan = spark.read.text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
-    ranked = scan.withColumn("_rank", F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at")))
-    sizes = ranked.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # both sides come from the same scan; a split the other side does not know means the input changed
-    joined = ranked.join(offsets, ["path", "_block"], "left")
-    line = F.when(F.col("_before").isNull(), F.raise_error(F.lit("input files changed while being read"))).otherwise(
-        F.col("_before") + F.col("_rank"))
-    value = F.when(line == 1, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value"))
-    return joined.select(tx.relative_path(F.col("path"), root).alias("source_file") if root else F.col("path").alias("source_file"),
-                         line.alias("line"), F.regexp_replace(value, "\r$", "").alias("value"))
+    """(source_file, line, value): every physical line with its 1-based number inside the file."""
+    found = splits.lines(spark, paths)
+    value = F.when(F.col("number") == 1, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value"))
+    return found.select(tx.relative_path(F.col("path"), root).alias("source_file") if root else F.col("path").alias("source_file"),
+                        F.col("number").alias("line"), F.regexp_replace(value, "\r$", "").alias("value"))
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
@@ -120,42 +108,52 @@ def read_table(spark: SparkSession, paths: list[str], *, root: str = "", multi_l
     """Delimited files grouped by delimiter and header: one (header, rows) pair per group.
 
     All cells are text, missing ones blank. ``multi_line`` follows quoted line breaks and drops rows of
-    blank cells; otherwise one physical line is one row.
+    blank cells; otherwise one physical line is one row. Either way a file is read in splits.
     """
+    if multi_line:
+        return _quoted_tables(spark, paths, root, blank_names)
     groups: dict[tuple, list[str]] = {}
     for r in _headers(spark, paths):
-        sep = ("\t" if r["path"].lower().endswith(".tsv") else ",") if multi_line else r["delimiter"]
-        groups.setdefault((sep, r["head"]), []).append(r["path"])
+        groups.setdefault((r["delimiter"], r["head"]), []).append(r["path"])
     out = []
     for (sep, head), members in groups.items():
         names = header_names(next(csv.reader([head], delimiter=sep), [""]), blank_names)
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        scan = (spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding)
-                .option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE")
-                .option("multiLine", str(multi_line).lower()).option("ignoreLeadingWhiteSpace", "false").csv(members))
-        header = list(keep_last_duplicates(names))
-        cells = [tx.text_or_blank(F.col(f"c{i}")).alias(n) for n, i in keep_last_duplicates(names).items()]
-        placed = scan.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("_path"),
-                             F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), *cells)
-        if multi_line:
-            blank = F.lit(True)
-            for n in header:
-                blank = blank & (tx.trimmed(F.col(f"`{n}`")) == "")
-            placed = placed.filter(~blank)
-        out.append((header, _numbered(placed, root)))
+        scan = (spark.read.schema(_cell_schema(names)).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding)
+                .option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "false").csv(members))
+        placed = scan.select(*splits.split_key(), F.monotonically_increasing_id().alias("at"), *_cells(names, lambda i: F.col(f"c{i}")))
+        out.append((list(keep_last_duplicates(names)), _rows(splits.numbered(placed), "number", names, root)))
     return out
 
 
-def _numbered(placed: DataFrame, root: str) -> DataFrame:
-    cells = [c for c in placed.columns if c not in ("_path", "_block", "_at")]
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at")))
-    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    path = F.col("_path")
-    return ranked.join(offsets, ["_path", "_block"]).select(
-        (tx.relative_path(path, root) if root else path).alias("source_file"),
-        (F.col("_before") + F.col("_rank")).alias("source_row"), *[F.col(f"`{c}`") for c in cells])
+def _cell_schema(names: list[str]) -> str:
+    return ", ".join(f"c{i} string" for i in range(len(names)))
+
+
+def _cells(names: list[str], cell) -> list[Column]:
+    """One column per header name, filled by the last cell of that name; missing cells are blank."""
+    return [tx.text_or_blank(cell(i)).alias(n) for n, i in keep_last_duplicates(names).items()]
+
+
+def _rows(found: DataFrame, number: str, names: list[str], root: str) -> DataFrame:
+    path = F.col("path")
+    return found.select((tx.relative_path(path, root) if root else path).alias("source_file"), F.col(number).alias("source_row"), *[F.col(f"`{n}`") for n in keep_last_duplicates(names)])
+
+
+def _quoted_tables(spark: SparkSession, paths: list[str], root: str, blank_names: bool) -> list[tuple[list[str], DataFrame]]:
+    out = []
+    for sep, members in ((",", [p for p in paths if not p.lower().endswith(".tsv")]), ("\t", [p for p in paths if p.lower().endswith(".tsv")])):
+        if not members:
+            continue
+        records, groups = splits.quoted_records(spark, members, sep), {}
+        for r in records.filter("place = 0").collect():  # one header a file
+            groups.setdefault(r["record"], []).append(r["path"])
+        for head, of_group in groups.items():
+            names = header_names(next(csv.reader(io.StringIO(head), delimiter=sep)), blank_names)
+            parsed = records.filter((F.col("place") > 0) & F.col("path").isin(of_group)).select("path", "place", F.from_csv(
+                "record", _cell_schema(names), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\n"}).alias("_c"))
+            cells = parsed.select("path", "place", *_cells(names, lambda i: F.col(f"_c.c{i}")))
+            out.append((list(keep_last_duplicates(names)), _rows(cells, "place", names, root)))
+    return out
 
 
 def is_object(c: Column) -> Column:

@@ -171,3 +171,12 @@ def test_eval_set_skips_in_order(spark):
     rows = [("i1", "p", "s", 1), ("i2", " P ", "s", 2), ("i2", "other", "s", 3), ("i4", "other", "s", 4)]
     kept = evalset.build_eval_set(spark.createDataFrame(rows, shape_), 10).collect()
     assert [(r["eval_id"], r["prompt"]) for r in kept] == [("i1", "p"), ("i2", "other")]
+
+
+def test_phrases_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SHARD_BYTES", 200)
+    texts = spark.createDataFrame([(1, "the café bar and the cafés"), (2, "aaaa"), (3, None), (4, ""), (5, "barand"), (5, "barand")], "item_id long, content string")
+    phrases = ["café", "bar and", "a", "aa", "the café bar and the cafés!", "", "and", "zz", "rand", "é", "bar and", "漢"]
+    found = {tuple(r) for r in matching.texts_holding(texts, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    assert found == {(i, p) for i, t in [(1, "the café bar and the cafés"), (2, "aaaa"), (5, "barand")] for p in phrases if p and p in t}
+    assert matching.texts_holding(texts, spark.createDataFrame([], "phrase string")).count() == 0

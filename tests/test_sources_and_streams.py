@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +66,56 @@ def test_line_numbers_over_many_splits(spark, dataset):
     assert len(rows) == 20000 and all(r["value"] == f"row {r['line']}" for r in rows)
 
 
+def quoted_rows(text):
+    """Records by single characters: a quote opens or closes, a doubled one inside is a quote."""
+    rows, row, cell, inside, at = [], [], "", False, 0
+    while at < len(text):
+        if text[at] == '"':
+            if inside and text[at + 1:at + 2] == '"':
+                cell, at = cell + '"', at + 1
+            else:
+                inside = not inside
+        elif text[at] in ",\n" and not inside:
+            row, cell = [*row, cell], ""
+            if text[at] == "\n":
+                rows, row = [*rows, row], []
+        else:
+            cell += text[at]
+        at += 1
+    rows += [[*row, cell]] if cell or row else []
+    return [r for r in rows if any(c.strip() for c in r)]
+
+
+def test_quoted_line_breaks_over_many_splits(spark, dataset):
+    rng = random.Random(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        paths, want = [], set()
+        for name in ("one.csv", "two.csv"):
+            out = io.StringIO()
+            table = csv.writer(out, lineterminator="\n")
+            table.writerow(["a", "b\nx", "c"])
+            for i in range(150):
+                k = rng.random()
+                table.writerow(["", "", ""] if k < 0.1 else ["\n\n", "  ", ""] if k < 0.15 else [str(i), rng.choice(['x', 'multi\nline "q"\n\n,' * rng.randint(1, 40), '"', "a,b"]), "é" * rng.randint(0, 20)])
+            paths.append(dataset(name, out.getvalue()))
+            want |= {(name, i, *[*r, "", ""][:3]) for i, r in enumerate(quoted_rows(out.getvalue())) if i}
+        (header, rows), = readers.read_table(spark, paths, multi_line=True, root=dataset.root)
+        assert header == ["a", "b\nx", "c"] and rows.rdd.getNumPartitions() > 20
+        found = rows.collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_line_numbers_move_no_rows(spark, dataset):
+    plan = readers.read_lines(spark, dataset("few.txt", "a\nb\n"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_eval_items(spark, dataset):
     path = dataset("e.json", json.dumps({"items": [{"prompt": "q", "assertions": [{"type": "must_contain", "value": "v", "wholeWord": True}, {"type": "other", "value": "w"}],
                                                   "supporting_facts": ["a=1", "b"], "source_location": "A.csv:row 4"}]}))
