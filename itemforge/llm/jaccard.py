@@ -11,11 +11,14 @@ two documents being linked when den * |intersection| >= num * |union|. Exact: no
    A key shared by chance needs several equal shingles, so a passage that many documents carry does not make it hot.
 3. Classes that share keys form candidate blocks. Copies meet inside the map task first: a key leaves it once, with
    one class, however many documents have it, and star edges tie the others to that class.
-4. Trees. A block's classes are sorted by size under nodes that hold the OR of their token bitmaps, their size range
+4. Refinement. Documents that share passages chain into blocks too large to compare. Those are cut first: every class
+   sends a bitmap (a few bits a shingle) to pairs of tiles of its size band, and the components of what sizes and bitmaps
+   leave possible become the blocks. Bitmaps never rule out a link, so linked sets stay together.
+5. Trees. A block's classes are sorted by size under nodes that hold the OR of their token bitmaps, their size range
    and their least bit count. Pairs of nodes are walked together; a pair is pruned by its size ranges, by the largest
    overlap the bitmaps leave possible, or because one component holds all of both. What is left is checked exactly.
-   A block above ``TILE_SHINGLES`` is cut into tiles, and each pair of tiles is a task of its own.
-5. Components of the links, with the smallest doc_id as root.
+   A block still above ``TILE_SHINGLES`` is cut into tiles, and each pair of tiles is a task of its own.
+6. Components of the links, with the smallest doc_id as root.
 
 Scale: shuffles are packed keys (about 0.16 per shingle at 0.9) and the sets of block members, of which a bit map of fixed
 size keeps most others out. Texts are read three times and never shuffled.
@@ -30,11 +33,11 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -42,7 +45,8 @@ from itemforge.llm.bytewords import mix, ranges, shingle_sets, text_slices
 from itemforge.llm.components import components
 from itemforge.llm.shared import bit_map, in_bit_map, settle, table
 
-RATIO, TILE_SHINGLES, BITS, FAN, SALTS = 0.67, 2_000_000, 512, 8, 16
+RATIO, TILE_SHINGLES, TILE_CLASSES, FAN, SALTS = 0.8, 1_000_000, 8_192, 8, 16
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 
 
 def levels(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -119,14 +123,14 @@ def long_keys(raw: bytes) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_id."""
+    """doc_id, n_shingles, class_id and the set's bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 hashes, bounds = shingle_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(hashes, bounds), pa.int64())],
-                                                 ["doc_id", "n_shingles", "class_id"])
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class_id long")
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(hashes, bounds), pa.int64()),
+                                                  pa.array(signatures(hashes, bounds), pa.binary())], ["doc_id", "n_shingles", "class_id", "bits"])
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class_id long, bits binary")
 
 
 def candidate_edges(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -186,34 +190,46 @@ class Forest:
             self.up = up
 
 
-def bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(bounds) - 1, BITS // 8), np.uint8)
-    owner, bit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (hashes & np.uint64(BITS - 1)).astype(np.int64)
-    np.bitwise_or.at(out, (owner, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    return out.view(np.uint64)
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A bitmap of every set, with two to four bits a shingle between ``LEAST_BITS`` and ``MOST_BITS``."""
+    sizes = np.diff(bounds)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    place = np.cumsum(bits) - bits
+    out = np.zeros(int(bits.sum()) // 8, np.uint8)
+    at = np.repeat(place, sizes) + (hashes & np.repeat((bits - 1).astype(np.uint64), sizes)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    raw = out.tobytes()
+    return [raw[p:p + n] for p, n in zip((place // 8).tolist(), (bits // 8).tolist())]
+
+
+def folded(found: list[bytes]) -> np.ndarray:
+    """Bitmaps of several lengths as rows of the shortest: a longer one's halves are laid over each other."""
+    least = min(len(b) for b in found)
+    out = np.zeros((len(found), least // 8), np.uint64)
+    for n in {len(b) for b in found}:
+        at = [i for i, b in enumerate(found) if len(b) == n]
+        rows = np.frombuffer(b"".join(found[i] for i in at), np.uint64).reshape(len(at), n // least, -1)
+        out[at] = np.bitwise_or.reduce(rows, axis=1)
+    return out
 
 
-def tree_links(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets that join the same components as all links do. ``hashes`` ascend within a set."""
-    sizes = np.diff(bounds)
-    order = np.lexsort((hashes[bounds[:-1]], sizes))  # equal sizes: sets with the same smallest shingle side by side
-    n, rank = len(order), sizes[order]
-    maps = bitmaps(hashes, bounds)[order]
-    vocabulary, local = np.unique(hashes, return_inverse=True)
-    local = local[ranges(bounds[:-1][order], rank)]
-    starts = np.concatenate([[0], np.cumsum(rank)])
+def walk_trees(maps: np.ndarray, rank: np.ndarray, num: int, den: int, forest: Forest, check: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Dual traversal over sets in ascending order of size: ``check`` gets the pairs that bitmaps and sizes leave possible."""
+    n = len(rank)
     tree = [(maps, np.bitwise_count(maps).sum(axis=1).astype(np.int64), rank, rank)]
     while len(tree[-1][0]) > FAN:
         bits, least, low, high = tree[-1]
         cut = np.arange(0, len(bits), FAN)
         tree.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(least, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
-    forest, links, mark = Forest(n), [], np.zeros(len(vocabulary), bool)
 
     def possible(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         bits, least, low, high = tree[level]
+        fits = np.flatnonzero((high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num))
+        i, j, out = i[fits], j[fits], np.zeros(len(i), bool)
         common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
         apart = np.maximum(least[i] - common, 0) + np.maximum(least[j] - common, 0)
-        return (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num) & (apart * (num + den) <= (high[i] + high[j]) * (den - num))
+        out[fits] = apart * (num + den) <= (high[i] + high[j]) * (den - num)
+        return out
 
     def united(level: int) -> np.ndarray:
         """The component that holds all below a node, or -1."""
@@ -222,22 +238,6 @@ def tree_links(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> li
         low, high = np.minimum.reduceat(roots, cut), np.maximum.reduceat(roots, cut)
         return np.where(low == high, low, -1)
 
-    def check(i: np.ndarray, j: np.ndarray) -> None:
-        for first in np.unique(i):
-            partners = j[i == first]
-            roots = forest.roots()
-            partners = partners[roots[partners] != roots[first]]
-            if not len(partners):
-                continue
-            mine = local[starts[first]:starts[first + 1]]
-            mark[mine] = True
-            length = rank[partners]
-            hits = np.add.reduceat(mark[local[ranges(starts[partners], length)]].astype(np.int64), np.cumsum(length) - length)
-            mark[mine] = False
-            for p in partners[hits * den >= (rank[first] + length - hits) * num].tolist():
-                if forest.union(int(first), p):
-                    links.append((int(order[first]), int(order[p])))
-
     def walk(level: int, i: np.ndarray, j: np.ndarray) -> None:
         keep = possible(level, i, j)
         if level == 0:
@@ -257,22 +257,95 @@ def tree_links(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> li
             y = (b[:, None, None] * FAN + np.arange(FAN)[None, None, :] + np.zeros((FAN, 1), np.int64)).ravel()
             real = (x < size) & (y < size) & (x <= y)
             walk(level - 1, x[real], y[real])
-    top = len(tree[-1][0])
-    i, j = np.triu_indices(top)
+    i, j = np.triu_indices(len(tree[-1][0]))
     walk(len(tree) - 1, i, j)
+
+
+def tree_links(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between sets that join the same components as all links do. ``hashes`` ascend within a set."""
+    sizes = np.diff(bounds)
+    order = np.lexsort((hashes[bounds[:-1]], sizes))  # equal sizes: sets with the same smallest shingle side by side
+    rank = sizes[order]
+    maps = folded(signatures(hashes, bounds))[order]
+    vocabulary, local = np.unique(hashes, return_inverse=True)
+    local = local[ranges(bounds[:-1][order], rank)]
+    starts = np.concatenate([[0], np.cumsum(rank)])
+    forest, links, mark = Forest(len(order)), [], np.zeros(len(vocabulary), bool)
+
+    def check(i: np.ndarray, j: np.ndarray) -> None:
+        for first in np.unique(i):
+            partners = j[i == first]
+            roots = forest.roots()
+            partners = partners[roots[partners] != roots[first]]
+            if not len(partners):
+                continue
+            mine = local[starts[first]:starts[first + 1]]
+            mark[mine] = True
+            length = rank[partners]
+            hits = np.add.reduceat(mark[local[ranges(starts[partners], length)]].astype(np.int64), np.cumsum(length) - length)
+            mark[mine] = False
+            for p in partners[hits * den >= (rank[first] + length - hits) * num].tolist():
+                if forest.union(int(first), p):
+                    links.append((int(order[first]), int(order[p])))
+    walk_trees(maps, rank, num, den, forest, check)
     return links
 
 
+def possible_links(found: list[bytes], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join the same components as all pairs do which bitmaps and sizes leave possible."""
+    maps = folded(found)
+    order = np.lexsort((maps[:, 0], sizes))
+    forest, links = Forest(len(order)), []
+
+    def check(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist()):
+            if forest.union(a, b):
+                links.append((int(order[a]), int(order[b])))
+    walk_trees(maps[order], sizes[order], num, den, forest, check)
+    return links
+
+
+def in_bands(chosen: DataFrame, num: int, den: int) -> Column:
+    """The bands of size of a class: sizes that can be linked are at most one factor den / num apart, so a class joins its own band and the one before."""
+    step = F.floor(F.log("n_shingles") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")  # the margin covers rounding
+    return F.array(step - 1, step)
+
+
+def refined(classes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """class_id and block, with blocks above ``TILE_SHINGLES`` cut along what bitmaps leave possible.
+
+    Documents that share passages chain into large blocks. There only bitmaps are sent to pairs of tiles, a few bytes for
+    every hundred of a set; the components of the pairs they leave possible are the new blocks. Linked sets are never parted.
+    """
+    chosen = classes.join(blocks, "class_id").select("class_id", "block", "n_shingles", "bits")
+    large = settle(chosen.groupBy("block").agg(F.sum("n_shingles").alias("weight")).filter(F.col("weight") > TILE_SHINGLES).select("block"))
+    banded = chosen.join(large, "block").withColumn("band", F.explode(in_bands(chosen, num, den)))
+    tiles = banded.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_CLASSES)).cast("int").alias("tiles"))
+    tiled = banded.join(tiles, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    spread = tiled.withColumn("pair", F.explode(tile_pairs())).withColumn("pack", F.xxhash64("block", "band", "pair"))
+
+    def cut(group: pa.Table) -> pa.Table:
+        ids, sizes, found = group.column("class_id").to_numpy(), group.column("n_shingles").to_numpy(), group.column("bits").to_pylist()
+        links = np.array(possible_links(found, sizes, num, den), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[links[:, 0]], pa.int64()), "b": pa.array(ids[links[:, 1]], pa.int64())})
+    edges = spread.select("pack", "class_id", "n_shingles", "bits").groupBy("pack").applyInArrow(cut, "a long, b long")
+    finer = components(edges).select(F.col("id").alias("class_id"), F.col("root").alias("block"))
+    return blocks.join(large, "block", "left_anti").select("class_id", "block").union(finer)
+
+
+def tile_pairs() -> Column:
+    """All pairs of tiles that a member of ``tile`` out of ``tiles`` is in."""
+    return F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("one"), F.greatest(t, F.col("tile")).alias("two")))
+
+
 def placed_in_blocks(classes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
     """id, class_id, block, band, tiles, tile: where the classes of blocks are worked.
 
-    A block above ``TILE_SHINGLES`` is cut into bands of size first: sizes that can be linked are at most one factor
-    den / num apart, so a class joins its own band and the one before. A band above the bound has several tiles.
+    A block above ``TILE_SHINGLES`` is cut into bands of size first; a band above the bound has several tiles.
     """
     chosen = classes.join(blocks, "class_id").select("id", "class_id", "block", "n_shingles")
     weights = chosen.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
-    step = F.floor(F.log("n_shingles") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")  # the margin covers rounding
-    bands = F.when(F.col("weight") <= TILE_SHINGLES, F.array(F.lit(-2))).otherwise(F.array(step - 1, step))
+    bands = F.when(F.col("weight") <= TILE_SHINGLES, F.array(F.lit(-2))).otherwise(in_bands(chosen, num, den))
     banded = chosen.join(weights, "block").withColumn("band", F.explode(bands))
     tiles = banded.groupBy("block", "band").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).cast("int").alias("tiles"))
     return banded.join(tiles, ["block", "band"]).select("id", "class_id", "block", "band", "tiles", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int").alias("tile"))
@@ -280,8 +353,7 @@ def placed_in_blocks(classes: DataFrame, blocks: DataFrame, num: int, den: int)
 
 def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame:
     """``members`` (block, band, tiles, tile, id, shingles): links (a, b) by id, that of a class. Several tiles are worked by pairs of tiles."""
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("one"), F.greatest(t, F.col("tile")).alias("two")))
-    spread = members.withColumn("pair", F.explode(pairs)).withColumn(
+    spread = members.withColumn("pair", F.explode(tile_pairs())).withColumn(
         "pack", F.when(F.col("band") == -2, F.pmod(F.xxhash64("block"), F.lit(packs))).otherwise(F.xxhash64("block", "band", "pair").bitwiseOR(F.lit(1 << 40))))
 
     def verify(group: pa.Table) -> pa.Table:
@@ -308,10 +380,10 @@ def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // (64 << 20)))
     sized = settle(set_sizes(read, width))
-    blocks = components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block"))
-    salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"))
-    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.max("size").alias("n_shingles"), F.collect_set("salt").alias("salts")))
-    chosen = settle(placed_in_blocks(classes, blocks, num, den))
+    blocks = settle(components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block")))
+    salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits"))
+    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.max("size").alias("n_shingles"), F.max("bits").alias("bits"), F.collect_set("salt").alias("salts")))
+    chosen = settle(placed_in_blocks(classes, refined(classes, blocks, num, den), num, den))
 
     shared = spark.sparkContext.broadcast(bit_map(chosen, "class_id"))
 
