@@ -46,6 +46,7 @@ def test_jaccard_equals_brute_force(spark, width, num, den):
 
 def test_jaccard_tiles_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "TILE_CLASSES", 5)
     rows = families(8)
     assert Counter(map(tuple, jaccard.jaccard_classes(spark.createDataFrame(rows, DOCS)).collect())) == jaccard_truth(rows, 3, 9, 10)
 
@@ -120,27 +121,76 @@ def test_graph_recall():
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, truth)]) > 0.9
 
 
+def teams_truth(forms, opened=()):
+    """(form, open positions, those of them that vary) of all forms of a leaf, all of one length."""
+    n, length = len(forms), len(forms[0])
+    varied = [p for p in range(length) if len({f[p] for f in forms}) > 1]
+    if n < lines.MIN_LINES:
+        return [(f, opened, len({*opened} & {*varied})) for f in forms]
+    tops = {p: Counter(f[p] for f in forms).most_common() for p in range(length) if p not in opened}
+    marks = {p: t for p, t in tops.items() if t[0][1] < n}
+    even = [p for p, t in marks.items() if t[0][1] * 2 <= n]
+    scarce = [p for p in even if len(marks[p]) < lines.MIN_VALUES]
+    wider = (*opened, *(p for p in even if p not in scarce))
+    fits = len(wider) * 100 <= length * lines.OPEN
+    if fits and not scarce:
+        opened = wider
+    marks = {p: t for p, t in marks.items() if p not in opened}
+    closed = [p for p, t in marks.items() if t[0][1] * 2 > n]
+    following, out = defaultdict(list), []
+    for f in forms:
+        shared = [(t[0][1], -p) for p, t in marks.items() if t[0][1] > 1]
+        cut = scarce[0] if scarce else next((p for p in closed if f[p] != marks[p][0][0]), None) if closed else -max(shared)[1] if shared and not fits else None
+        if cut is not None:
+            following[cut, f[cut]].append(f)
+        elif not fits and closed:
+            following[None, None].append(f)
+        else:
+            out.append((f, opened, len({*opened} & {*varied})))
+    rest = defaultdict(list)
+    for (cut, _), found in following.items():
+        if len(found) > 1:
+            out += teams_truth(found, opened)
+        else:
+            rest[cut] += found
+    return out + [x for found in rest.values() for x in teams_truth(found, opened)]
+
+
 def lines_truth(rows):
-    per = defaultdict(set)
-    tokens = lambda line: tuple("<*>" if any("0" <= c <= "9" for c in t) else t for t in WORDS.findall(line))
+    held, forms, leaves = defaultdict(set), defaultdict(set), defaultdict(list)
+
+    def masked(tokens):
+        digits = [any("0" <= c <= "9" for c in t) for t in tokens]
+        return tokens if sum(digits) * 100 > len(tokens) * lines.OPEN else tuple("<*>" if d else t for t, d in zip(tokens, digits))
     for doc, text, *_ in rows:
         for line in text.split("\n") if text is not None else []:
-            if len(tokens(line)) >= lines.MIN_WORDS:
-                per[tokens(line)].add(doc)
-    leaves, template, met = defaultdict(list), {}, defaultdict(set)
-    for key in per:
-        leaves[len(key), key[:lines.DEPTH]].append(key)
-    for (length, _), keys in leaves.items():
-        open_ = [p for p in range(length) if len(keys) > 1 and max(Counter(k[p] for k in keys).values()) * 2 <= len(keys)]
-        for k in keys:
-            template[k] = ("open", *("?" if p in open_ else t for p, t in enumerate(k))) if open_ and len(open_) * 100 <= length * lines.OPEN else k
-    for key, docs in per.items():
-        met[template[key]] |= {d for d in docs if d is not None}
+            tokens = tuple(WORDS.findall(line))
+            if tokens:
+                held[tokens].add(doc)
+                forms[masked(tokens)].add(tokens)
+    for form, found in forms.items():
+        exact = any(any("0" <= c <= "9" for c in t) for t in form)
+        leaves[(form,) if exact else (len(form), form[:lines.DEPTH])].append(form)
+    template, kinds, fields, docs = {}, Counter(), Counter(), defaultdict(set)
+    for leaf, found in leaves.items():
+        for form, opened, n_fields in teams_truth(found):
+            key = (leaf, tuple("?" if p in opened else t for p, t in enumerate(form))) if opened else form
+            template[form] = key
+            kinds[key] += len(forms[form])
+            fields[key] = max(fields[key], n_fields + form.count("<*>"))
+            docs[key] |= {d for tokens in forms[form] for d in held[tokens] if d is not None}
     out = Counter()
+
+    def keeper(line):
+        tokens = tuple(WORDS.findall(line))
+        if not tokens:
+            return None
+        key, own = template[masked(tokens)], {d for d in held[tokens] if d is not None}
+        if fields[key] and kinds[key] >= fields[key] * lines.MIN_LINES and len(docs[key]) > 1:
+            return min(docs[key])
+        return min(own) if len(own) > 1 else None
     for doc, text, *_ in rows:
-        kept = None
-        if text is not None:
-            kept = "\n".join(x for x in text.split("\n") if not (len(tokens(x)) >= lines.MIN_WORDS and len(met[template[tokens(x)]]) >= 2 and doc != min(met[template[tokens(x)]])))
+        kept = None if text is None else "\n".join(x for x in text.split("\n") if keeper(x) in (None, doc))
         out[doc, kept] += 1
     return out
 
@@ -167,10 +217,36 @@ def kept_lines(spark, texts):
     return {r.doc_id: r.text for r in lines.without_recurring(df).collect()}
 
 
+def letters(k):
+    return "".join("abcdefghij"[int(c)] for c in str(k))
+
+
 def test_lines_of_numbers_are_exact(spark):
     texts = ["12 34 56 78 90", "1 2 3 4 5", "Revenue 2019 1,234 2020 1,456", "Revenue 2021 1,999 2022 2,010", "12 34 56 78 90",
              "ticket 17 was closed by the night shift", "ticket 18 was closed by the night shift"]
-    assert kept_lines(spark, texts) == dict(enumerate([*texts[:4], "", texts[5], ""]))
+    assert kept_lines(spark, texts) == dict(enumerate([*texts[:4], "", *texts[5:]]))
+    tickets = [f"ticket {k} was closed by the night shift" for k in range(lines.MIN_LINES)]
+    assert kept_lines(spark, tickets) == dict(enumerate([tickets[0], *[""] * (lines.MIN_LINES - 1)]))
+
+
+def test_sentences_that_differ_in_a_word_stay(spark):
+    rng = random.Random(8)
+    pairs = ["He was born in London and lived there", "He was born in Leeds and lived there", "The meeting on Monday was moved to room nine", "The meeting on Monday was moved to room four",
+             "Chapter 5 of the book begins here", "Chapter 6 of the book begins here"]
+    sentences = []
+    for _ in range(150):
+        words = prose(rng, rng.randint(6, 15)).split(" ")
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(words))
+            sentences.append(" ".join([*words[:at], f"{prose(rng, 1)}{letters(len(sentences))}", *words[at + 1:]]))
+    texts = pairs + list(dict.fromkeys(sentences))
+    assert kept_lines(spark, texts) == dict(enumerate(texts))
+
+
+def test_a_field_of_two_values_is_none(spark):
+    texts = [f"the {day} report on stock {letters(k)} was sent to all" for k in range(20) for day in ("monday", "friday")]
+    got = kept_lines(spark, texts)
+    assert sorted(t for t in got.values() if t) == sorted(texts[:2])
 
 
 def test_templates_tell_all_tokens_apart(spark):
@@ -181,10 +257,6 @@ def test_templates_tell_all_tokens_apart(spark):
     assert [got[len(frequent) + i] for i in range(len(rare))] == rare
 
 
-def letters(k):
-    return "".join("abcdefghij"[int(c)] for c in str(k))
-
-
 def test_families_in_one_leaf_part(spark):
     one = [f"the job was started by {letters(k)} on the first node" for k in range(100)]
     two = [f"the job was moved to queue after all {letters(k)} retries" for k in range(100)]
@@ -218,3 +290,17 @@ def test_long_words_that_meet_under_any_polynomial():
     raw = np.frombuffer((word + other).encode(), np.uint8)
     one, two = bytewords.hash_ranges(raw, np.array([0, len(word)]), np.array([len(word), len(raw)]))
     assert one != two
+
+
+def test_bitmaps_leave_every_link_possible():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 300, 700, 3_000):
+        one = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for changed in range(0, size // 8 + 1, max(1, size // 40)):
+            two = np.unique(np.concatenate([one[changed:], rng.integers(0, 1 << 63, changed // 2, dtype=np.uint64)]))
+            linked = 10 * len(np.intersect1d(one, two)) >= 8 * len(np.union1d(one, two))
+            pair = jaccard.signatures(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]))
+            found = jaccard.possible_links(pair, np.array([len(one), len(two)]), 8, 10)
+            assert found or not linked
+    alone = jaccard.signatures(np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64)), np.array([0, 300, 600]))
+    assert jaccard.possible_links(alone, np.array([300, 300]), 8, 10) == []
