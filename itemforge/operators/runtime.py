@@ -52,9 +52,11 @@ def _first(raw: DataFrame, keys: tuple[str, ...], kinds: dict[str, str]) -> Colu
 def runtime_items(raw: DataFrame, schema: list[Property], *, access: str = "everyone", icon: str = DEFAULT_ICON,
                   property_hook: Callable[[dict[str, Column]], dict[str, Column]] | None = None,
                   content_hook: Callable[[Column], Column] | None = None,
-                  access_hook: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+                  access_hook: Callable[[DataFrame], Column] | None = None, carry: list[str] = ()) -> DataFrame:
     """Map raw columns to schema properties, build the content text and flag rows that must not be written.
 
+    Columns to ``carry`` go along as they are and are no content.
+
     The hooks work on columns, so custom mappings stay inside the same plan.
     """
     kinds = dict(raw.dtypes)
@@ -75,7 +77,7 @@ def runtime_items(raw: DataFrame, schema: list[Property], *, access: str = "ever
         props = property_hook(props)
     lines = [F.when(v != "", F.concat(F.lit(f"{k}: "), v)) for k, v in props.items()]
     for c, kind in kinds.items():
-        if c == "id" or kind.startswith(("struct", "array", "map")):
+        if c == "id" or c in carry or kind.startswith(("struct", "array", "map")):
             continue
         text = nm.scalar_text(F.col(f"`{c}`"), kind)
         unmapped = props[c].isNull() if c in props else F.lit(True)
@@ -86,7 +88,7 @@ def runtime_items(raw: DataFrame, schema: list[Property], *, access: str = "ever
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in props.items()])
     acl = access_hook(raw) if access_hook else access_entries(access)
     built = raw.select(key.alias("id"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("properties"),
-                       content.alias("content"), acl.alias("acl"))
+                       content.alias("content"), acl.alias("acl"), *[F.col(f"`{c}`") for c in carry])
     size = F.octet_length(F.to_json(F.struct("id", "acl", "properties", "content")))
     error = (F.when(F.col("id").isNull() | (F.col("id") == ""), F.lit("missing id"))
              .when(size > MAX_ITEM_BYTES, F.concat(F.lit("item exceeds 4 MB ("), size.cast("string"), F.lit(" bytes)"))))

@@ -15,7 +15,7 @@ from itemforge.plans.tables import table
 from itemforge.session import shared_folder
 from itemforge.sinks import writers
 from itemforge.sources import readers
-from itemforge.streaming import crawl
+from itemforge.streaming import crawl, hook
 
 
 def event_records(spark, sf):
@@ -148,6 +148,43 @@ def newest_versions(spark, sf):
     return last_wins(log, ["id"], writers.version_place(F.col("version"), F.col("batch"))).select("id", "event_id")
 
 
+@query("replayed_items", "SNK-08 STM-04", """SELECT user_id AS id, event_id FROM (SELECT user_id, event_id, row_number() OVER (
+ PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS place FROM events) WHERE place = 1""")
+def replayed_items(spark, sf):
+    """Events through the sink as three batches, the second one twice, with a compaction between them and a replay of what it holds."""
+    target = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", F.col("event_id").alias("place"))
+    for batch in (0, 1, 1, None, 1, 2):
+        if batch is None:
+            writers.compact(spark, target)
+        else:
+            writers.upsert_batch(events.filter(F.col("event_id") % 3 == batch), target, "v1", batch, "place")
+    return writers.latest_items(spark, target)
+
+
+@query("crawled_items", "STM-01 STM-02 STM-03 UDF-01", """SELECT 'c' || c_custkey AS id, upper(c_name) AS title, c_mktsegment AS segment FROM customer WHERE c_acctbal >= 0""")
+def crawled_items(spark, sf):
+    """Customers as JSON lines through the stream into the item table, a hook on the title; those in debt have no id and are quarantined."""
+    c = table(spark, sf, "customer")
+    ident = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    folder = _files(c.select(F.to_json(F.struct(ident.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).alias("value")), spark, lambda w, p: w.text(p))
+    base = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    crawl.crawl(spark, folder, raw_schema="id string, name string, segment string", schema=[Property("title", "String", aliases=["name"]), Property("segment", "String")],
+                target=f"{base}/items", quarantine=f"{base}/bad", checkpoint=f"{base}/at", version="v1", max_failures=c.count() + 1,
+                property_hook=lambda props: {**props, "title": F.upper(props["title"])}).awaitTermination()
+    p = F.col("properties")
+    return writers.latest_items(spark, f"{base}/items").select("id", p["title"].alias("title"), p["segment"].alias("segment"))
+
+
+@query("hooked_items", "UDF-02", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
+def hooked_items(spark, sf):
+    """The customer table as raw items of a source hook, read block by block."""
+    hook.register(spark, "parquet_rows", lambda options: hook.ParquetRows(options))
+    raw = hook.read(spark, "parquet_rows", path=f"{sf}/customer.parquet")
+    return raw.select(F.from_json("value", "c_custkey long, c_name string, c_acctbal double").alias("r")).select(
+        F.col("r.c_custkey").alias("id"), F.col("r.c_name").alias("name"), F.col("r.c_acctbal").alias("balance"))
+
+
 @query("upsert_latest", "SNK-08 WIN-06 STM-04", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def upsert_latest(spark, sf):
     """Two overlapping batches, the first applied twice: what the item table would hold."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,12 +111,16 @@ def write_score_matrix(questions: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def upsert_batch(items: DataFrame, target: str, version: str, batch_id: int) -> None:
-    """Write one batch of items under its own folder. The same batch written twice replaces itself,
-    so the cost is the batch, never the table."""
-    rows = items if "ordinal" in items.columns else items.withColumn("ordinal", F.monotonically_increasing_id())
-    latest = last_wins(rows, ["id"], F.col("ordinal")).drop("ordinal")
-    latest.write.mode("overwrite").parquet(f"{target}/version={version}/batch={batch_id:012d}")
+def upsert_batch(items: DataFrame, target: str, version: str, batch_id: int, order: str | None = None) -> None:
+    """Write one batch of items to the table's log, under its own folder.
+
+    The same batch written twice replaces itself, so the cost is the batch, never the table. Of rows with one id the last
+    by the column ``order`` stays, which must come from the data (a file and a place in it), so that a retried task picks
+    the same, and is not written; without one the rows' own values decide.
+    """
+    placed = items.withColumn("_order", F.col(order) if order else F.to_json(F.struct(*[F.col(f"`{c}`") for c in items.columns])))
+    latest = last_wins(placed.drop(order) if order else placed, ["id"], F.col("_order")).drop("_order")
+    latest.write.mode("overwrite").parquet(f"{target}/log/version={version}/batch={batch_id:012d}")
 
 
 def version_place(version: Column, batch: Column) -> Column:
@@ -123,15 +129,68 @@ def version_place(version: Column, batch: Column) -> Column:
     return F.struct(numbers.alias("numbers"), version.cast("string").alias("version"), batch.cast("long").alias("batch"))
 
 
-def latest_items(spark: SparkSession, target: str) -> DataFrame:
-    """Current item per id: the newest batch that holds it."""
-    log = spark.read.option("basePath", target).parquet(target)
-    return last_wins(log, ["id"], version_place(F.col("version"), F.col("batch"))).drop("version", "batch")
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished folders right below a path; none where it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def _log_batches(spark: SparkSession, target: str) -> list[tuple[str, int]]:
+    return [(v.split("=", 1)[1], int(b.split("=", 1)[1])) for v in _folders(spark, f"{target}/log") for b in _folders(spark, f"{target}/log/{v}")]
+
 
+def _logged(spark: SparkSession, target: str, batches: list[tuple[str, int]]) -> DataFrame:
+    read = spark.read.option("basePath", f"{target}/log").parquet(*[f"{target}/log/version={v}/batch={b:012d}" for v, b in batches])
+    return read.withColumns({"version": F.col("version").cast("string"), "batch": F.col("batch").cast("long")})
 
-def compact(spark: SparkSession, target: str, new_target: str, version: str) -> None:
-    """Fold the batches into one base batch of a fresh table folder."""
-    latest_items(spark, target).write.mode("errorifexists").parquet(f"{new_target}/version={version}/batch={0:012d}")
+
+def _table_parts(spark: SparkSession, target: str) -> tuple[DataFrame | None, list[tuple[str, int]]]:
+    """The newest base (items with the version and batch that wrote them), and the batches it does not hold yet."""
+    bases = _folders(spark, f"{target}/base")
+    if not bases:
+        return None, _log_batches(spark, target)
+    newest = f"{target}/base/{bases[-1]}"
+    held = {(r["version"], r["batch"]) for r in spark.read.parquet(f"{newest}/batches").collect()}  # one row a batch
+    return spark.read.parquet(f"{newest}/items"), [b for b in _log_batches(spark, target) if b not in held]
+
+
+def versioned_items(spark: SparkSession, target: str) -> DataFrame:
+    """Current item per id with the version and batch that wrote it: the newest batch that holds the id."""
+    base, open_ = _table_parts(spark, target)
+    parts = [p for p in (base, _logged(spark, target, open_) if open_ else None) if p is not None]
+    if not parts:
+        raise ValueError(f"no batch was written to {target}")
+    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return last_wins(log, ["id"], version_place(F.col("version"), F.col("batch")))
+
+
+def latest_items(spark: SparkSession, target: str) -> DataFrame:
+    return versioned_items(spark, target).drop("version", "batch")
+
+
+def compact(spark: SparkSession, target: str) -> int:
+    """Fold base and log into a new base; returns how many batches it took in.
+
+    A base is sorted by id, its files hold one id range each. It is written under a hidden name and renamed when whole, so
+    a reader sees the old base or the new one, and a run that breaks off changes nothing. Batches already held are left in
+    the log; they are never read again, and one that is written anew brings the same rows.
+    """
+    base, open_ = _table_parts(spark, target)
+    if not open_:
+        return 0
+    held = spark.createDataFrame(open_, "version string, batch long")
+    bases = _folders(spark, f"{target}/base")
+    if base is not None:
+        held = held.unionByName(spark.read.parquet(f"{target}/base/{bases[-1]}/batches"))
+    hidden, name = f"{target}/base/_{uuid.uuid4().hex}", f"{target}/base/n={len(bases):012d}"
+    versioned_items(spark, target).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{hidden}/items")
+    held.coalesce(1).write.parquet(f"{hidden}/batches")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(hidden).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(hidden), path(name)):
+        raise OSError(f"{name} could not be put in place")
+    return len(open_)
 
 
 def require_items(items: DataFrame, present: list[str], searched: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from pathlib import Path
 from itemforge.plans.catalog import CATALOG
 
 # Operators whose input shape no driver table has; the other test files cover them.
-BY_FIXTURE = {"SRC-03", "SRC-07", "SRC-08", "SRC-16", "FLT-12", "SRT-06", "STM-02", "UDF-02"}
+BY_FIXTURE = {"SRC-03", "SRC-07", "SRC-08", "SRC-16", "FLT-12", "SRT-06"}
 
 
 def test_every_operator_is_covered():

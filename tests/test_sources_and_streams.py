@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from itemforge.operators.identity import Property
 from itemforge.sinks import writers
 from itemforge.sources import readers
-from itemforge.streaming import crawl
+from itemforge.streaming import crawl, hook
 
 
 @pytest.fixture()
@@ -146,13 +146,94 @@ def test_crawl_is_idempotent_and_incremental(spark, dataset):
     start(spark, base).awaitTermination()
     items = {r["id"]: r["properties"] for r in writers.latest_items(spark, f"{base}/items").collect()}
     assert items == {"1": {"title": "one", "url": "file:///external-items/1", "n": "7"}, "2": {"title": "two", "url": "file:///external-items/2"}}
-    assert spark.read.parquet(f"{base}/bad").count() == 2
+    assert spark.read.parquet(f"{base}/bad/rows").count() == 2
     dataset("in/b.jsonl", '{"id":"2","name":"newer"}\n')
     start(spark, base).awaitTermination()
     items = {r["id"]: r["properties"]["title"] for r in writers.latest_items(spark, f"{base}/items").collect()}
     assert items == {"1": "one", "2": "newer"}
 
 
+def test_budget_is_kept_over_batches_and_restarts(spark, dataset):
+    base = dataset.root
+    for i, bad in enumerate((3, 0, 4)):
+        dataset(f"in/{i}.jsonl", f'{{"id":"{i}","name":"n"}}\n' + '{"name":"no id"}\n' * bad)
+        start(spark, base).awaitTermination()
+        assert crawl.failures_so_far(spark, f"{base}/bad", "v1", i) == (3, 3, 7)[i]
+    dataset("in/3.jsonl", '{"id":"3","name":"n"}\n' + "{broken\n" * 3)
+    for _ in range(2):  # the batch is tried again and counts once
+        with pytest.raises(Exception, match="10 records failed"):
+            start(spark, base).awaitTermination()
+    assert {r["id"] for r in writers.latest_items(spark, f"{base}/items").collect()} == {"0", "1", "2"}
+
+
+def test_newest_line_of_a_file_wins(spark, dataset):
+    lines = [json.dumps({"id": str(i % 50), "name": f"n{i}"}) for i in range(5_000)]
+    dataset("in/a.jsonl", "\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        start(spark, dataset.root).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    items = {r["id"]: r["properties"]["title"] for r in writers.latest_items(spark, f"{dataset.root}/items").collect()}
+    assert items == {str(i): f"n{4_950 + i}" for i in range(50)}
+
+
+def test_source_hook_in_batch_and_stream(spark, dataset):
+    class Blocks:
+        """Raw items of a hook; the folder's files are its blocks."""
+
+        def __init__(self, options):
+            self.folder = options["folder"]
+
+        def blocks(self):
+            import os
+            return len(os.listdir(self.folder))
+
+        def read(self, block):
+            with open(f"{self.folder}/{block}.txt", encoding="utf-8") as f:
+                for line in f:
+                    yield {"id": line.strip(), "name": f"{line.strip()} of {block}"}
+
+    hook.register(spark, "block_items", lambda options: Blocks(options))
+    base = dataset.root
+
+    def run(checkpoint="ckpt"):
+        crawl.crawl(spark, hook.stream(spark, "block_items", folder=f"{base}/blocks"), raw_schema="id string, name string", schema=SCHEMA, target=f"{base}/items",
+                    quarantine=f"{base}/bad", checkpoint=f"{base}/{checkpoint}", version="v1").awaitTermination()
+        return {r["id"]: r["properties"]["title"] for r in writers.latest_items(spark, f"{base}/items").collect()}
+    dataset("blocks/0.txt", "a\nb\n")
+    assert run() == {"a": "a of 0", "b": "b of 0"}
+    dataset("blocks/1.txt", "b\nc\n")
+    dataset("blocks/2.txt", "c\n")
+    want = {"a": "a of 0", "b": "b of 1", "c": "c of 2"}
+    assert run() == want and run() == want
+    assert run("another") == want  # everything once more, as one batch
+    rows = hook.read(spark, "block_items", folder=f"{base}/blocks").orderBy("block", "at").collect()
+    assert [(json.loads(r.value)["id"], r.block, r.at) for r in rows] == [("a", 0, 0), ("b", 0, 1), ("b", 1, 0), ("c", 1, 1), ("c", 2, 0)]
+
+
+def test_compaction_changes_no_item(spark, tmp_path):
+    target = f"{tmp_path}/items"
+
+    def put(version, batch, rows):
+        writers.upsert_batch(spark.createDataFrame(rows, "id string, n long, place long"), target, version, batch, "place")
+
+    def now():
+        return {r.id: r.n for r in writers.latest_items(spark, target).collect()}
+    put("v9", 0, [("a", 1, 0), ("b", 2, 0), ("a", 3, 1)])
+    put("v10", 0, [("b", 4, 0)])
+    assert now() == {"a": 3, "b": 4} and writers.compact(spark, target) == 2
+    assert now() == {"a": 3, "b": 4} and writers.compact(spark, target) == 0
+    put("v9", 1, [("b", 5, 0), ("c", 6, 0)])  # older than the base's row of b
+    put("v10", 0, [("b", 4, 0)])  # a replay of what the base holds
+    assert now() == {"a": 3, "b": 4, "c": 6} and writers.compact(spark, target) == 1 and now() == {"a": 3, "b": 4, "c": 6}
+    put("v11", 0, [("a", 7, 0)])
+    assert now() == {"a": 7, "b": 4, "c": 6}
+    (tmp_path / "items/base/_half").mkdir()  # what a compaction that broke off leaves
+    assert now() == {"a": 7, "b": 4, "c": 6}
+
+
 def test_crawl_stops_on_too_many_failures(spark, dataset):
     dataset("in/a.jsonl", '{"name":"no id"}\n' * 10)
     with pytest.raises(Exception, match="failed to map"):
