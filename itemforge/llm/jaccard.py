@@ -43,10 +43,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from itemforge.llm.bytewords import mix, ranges, shingle_sets, text_slices
 from itemforge.llm.components import components
-from itemforge.llm.shared import bit_map, in_bit_map, settle, table
+from itemforge.llm.shared import bit_map, in_bit_map, lean, release, settle, table
 
 RATIO, TILE_SHINGLES, TILE_CLASSES, FAN, SALTS = 0.8, 1_000_000, 8_192, 8, 16
-LEAST_BITS, MOST_BITS = 512, 1 << 17
+LEAST_BITS, MOST_BITS, BUCKET_TEXT = 512, 1 << 17, 4 << 20
 
 
 def levels(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -100,6 +100,14 @@ def routing_keys(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) ->
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
+
+
 def stars(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each distinct key with its smallest class, and the edges from a key's other classes to that one."""
     order = np.lexsort((classes, keys))
@@ -107,8 +115,7 @@ def stars(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     opens = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     hub = classes[opens][np.cumsum(opens) - 1] if len(keys) else classes
     tied = hub != classes
-    edges = np.unique(np.stack([classes[tied], hub[tied]], axis=1), axis=0)
-    return keys[opens], classes[opens], edges[:, 0], edges[:, 1]
+    return keys[opens], classes[opens], *distinct_pairs(classes[tied], hub[tied])
 
 
 def short_keys(keys: np.ndarray) -> np.ndarray:
@@ -130,7 +137,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
                 hashes, bounds = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(hashes, bounds), pa.int64()),
                                                   pa.array(signatures(hashes, bounds), pa.binary())], ["doc_id", "n_shingles", "class_id", "bits"])
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class_id long, bits binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, class_id long, bits binary")
 
 
 def candidate_edges(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -160,9 +167,11 @@ def candidate_edges(docs: DataFrame, width: int, num: int, den: int, buckets: in
             keys.append(long_keys(raw))
             classes.append(np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint16 if len(places) == 2 * len(keys[-1]) else np.uint32)])
         _, _, a, b = stars(np.concatenate(keys), np.concatenate(classes))
-        edges = np.unique(np.stack([np.concatenate([joined("a"), a]), np.concatenate([joined("b"), b])], axis=1), axis=0)
-        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
-    return docs.mapInArrow(send, "bucket int, keys binary, names binary, places binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+        a, b = distinct_pairs(np.concatenate([joined("a"), a]), np.concatenate([joined("b"), b]))
+        del keys, classes
+        release()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return docs.mapInArrow(lean(send), "bucket int, keys binary, names binary, places binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 class Forest:
@@ -327,6 +336,8 @@ def refined(classes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFr
     def cut(group: pa.Table) -> pa.Table:
         ids, sizes, found = group.column("class_id").to_numpy(), group.column("n_shingles").to_numpy(), group.column("bits").to_pylist()
         links = np.array(possible_links(found, sizes, num, den), np.int64).reshape(-1, 2)
+        del found
+        release()
         return pa.table({"a": pa.array(ids[links[:, 0]], pa.int64()), "b": pa.array(ids[links[:, 1]], pa.int64())})
     edges = spread.select("pack", "class_id", "n_shingles", "bits").groupBy("pack").applyInArrow(cut, "a long, b long")
     finer = components(edges).select(F.col("id").alias("class_id"), F.col("root").alias("block"))
@@ -369,6 +380,8 @@ def block_links(members: DataFrame, num: int, den: int, packs: int) -> DataFrame
                 for i, j in tree_links(np.concatenate(found), bounds, num, den):
                     a.append(ids[rows[i]])
                     b.append(ids[rows[j]])
+        del sets
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return (spread.select("pack", "block", "band", F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "id", "shingles")
             .groupBy("pack").applyInArrow(verify, "a long, b long"))
@@ -378,7 +391,7 @@ def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and root (the component, named by its smallest class) of every row."""
     spark = docs.sparkSession
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // (64 << 20)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // BUCKET_TEXT))
     sized = settle(set_sizes(read, width))
     blocks = settle(components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block")))
     salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits"))
@@ -396,9 +409,9 @@ def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 at = np.flatnonzero(passes)
                 packed = pa.array([hashes[cuts[i]:cuts[i + 1]].tobytes() for i in at.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array(named[at]), packed], ["id", "class_id", "shingles"])
-    found = read.mapInArrow(sets, "id long, class_id long, shingles binary")
+    found = read.mapInArrow(lean(sets), "id long, class_id long, shingles binary")
     members = found.join(chosen, ["id", "class_id"]).select("block", "band", "tiles", "tile", F.col("class_id").alias("id"), "shingles")
-    roots = settle(components(block_links(members, num, den, 4 * buckets)).select(F.col("id").alias("class_id"), "root"))
+    roots = settle(components(block_links(members, num, den, buckets)).select(F.col("id").alias("class_id"), "root"))
     least = roots.join(classes, "class_id").groupBy("root").agg(F.min("id").alias("least"))
     linked = roots.join(least, "root")
     named = classes.join(linked, "class_id", "left").select("class_id", F.explode("salts").alias("salt"), F.coalesce("least", "id").alias("named"), F.coalesce("root", "class_id").alias("root"))
@@ -433,7 +446,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
                 ids = batch.column(at).cast(pa.int64())
                 hit = in_bit_map(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == inside))
-        return docs.select(*[docs[c] for c in names]).mapInArrow(run, docs.schema)
+        return docs.select(*[docs[c] for c in names]).mapInArrow(lean(run), docs.schema)
     doubtful = split(True)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +454,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
             for rows, data, offsets in text_slices(batch, "_words"):
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(class_ids(*shingle_sets(data, offsets, width)), pa.int64())], [*rows.schema.names, "_class"])
     packed = doubtful.select(doubtful["doc_id"].cast("long").alias("_id"), F.xxhash64(doubtful["text"]).alias("_text"), F.struct(*[doubtful[c] for c in names]).alias("_row"), doubtful["text"].alias("_words"))
-    packed = packed.mapInArrow(named, StructType([*packed.schema.fields, StructField("_class", LongType())])).drop("_words")
+    packed = packed.mapInArrow(lean(named), StructType([*packed.schema.fields, StructField("_class", LongType())])).drop("_words")
     verdict = sets.select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"), "kept", "root")
     judged = packed.join(verdict, ["_id", "_class"]).filter("kept = 1")
     blank = F.when(F.col("_class") == 0, F.col("_text"))  # blank texts link with nothing
