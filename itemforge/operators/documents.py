@@ -171,14 +171,6 @@ def html_documents(df: DataFrame, url_prefix: str = "") -> DataFrame:
     return out.drop("_meta", "_links", "_title", "_h1")
 
 
-def documents_by_kind(df: DataFrame, url_prefix: str = "") -> DataFrame:
-    """Whole files (``source_file``, ``raw``) routed by extension; blank files give nothing."""
-    known = df.filter(tx.trimmed(F.col("raw")) != "").withColumn("_kind", kind_of(tx.extension(F.col("source_file"))))
-    builders = {"text": text_documents, "markdown": markdown_documents, "html": html_documents}
-    parts = [build(known.filter(F.col("_kind") == kind).drop("_kind"), url_prefix) for kind, build in builders.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def heading_sections(body: Column) -> Column:
     """``array<struct<section_path,heading,text>>`` cut at heading lines. A path keeps the last
     ``level - 1`` headings by position, so skipped levels close up and repeated ones nest."""

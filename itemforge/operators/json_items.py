@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
 from itemforge.functions.json_tree import record_roles, with_search_entries
-from itemforge.operators.documents import STRUCTURED_KEYS, chunk_items, pick_values, structured_properties, with_norms
+from itemforge.operators.documents import (STRUCTURED_KEYS, chunk_items, html_documents, kind_of, markdown_documents, pick_values, structured_properties,
+                                           text_documents, with_norms)
 from itemforge.session import filter_settled
 
 BODY_LIMIT = 30_000
@@ -138,6 +141,63 @@ def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
     return out.drop("_listed", "_picked", "_whole", "_pm", "_wm", "_canonical", "_exact", "_sentence", "_title")
 
 
+def _role(entries: str, roles: str, name: str) -> Column:
+    """A record's role: the flat record answers when one of its keys is the role's name, else its own members do."""
+    direct = tx.first_of(F.filter(entries, lambda e: e["key"] == F.lit(name)))["value"]
+    top = tx.first_of(F.filter(roles, lambda e: e["key"] == F.lit(name)))["value"]
+    return F.coalesce(F.when(direct != "", direct), F.when(top != "", top), F.lit(""))
+
+
+def _metadata(entries: str, roles: str, domain: str) -> Column:
+    """The flat record, its domain and the roles no key of it has; blank values left out."""
+    own_keys = F.transform(entries, lambda e: e["key"])
+    found = F.concat(F.filter(entries, lambda e: e["key"] != "domain"), F.array(F.struct(F.lit("domain").alias("key"), F.col(domain).alias("value"))),
+                     F.filter(roles, lambda e: ~F.array_contains(own_keys, e["key"])))
+    return F.filter(found, lambda e: tx.trimmed(e["value"]) != "")
+
+
+def json_file_documents(files: DataFrame, url_prefix: str = "") -> DataFrame:
+    """``source_file`` and ``raw`` of whole JSON files to documents: one for each element of an array, else one.
+
+    An element that is no object counts as the member ``value`` of one. A file that is no JSON is a document of its text.
+    """
+    raw = tx.trimmed(F.col("raw"))
+    known = files.withColumn("_ok", F.try_parse_json(raw).isNotNull())
+    listed = F.when(F.col("_ok") & raw.startswith("["), F.from_json(raw, "array<variant>")).when(F.col("_ok"), F.array(F.try_parse_json(raw)))
+    texts = F.when(F.col("_ok") & raw.startswith("["), F.from_json(raw, "array<string>")).when(F.col("_ok"), F.array(raw))
+    parts = F.zip_with(listed, texts, lambda v, t: F.struct(F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), t).otherwise(F.to_json(v)).alias("json"), F.schema_of_variant(v).startswith("OBJECT").alias("is_object")))
+    one = F.coalesce(parts, F.array(F.struct(F.lit(None).cast("string").alias("json"), F.lit(False).alias("is_object"))))
+    keep = [c for c in files.columns if c != "raw"]
+    rows = known.select(*keep, "raw", "_ok", raw.startswith("[").alias("_many"), F.posexplode(one).alias("_nth", "_p"))
+    rows = rows.select(*keep, "raw", "_many", "_nth", F.col("_p.json").alias("_json"), F.col("_p.is_object").alias("_is_object"))
+    rows = rows.withColumns({"_record": F.when(F.col("_is_object"), F.col("_json")).otherwise(F.concat(F.lit('{"value":'), F.col("_json"), F.lit("}"))),
+                             "_other": F.when(~F.col("_is_object"), F.col("_json"))})
+    flat = with_search_entries(with_search_entries(rows, "_record", "_e"), "_other", "_o")
+    none = F.array().cast(_NO_ENTRIES)
+    flat = flat.withColumns({"_meta": F.coalesce("_e", none), "_entries": F.coalesce(F.when(F.col("_is_object"), F.col("_e")).otherwise(F.col("_o")), none), "_roles": F.coalesce(record_roles(F.col("_record")), none)})
+    shaped = with_structured(flat, "_entries", "_json")
+    shaped = shaped.withColumns({"_own_domain": infer_domain(F.col("_meta")), "body": tx.clean_content(F.when(F.col("_json").isNull(), F.col("raw")).otherwise(F.col("content")))})
+    staged = filter_settled(shaped, F.col("body") != "")
+    parsed = F.col("_json").isNotNull()
+    staged = staged.withColumns({f"_{n}": F.when(parsed, _role("_meta", "_roles", n)).otherwise("") for n in ("title", "author", "date", "url")})
+    stem = tx.file_stem(F.col("source_file"))
+    title = _either(F.col("_title"), F.when(F.col("_many") & parsed, F.concat(stem, F.lit(" item "), (F.col("_nth") + 1).cast("string"))).otherwise(stem))
+    return staged.select(*keep, F.lit("json").alias("kind"), title.alias("title"), F.col("_author").alias("author"), F.col("_date").alias("date"),
+                         _either(F.col("_url"), ids.document_url(F.col("source_file"), url_prefix)).alias("doc_url"), "body",
+                         F.map_from_entries(F.when(parsed, _metadata("_meta", "_roles", "_own_domain")).otherwise(none)).alias("metadata"))
+
+
+def documents_by_kind(files: DataFrame, url_prefix: str = "") -> DataFrame:
+    """Whole files (``source_file``, ``raw``) routed by extension; blank files give nothing.
+
+    Files of JSON lines are no single documents: ``json_lines_documents`` makes one of every line.
+    """
+    known = files.filter(tx.trimmed(F.col("raw")) != "").withColumn("_kind", kind_of(tx.extension(F.col("source_file"))))
+    builders = {"text": text_documents, "markdown": markdown_documents, "html": html_documents, "json": json_file_documents}
+    parts = [build(known.filter(F.col("_kind") == kind).drop("_kind"), url_prefix) for kind, build in builders.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
     """``source_file``, ``line``, ``value`` to one single-chunk document per non-blank line.
 
@@ -155,27 +215,18 @@ def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
                             .when(F.col("value").startswith('"'), tx.first_of(quoted)).otherwise(F.col("content")))
     staged = filter_settled(shaped.withColumn("body", body), F.col("body") != "")
 
-    def role(name: str) -> Column:
-        # the flat record already answers a role when one of its keys is the role name itself
-        direct = tx.first_of(F.filter("_entries", lambda e: e["key"] == F.lit(name)))["value"]
-        top = tx.first_of(F.filter("_roles", lambda e: e["key"] == F.lit(name)))["value"]
-        return F.when(F.col("_is_record"), F.coalesce(F.when(direct != "", direct), F.when(top != "", top), F.lit(""))).otherwise("")
-    staged = staged.withColumns({f"_{n}": role(n) for n in ("title", "author", "date", "url")})
+    staged = staged.withColumns({f"_{n}": F.when(F.col("_is_record"), _role("_entries", "_roles", n)).otherwise("") for n in ("title", "author", "date", "url")})
     line = F.col("line").cast("string")
     title = _either(F.col("_title"), F.concat(F.lit("Line "), line))
     place = F.concat(F.col("source_file"), F.lit("#line-"), line)
     link = _either(F.col("_url"), F.concat(ids.document_url(F.col("source_file"), url_prefix), F.lit("#line-"), line))
     text = F.when(F.length("body") > BODY_LIMIT, F.concat(F.substring("body", 1, BODY_LIMIT), F.lit(
         "\n\n[Content truncated for connector item size; source record remains available in RAW baseline.]"))).otherwise(F.col("body"))
-    own_keys = F.transform("_entries", lambda e: e["key"])
-    meta = F.when(F.col("_is_record"), F.concat(
-        F.filter("_entries", lambda e: e["key"] != "domain"),
-        F.array(F.struct(F.lit("domain").alias("key"), F.col("domain").alias("value"))),
-        F.filter("_roles", lambda e: ~F.array_contains(own_keys, e["key"])))).otherwise(F.array().cast(_NO_ENTRIES))
+    meta = F.when(F.col("_is_record"), _metadata("_entries", "_roles", "domain")).otherwise(F.array().cast(_NO_ENTRIES))
     return staged.select(
         place.alias("source_file"), F.col("source_file").alias("file"), F.col("line"), F.lit("jsonl").alias("kind"),
         title.alias("title"), F.col("_author").alias("author"), F.col("_date").alias("date"), link.alias("doc_url"),
-        F.col("body"), F.filter(meta, lambda e: tx.trimmed(e["value"]) != "").alias("entries"), F.lit("").alias("section_path"),
+        F.col("body"), meta.alias("entries"), F.lit("").alias("section_path"),
         title.alias("heading"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), text.alias("text"))
 
 

@@ -145,11 +145,71 @@ def chunk_items(spark, sf):
     return items.select("id", "title", "url", p["chunkIndex"].alias("chunk_index"), p["chunkCount"].alias("chunk_count"), p["iconUrl"].alias("icon_url"), "content")
 
 
-@query("all_chunk_items", "PRJ-19 GEN-05")
+_SECTIONS = f"""l AS (SELECT page_id, generate_subscripts(string_split(body, chr(10)), 1) AS i, unnest(string_split(body, chr(10))) AS line FROM p),
+ s AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+\\S') AS is_heading FROM l),
+ g AS (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sec FROM s),
+ ht AS (SELECT page_id, sec, coalesce(max(CASE WHEN is_heading THEN regexp_extract(line, '^#{{1,6}}\\s+(\\S.*)$', 1) END), '') AS heading,
+  {S.clean("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_heading), '')")} AS text FROM g GROUP BY ALL)"""
+_GAP = "chr(10) || chr(10)"
+# Paragraphs are packed one after the other, and a last pack over the limit is cut by the windows of above.
+_PACKS = f"""{_TEXT_DOCS}, {_PAGES}, {_SECTIONS},
+ meta AS (SELECT 'd' || doc_id AS k, source_file, 'by: nobody' AS title, '2024-01-' || day AS date, source AS doc_url, 'text/plain' AS mime FROM b
+  UNION ALL SELECT 'p' || page_id, source_file, title, '', 'file:///' || source_file, 'text/html' FROM p),
+ part AS (SELECT 'd' || doc_id AS k, 0 AS sec, '' AS heading, body AS text FROM b UNION ALL SELECT 'p' || page_id, sec, heading, text FROM ht WHERE text <> ''),
+ split AS (SELECT k, sec, heading, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {S.trim('x')}), lambda x: x <> '') AS pars FROM part),
+ pack AS (SELECT k, sec, heading, pars, 1 AS i, pars[1] AS held, NULL::VARCHAR AS closed FROM split WHERE len(pars) > 0
+  UNION ALL SELECT k, sec, heading, pars, i + 1,
+   CASE WHEN length(held) + 2 + length(pars[i + 1]) <= 2000 OR length(held) < 50 THEN held || {_GAP} || pars[i + 1]
+    WHEN {S.trim('right(held, 200)')} = '' THEN pars[i + 1] ELSE {S.trim('right(held, 200)')} || {_GAP} || pars[i + 1] END,
+   CASE WHEN length(held) + 2 + length(pars[i + 1]) <= 2000 OR length(held) < 50 THEN NULL ELSE held END FROM pack WHERE i < len(pars)),
+ long AS (SELECT k, sec, heading, {S.clean('held')} AS t FROM pack WHERE i = len(pars) AND length(held) > 2000),
+ wstep AS (SELECT k, sec, heading, t, 0 AS s, CASE WHEN length(t) <= 2000 THEN length(t) ELSE -1 END AS e FROM long WHERE t <> ''
+  UNION ALL SELECT k, sec, heading, t, CASE WHEN e < 0 THEN s ELSE greatest(e - 200, s + 1) END,
+   CASE WHEN e < 0 THEN (SELECT CASE WHEN s + 2000 >= length(t) THEN length(t) WHEN {_CUT} > 0 THEN s + {_CUT} + 1 ELSE s + 2000 END) ELSE -1 END FROM wstep WHERE e < length(t)),
+ piece AS (SELECT k, sec, heading, i AS place, 0 AS s, closed AS text FROM pack WHERE closed IS NOT NULL
+  UNION ALL SELECT k, sec, heading, i + 1, 0, held FROM pack WHERE i = len(pars) AND length(held) <= 2000
+  UNION ALL SELECT k, sec, heading, 1000000000, s, {S.trim('substr(t, s + 1, e - s)')} FROM wstep WHERE e >= 0),
+ cleaned AS (SELECT k, sec, heading, place, s, {S.clean('text')} AS text FROM piece),
+ chunk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sec, place, s) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM cleaned WHERE text <> ''),
+ named AS (SELECT *, CASE WHEN heading <> '' THEN title || ' — ' || heading ELSE title || ' [' || (i + 1) || '/' || n || ']' END AS chunk_title FROM chunk JOIN meta USING (k))"""
+
+
+@query("all_chunk_items", "PRJ-19 GEN-03 GEN-05", f"""WITH RECURSIVE {_PACKS} SELECT {S.stable_id('doc', 'source_file', S.stable_id('docsrc', 'source_file', "'0'", 'title'), 'i', 'heading')} AS id, chunk_title AS title,
+ regexp_replace(doc_url, '#.*$', '') || '#chunk=' || i AS url, i AS chunk_index, n AS chunk_count,
+ {S.capped("""text || chr(10) || chr(10) || 'Connector metadata:' || chr(10) || 'Title: ' || chunk_title || chr(10) || 'Source file: ' || source_file || chr(10) || 'Content type: ' || mime || chr(10)
+ || 'Chunk: ' || (i + 1) || ' of ' || n || CASE WHEN heading <> '' THEN chr(10) || 'Section path: ' || heading ELSE '' END || CASE WHEN date <> '' THEN chr(10) || 'Date published: ' || date ELSE '' END
+ || chr(10) || 'Source URL: ' || doc_url""")} AS content FROM named""")
 def all_chunk_items(spark, sf):
     both = docs.text_documents(text_files(spark, sf)).drop("doc_id").unionByName(docs.html_documents(page_files(spark, sf)).drop("page_id"))
     items = docs.chunk_items(docs.document_chunks(both))
-    return items.select("id", "title", "url", "chunk_index", "chunk_count", "content")
+    return items.select("id", "title", "url", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk_count").cast("long").alias("chunk_count"), "content")
+
+
+def mixed_files(spark, sf):
+    """Suppliers as JSON files: an array per nation of those with money, a file each for the others; every nation as text, every page as a page."""
+    s = table(spark, sf, "supplier")
+    record = F.to_json(F.struct(F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("recordId"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
+    arrays = s.filter("s_acctbal >= 0").groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", record.alias("r")))), lambda x: x["r"]), ",").alias("r"))
+    return (arrays.select(F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit(".json")).alias("source_file"), F.concat(F.lit("["), F.col("r"), F.lit(',"odd"]')).alias("raw"))
+            .unionByName(s.filter("s_acctbal < 0").select(F.concat(F.lit("s-"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("source_file"), record.alias("raw")))
+            .unionByName(table(spark, sf, "nation").select(F.concat("n_name", F.lit(".txt")).alias("source_file"), F.concat(F.lit("Author: x\n"), F.col("n_name")).alias("raw")))
+            .unionByName(page_files(spark, sf).drop("page_id")))
+
+
+def _record_body(title: str, ident: str, nation: str) -> str:
+    n = "chr(10)"
+    return (f"{ident} || ' record.' || {n} || {n} || 'Canonical facts:' || {n} || '- domain: generic' || {n} || '- recordId: ' || {ident} || {n} || {n} || 'Search aliases:' || {n} || '- Domain: generic' || {n} || '- Record Id: ' || {ident}")
+
+
+@query("mixed_documents", "PRJ-12 PRJ-15 PRJ-18 PRJ-19 GEN-05", f"""WITH {_PAGES}, j AS (SELECT *, s_acctbal >= 0 AS many FROM supplier)
+SELECT CASE WHEN many THEN 'nation-' || s_nationkey ELSE 's-' || s_suppkey END || '.json' AS source_file, 'json' AS kind, s_name AS title, 'file:///' || CASE WHEN many THEN 'nation-' || s_nationkey ELSE 's-' || s_suppkey END || '.json' AS doc_url,
+ sha256({_record_body('s_name', "'s-' || s_suppkey", 's_nationkey')}) AS digest FROM j
+UNION ALL SELECT 'nation-' || s_nationkey || '.json', 'json', 'nation-' || s_nationkey || ' item ' || (count(*) + 1), 'file:///nation-' || s_nationkey || '.json',
+ sha256('Canonical facts:' || chr(10) || '- domain: generic' || chr(10) || chr(10) || 'Search aliases:' || chr(10) || '- Domain: generic') FROM j WHERE many GROUP BY s_nationkey
+UNION ALL SELECT n_name || '.txt', 'text', n_name, 'file:///' || n_name || '.txt', sha256('Author: x' || chr(10) || n_name) FROM nation
+UNION ALL SELECT source_file, 'html', title, 'file:///' || source_file, sha256(body) FROM p""")
+def mixed_documents(spark, sf):
+    return json_items.documents_by_kind(mixed_files(spark, sf)).select("source_file", "kind", "title", "doc_url", F.sha2("body", 256).alias("digest"))
 
 
 @query("nested_headings", "GEN-01 WIN-08", """WITH n AS (SELECT item_id, unnest([1, 2, 3, 4]) AS i FROM benchmark)
