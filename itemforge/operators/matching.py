@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 from itemforge.config import EnrichConfig
 from itemforge.functions import text as tx
-from itemforge.operators.records import fact_value_for
-from itemforge.session import filter_settled
+from itemforge.session import filter_settled, written
 
 # Bytes of phrases in one automaton, and what a phrase counts besides its own bytes.
 SHARD_BYTES, PHRASE_BYTES = 4 << 20, 64
+# Counters of the sketch that tells rare facts.
+SKETCH = 1 << 16
 
 
 def reference_rows(evals: DataFrame) -> DataFrame:
@@ -40,108 +41,83 @@ def match_by_line_band(lines: DataFrame, refs: DataFrame) -> DataFrame:
     return match_by_reference(lines.withColumnRenamed("line", "source_row"), near)
 
 
-def _last_named(cells: Column, key: Column) -> Column:
-    return F.try_element_at(F.filter(cells, lambda c: F.lower(c["name"]) == F.lower(key)), F.lit(-1))["value"]
+def _first_filled(cells: Column, places: Column) -> Column:
+    """The first cell of ``places`` that is not blank, else blank."""
+    return F.coalesce(tx.first_of(F.filter(F.transform(places, lambda c: F.get(cells, c)), lambda v: v != "")), F.lit(""))
 
 
-def _first_named(cells: Column, members: Column) -> Column:
-    """Trimmed value of the first member name that is filled; null when none is."""
-    return tx.let(cells, lambda c: tx.trimmed(tx.first_of(F.filter(
-        F.transform(members, lambda m: _last_named(c, m)), lambda v: ~tx.is_empty(v)))))
+def columns_for_fact(header: list[str], name: Column, config: EnrichConfig) -> Column:
+    """Places of the header that can answer a fact key which is data, in the order they are tried.
 
-
-def _role_of(cells: Column, members: list[str]) -> Column:
-    return F.coalesce(_first_named(cells, F.array(*[F.lit(m) for m in members])), F.lit("")) if members else F.lit("")
-
-
-def cell_for_fact(cells: Column, key: Column, config: EnrichConfig) -> Column:
-    """Value a row (``array<struct<name,value>>``) holds for a fact key that is data.
-
-    Tried in turn: the column of that name, the role of that name (and nothing after it), a column whose
-    name ends like it, the role it is a member of.
+    The column of that name; then the members of the role of that name, or else the columns whose name ends like it and
+    the members of the role it is a member of. A cell answers when it is the first of them that is filled.
     """
-    roles = F.array(*[F.struct(F.lit(role.lower()).alias("role"), F.array(*[F.lit(m) for m in members]).alias("members"),
-                               F.array(*[F.lit(m.lower()) for m in members]).alias("lowered")) for role, members in config.key_fields.items()])
-
-    def look_up(held: Column, name: Column) -> Column:
-        like = tx.trimmed(tx.first_of(F.filter(held, lambda c: ~tx.is_empty(c["value"]) & tx.norm_key(c["name"]).endswith(tx.norm_key(name))))["value"])
-        named = tx.first_of(F.filter(roles, lambda r: r["role"] == F.lower(name)))
-        member = tx.first_of(F.filter(roles, lambda r: F.array_contains(r["lowered"], F.lower(name))))
-        by_role = F.coalesce(_first_named(held, named["members"]), F.lit(""))
-        return tx.let(_last_named(held, name), lambda exact: F.when(~tx.is_empty(exact), tx.trimmed(exact))
-                      .when(named.isNotNull(), by_role)
-                      .otherwise(F.coalesce(like, _first_named(held, member["members"]), F.lit(""))))
-    return tx.let(cells, lambda held: look_up(held, key))
+    last = {n.lower(): i for i, n in enumerate(header)}
+    members = {role.lower(): [last[m.lower()] for m in names if m.lower() in last] for role, names in config.key_fields.items()}
+    ints = lambda places: F.array(*[F.lit(i) for i in places]).cast("array<int>")
+    columns = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n.lower()).alias("name"), F.lit("".join(ch for ch in n.lower() if ch.isascii() and ch.isalnum())).alias("norm")) for i, n in enumerate(header)])
+    lowered, norm = F.lower(name), tx.norm_key(name)
+    exact = F.slice(F.reverse(F.filter(columns, lambda c: c["name"] == lowered)), 1, 1)
+    like = F.filter(columns, lambda c: c["norm"].endswith(norm))
+    by_role, of_role = F.lit(None).cast("array<int>"), ints([])
+    for role, names in reversed(config.key_fields.items()):
+        by_role = F.when(lowered == role.lower(), ints(members[role.lower()])).otherwise(by_role)
+        of_role = F.when(lowered.isin(*[m.lower() for m in names]), ints(members[role.lower()])).otherwise(of_role) if names else of_role
+    places = lambda found: F.transform(found, lambda c: c["i"])
+    return F.array_distinct(F.concat(places(exact), F.coalesce(by_role, F.concat(places(like), of_role))))
 
 
 def fact_roles(facts: Column, config: EnrichConfig) -> tuple[Column, Column]:
     """Entity and year an item's own facts (``array<struct<name,value>>``) point at."""
-    return (_role_of(facts, config.key_fields.get("entity", [])), _role_of(facts, config.key_fields.get("year", [])))
-
-
-# Distinct fact names that may become plain columns of the match.
-MAX_FACT_NAMES = 64
+    def role(key: str) -> Column:
+        def named(member: str) -> Column:
+            value = F.try_element_at(F.filter(facts, lambda c: F.lower(c["name"]) == member.lower()), F.lit(-1))["value"]
+            return F.when(~tx.is_empty(value), tx.trimmed(value))
+        return F.coalesce(*[named(m) for m in config.key_fields.get(key, [])], F.lit(""))
+    return role("entity"), role("year")
 
 
 def match_by_entity_year(rows: DataFrame, header: list[str], evals: DataFrame, config: EnrichConfig | None = None) -> DataFrame:
     """Rows with an item's entity and year where every fact the row holds agrees, and at least one is held.
 
     ``rows`` carry ``item_id``, ``entity_name``, ``role_year`` and the header columns; ``evals`` carry ``facts``.
-    Entity and year alone would pair every row of a group with every item of it, so the join key also
-    takes one more fact of the item, its longest: a row meets it when it holds the same value or none.
-    The pair is then checked in full.
+    Entity and year alone would pair every row of a group with every item of it, so the join key also takes the item's
+    rarest fact: a row meets it where one of the columns that can answer the fact holds its value, or the first of them
+    is blank. What is rare is read off a sketch of the rows' cells, ``SKETCH`` counters whatever their number; it decides
+    the work, never the result, since each pair is checked in full. Fact names stay data: only places of the header,
+    which is as wide as the table, come to the driver.
     """
     config = config or EnrichConfig()
     entity, year = fact_roles(F.col("facts"), config)
-    keyed = evals.select("eval_id", "facts", tx.norm_value(entity).alias("k_entity"), tx.norm_value(year).alias("k_year"),
-                         _anchor_fact(config).alias("anchor"))
-    keyed = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != ""))
-    # fact names are vocabulary: a handful, and checked
-    found = evals.select(F.explode("facts").alias("f")).select("f.name").distinct().limit(MAX_FACT_NAMES + 1).collect()
-    names = sorted(r["name"] for r in found)
-    columnar = len(names) <= MAX_FACT_NAMES
-    held = {n: fact_value_for(header, n, config) for n in names} if columnar else {}
-    anchors = names if columnar else []
-
-    # an item whose anchor is no plain column joins on entity and year alone
-    anchor = F.when(F.col("anchor.name").isin(*anchors), F.col("anchor.name")) if anchors else F.lit(None).cast("string")
-    wanted = (keyed.withColumn("k_name", F.coalesce(anchor, F.lit("")))
-              .withColumn("k_value", F.explode(F.when(F.col("k_name") == "", F.array(F.lit(""))).otherwise(
-                  F.array_distinct(F.array(tx.norm_value(F.col("anchor.value")), F.lit("")))))).drop("anchor"))
-    used = [r["k_name"] for r in wanted.select("k_name").distinct().collect()]  # at most MAX_FACT_NAMES values
-
-    columns = {f"h{i}": F.when(tx.is_empty(held[n]), F.lit("")).otherwise(tx.norm_value(held[n])) for i, n in enumerate(names)} if columnar else {}
-    base = rows.select("item_id", tx.norm_value(F.col("entity_name")).alias("k_entity"), tx.norm_value(F.col("role_year")).alias("k_year"),
-                       *[v.alias(k) for k, v in columns.items()], *([] if columnar else [row_cells(header).alias("cells")]))
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), (F.col(f"h{names.index(n)}") if n else F.lit("")).alias("v")) for n in used])
-    probe = base.withColumn("a", F.explode(keys)).withColumns({"k_name": F.col("a.n"), "k_value": F.col("a.v")}).drop("a")
-    if columnar:
-        by_name = F.map_from_entries(F.transform("facts", lambda f: F.struct(f["name"], f["value"])))
-        wanted = wanted.withColumn("_m", by_name)
-        for i, n in enumerate(names):
-            want = F.try_element_at("_m", F.lit(n))
-            wanted = wanted.withColumn(f"w{i}", F.when(tx.is_empty(want), F.lit("")).otherwise(tx.norm_value(want)))
-        wanted = wanted.drop("_m", "facts")
-    pairs = probe.join(wanted, ["k_entity", "k_year", "k_name", "k_value"])
-    if columnar:
-        some, all_equal = F.lit(False), F.lit(True)
-        for i in range(len(names)):
-            both = (F.col(f"w{i}") != "") & (F.col(f"h{i}") != "")
-            some, all_equal = some | both, all_equal & (~both | (F.col(f"w{i}") == F.col(f"h{i}")))
-        agree = some & all_equal
-    else:
-        checked = F.filter(F.transform("facts", lambda f: F.struct(
-            f["value"].alias("want"), cell_for_fact(F.col("cells"), f["name"], config).alias("have"))),
-            lambda f: ~tx.is_empty(f["want"]) & ~tx.is_empty(f["have"]))
-        agree = tx.let(checked, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: tx.norm_value(f["have"]) == tx.norm_value(f["want"])))
-    return pairs.filter(agree).select("item_id", "eval_id").distinct()
-
-
-def _anchor_fact(config: EnrichConfig) -> Column:
-    """The longest filled fact that is neither entity nor year: long values repeat least."""
+    # One pass over the rows: normal forms of the keys and of all cells, blank for none.
+    cell = lambda h: F.when(tx.is_empty(F.col(f"`{h}`")), F.lit("")).otherwise(tx.norm_value(F.col(f"`{h}`")))
+    base = rows.select("item_id", tx.norm_value(F.col("entity_name")).alias("k_entity"), tx.norm_value(F.col("role_year")).alias("k_year"), F.array(*[cell(h) for h in header]).alias("cells"))
+    counter = lambda place, value: F.pmod(F.xxhash64(place, value), F.lit(SKETCH))
+    sketch = base.select(F.posexplode("cells").alias("c", "v")).groupBy(counter(F.col("c"), F.col("v")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+    facts = F.filter(F.transform(F.filter("facts", lambda f: ~tx.is_empty(f["value"])), lambda f: F.struct(
+        f["name"].alias("name"), tx.norm_value(f["value"]).alias("want"), columns_for_fact(header, f["name"], config).alias("places"))), lambda f: F.size(f["places"]) > 0)
+    keyed = evals.select("eval_id", tx.norm_value(entity).alias("k_entity"), tx.norm_value(year).alias("k_year"), facts.alias("facts"))
+    keyed = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != "") & (F.size("facts") > 0))
     taken = [m.lower() for role in ("entity", "year") for m in (role, *config.key_fields.get(role, []))]
-    free = F.filter("facts", lambda f: ~F.lower(f["name"]).isin(*taken) & ~tx.is_empty(f["value"]))
-    return F.array_max(F.transform(free, lambda f: F.struct(F.length(f["value"]).alias("n"), f["name"].alias("name"), f["value"].alias("value"))))
+    free = F.filter("facts", lambda f: ~F.lower(f["name"]).isin(*taken))
+    item = ["eval_id", "k_entity", "k_year", "facts"]
+    met = keyed.withColumn("f", F.explode(free)).withColumn("at", F.explode(F.concat(
+        F.transform("f.places", lambda c: counter(c, F.col("f.want"))), F.array(counter(F.get("f.places", F.lit(0)), F.lit(""))))))
+    rarity = met.join(sketch, "at", "left").groupBy(*item, "f").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    anchored = rarity.groupBy(*item).agg(F.min_by("f", F.struct("n", "f.name")).alias("anchor"))
+    alone = keyed.filter(F.size(free) == 0)
+    chosen = written(anchored.unionByName(alone.withColumn("anchor", F.lit(None).cast(anchored.schema["anchor"].dataType))), "anchors")
+    # An item without such a fact meets its rows by entity and year alone.
+    keys = F.when(F.col("anchor").isNull(), F.array(F.struct(F.lit(-1).alias("c"), F.lit("").alias("v")))).otherwise(F.concat(
+        F.transform("anchor.places", lambda c: F.struct(c.alias("c"), F.col("anchor.want").alias("v"))), F.array(F.struct(F.get("anchor.places", F.lit(0)).alias("c"), F.lit("").alias("v")))))
+    wanted = chosen.select("eval_id", "k_entity", "k_year", "facts", F.explode(keys).alias("k")).select("*", "k.*").drop("k")
+    used = sorted(r["c"] for r in chosen.select(F.explode("anchor.places").alias("c")).distinct().collect())  # at most the header's width
+    probes = F.array(*[F.struct(F.lit(c).alias("c"), F.get("cells", F.lit(c)).alias("v")) for c in used], F.struct(F.lit(-1).alias("c"), F.lit("").alias("v")))
+    probe = base.withColumn("k", F.explode(probes)).select("*", "k.*").drop("k")
+    held = F.filter(F.transform("facts", lambda f: F.struct(f["want"].alias("want"), _first_filled(F.col("cells"), f["places"]).alias("have"))), lambda f: f["have"] != "")
+    agree = tx.let(held, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: f["have"] == f["want"]))
+    return probe.join(wanted, ["k_entity", "k_year", "c", "v"]).filter(agree).select("item_id", "eval_id").distinct()
 
 
 def row_cells(header: list[str]) -> Column:
