@@ -124,18 +124,24 @@ def canonical_items(evals: DataFrame) -> DataFrame:
     return shaped.withColumn("canonical", F.to_json(F.struct(*shaped.columns)))
 
 
-def digest_tree(lines: DataFrame, line: str) -> DataFrame:
-    """Order-insensitive SHA-256 over lines: one row (hash, n), the same tree at every size.
+def digest_trees(lines: DataFrame, line: str, by: list[str] = ()) -> DataFrame:
+    """Order-insensitive SHA-256 over the lines of every group (``by``): hash and n, the same tree at every size.
 
-    Every line is digested; digests with the same four leading hex digits are sorted, joined by newlines and digested,
-    then those with the same two, then all. Digests are uniform, so the groups stay even whatever the lines hold, and
-    the last two levels join at most 256 digests each.
+    Every line is digested; digests of a group with the same four leading hex digits are sorted, joined by newlines and
+    digested, then those with the same two, then all. Digests are uniform, so the tasks stay even whatever the lines hold
+    and however large a group is, and the last two levels join at most 256 digests each.
     """
+    by = list(by)
     joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h")
-    leaf = lines.select(F.sha2(F.col(line), 256).alias("h"))
-    groups = leaf.groupBy(F.substring("h", 1, 4).alias("g")).agg(joined, F.count(F.lit(1)).alias("n"))
-    tops = groups.groupBy(F.substring("g", 1, 2).alias("g")).agg(joined, F.sum("n").alias("n"))
-    return tops.agg(joined, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.concat(F.lit("sha256-tree:"), "h").alias("hash"), "n")
+    leaf = lines.select(*by, F.sha2(F.col(line), 256).alias("h"))
+    groups = leaf.groupBy(*by, F.substring("h", 1, 4).alias("g")).agg(joined, F.count(F.lit(1)).alias("n"))
+    tops = groups.groupBy(*by, F.substring("g", 1, 2).alias("g")).agg(joined, F.sum("n").alias("n"))
+    return tops.groupBy(*by).agg(joined, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*by, F.concat(F.lit("sha256-tree:"), "h").alias("hash"), "n")
+
+
+def digest_tree(lines: DataFrame, line: str) -> DataFrame:
+    """The digest tree of all lines: one row (hash, n)."""
+    return digest_trees(lines, line)
 
 
 def evalset_fingerprint(evals: DataFrame) -> DataFrame:
@@ -149,6 +155,24 @@ def dataset_fingerprint(files: DataFrame) -> DataFrame:
     return digest_tree(files.select(line.alias("_line")), "_line")
 
 
+def file_hash(content: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a file's content."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def folder_hashes(files: DataFrame) -> DataFrame:
+    """(folder, hash, n) of every folder above the files (path, hash), the root being ``''``.
+
+    A folder's hash covers the paths below it and the hashes of all files there, so it changes with any of them. Each
+    file gives one line to each folder above it; no folder is gathered in one task.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(
+        F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("below")))
+    lines = files.select(F.inline(above), "hash").select("folder", F.concat("below", F.lit(":"), "hash").alias("_line"))
+    return digest_trees(lines, "_line", ["folder"])
+
+
 def fact_key_counts(evals: DataFrame) -> DataFrame:
     """How many evaluation items cite each fact key."""
     return evals.select(F.explode(F.transform("facts", lambda f: f["name"])).alias("field")).groupBy("field").agg(

@@ -195,3 +195,18 @@ def indexed_items(spark, sf):
                                              F.array(F.lit("must")).alias("assertions"))
     return t.select("eval_id", "prompt", F.explode_outer("assertions").alias("assertion"))
 
+
+
+_TREE = """h4 AS (SELECT folder, substr(h, 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM leaf GROUP BY ALL),
+ h2 AS (SELECT folder, substr(g, 1, 2) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, sum(n) AS n FROM h4 GROUP BY folder, substr(g, 1, 2))"""
+
+
+@query("folder_hashes", "AGG-23", f"""WITH f AS (SELECT lang AS l, source AS s, 'doc-' || doc_id || '.txt' AS name, substr(sha256(text), 1, 16) AS hash FROM documents),
+ leaf AS (SELECT '' AS folder, sha256(l || '/' || s || '/' || name || ':' || hash) AS h FROM f UNION ALL SELECT l, sha256(s || '/' || name || ':' || hash) FROM f
+  UNION ALL SELECT l || '/' || s, sha256(name || ':' || hash) FROM f), {_TREE}
+SELECT folder, 'sha256-tree:' || sha256(string_agg(h, chr(10) ORDER BY h)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM h2 GROUP BY folder""")
+def folder_hashes(spark, sf):
+    """Documents as files two folders deep: a hash for the root, every language and every source in it."""
+    d = table(spark, sf, "documents")
+    path = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return evalset.folder_hashes(d.select(path.alias("path"), evalset.file_hash(F.col("text")).alias("hash")))

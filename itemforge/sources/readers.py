@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
-from itemforge.sources import splits
+from itemforge.sources import listing, splits
 
 # Extensions, skipped folders and evaluation-set files.
 DISCOVERED = ("csv", "tsv", "json", "jsonl", "xlsx", "xls", "docx", "pdf", "pptx", "txt", "md")
@@ -26,11 +27,10 @@ def discover(spark: SparkSession, root: str, extensions: list[str] | None = None
     """Files under ``root`` as (path, relative_path, ext, bytes), sorted.
 
     ``rule`` picks the exclusions: ``enrich`` (eval sets, workspaces, ``_`` folders), ``identity`` (fewer
-    names, ``_`` files too), ``profile`` (none). Contents are not read: only listing columns are selected.
+    names, ``_`` files too), ``profile`` (none). Contents are not read; names that start with ``_`` or ``.`` are listed too.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes")))
-    rel = tx.relative_path(F.col("path"), root)
+    files = listing.files_below(spark, root)
+    rel = tx.relative_path(F.col("path"), re.sub("^file:/+", "/", root))
     named = files.select("path", rel.alias("relative_path"), tx.extension(F.col("path")).alias("ext"), "bytes")
     parts = F.split("relative_path", "/")
     folders, base = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)

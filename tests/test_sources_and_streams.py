@@ -24,11 +24,14 @@ def dataset(tmp_path):
 
 
 def test_discovery(spark, dataset):
-    for name in ("a.csv", "sub/b.md", "_hidden/c.csv", "evalset/d.csv", "eval-set.csv", "workspace/e.csv", "f.bin"):
+    for name in ("a.csv", "sub/b.md", "_hidden/c.csv", "evalset/d.csv", "eval-set.csv", "workspace/e.csv", "f.bin", ".dot/deep/er/g.csv", "sub/_h.csv"):
         dataset(name, "x,y\n1,2\n")
     names = lambda rule: [r["relative_path"] for r in readers.discover(spark, dataset.root, ["csv", ".MD"], rule=rule).collect()]
-    assert names("enrich") == ["a.csv", "sub/b.md"]
-    assert len(names("profile")) == 5  # Spark itself never lists names that start with "_"
+    assert names("enrich") == [".dot/deep/er/g.csv", "a.csv", "sub/_h.csv", "sub/b.md"]
+    assert names("identity") == [".dot/deep/er/g.csv", "a.csv", "eval-set.csv", "sub/b.md"]
+    assert len(names("profile")) == 8
+    one = readers.discover(spark, f"{dataset.root}/a.csv").collect()
+    assert [(r["ext"], r["bytes"]) for r in one] == [("csv", 8)]
     assert readers.default_extensions(readers.discover(spark, dataset.root)) is None
     assert {r["path"] for r in readers.file_hashes(spark, dataset.root, ["csv"]).collect()} == {"a.csv", "eval-set.csv"}
 
