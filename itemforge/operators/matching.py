@@ -120,10 +120,6 @@ def match_by_entity_year(rows: DataFrame, header: list[str], evals: DataFrame, c
     return probe.join(wanted, ["k_entity", "k_year", "c", "v"]).filter(agree).select("item_id", "eval_id").distinct()
 
 
-def row_cells(header: list[str]) -> Column:
-    return F.array(*[F.struct(F.lit(h).alias("name"), F.col(f"`{h}`").alias("value")) for h in header])
-
-
 def phrases_of(evals: DataFrame) -> DataFrame:
     """Distinct (eval_id, phrase); blank assertions match nothing here, though as substrings they would match all."""
     phrase = tx.norm_value(F.col("assertion"))
