@@ -320,14 +320,16 @@ def in_bands(chosen: DataFrame, num: int, den: int) -> Column:
     return F.array(step - 1, step)
 
 
-def refined(classes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+def refined(classes: DataFrame, blocks: DataFrame, num: int, den: int, rows: int) -> DataFrame:
     """class_id and block, with blocks above ``TILE_SHINGLES`` cut along what bitmaps leave possible.
 
     Documents that share passages chain into large blocks. There only bitmaps are sent to pairs of tiles, a few bytes for
     every hundred of a set; the components of the pairs they leave possible are the new blocks. Linked sets are never parted.
     """
     chosen = classes.join(blocks, "class_id").select("class_id", "block", "n_shingles", "bits")
-    large = settle(chosen.groupBy("block").agg(F.sum("n_shingles").alias("weight")).filter(F.col("weight") > TILE_SHINGLES).select("block"))
+    large = settle(chosen.groupBy("block").agg(F.sum("n_shingles").alias("weight")).filter(F.col("weight") > TILE_SHINGLES).select("block"), rows)
+    if large.isEmpty():
+        return blocks.select("class_id", "block")
     banded = chosen.join(large, "block").withColumn("band", F.explode(in_bands(chosen, num, den)))
     tiles = banded.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_CLASSES)).cast("int").alias("tiles"))
     tiled = banded.join(tiles, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
@@ -391,12 +393,13 @@ def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and root (the component, named by its smallest class) of every row."""
     spark = docs.sparkSession
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() * 4_000 // BUCKET_TEXT))
+    rows = read.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * 4_000 // BUCKET_TEXT))
     sized = settle(set_sizes(read, width))
-    blocks = settle(components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block")))
+    blocks = settle(components(candidate_edges(read, width, num, den, buckets)).select(F.col("id").alias("class_id"), F.col("root").alias("block")), rows)
     salted = sized.filter("n_shingles > 0").groupBy("class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits"))
-    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.max("size").alias("n_shingles"), F.max("bits").alias("bits"), F.collect_set("salt").alias("salts")))
-    chosen = settle(placed_in_blocks(classes, refined(classes, blocks, num, den), num, den))
+    classes = settle(salted.groupBy("class_id").agg(F.min("least").alias("id"), F.max("size").alias("n_shingles"), F.max("bits").alias("bits"), F.collect_set("salt").alias("salts")), rows)
+    chosen = settle(placed_in_blocks(classes, refined(classes, blocks, num, den, rows), num, den), 2 * rows)
 
     shared = spark.sparkContext.broadcast(bit_map(chosen, "class_id"))
 
@@ -411,7 +414,7 @@ def named_classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array(named[at]), packed], ["id", "class_id", "shingles"])
     found = read.mapInArrow(lean(sets), "id long, class_id long, shingles binary")
     members = found.join(chosen, ["id", "class_id"]).select("block", "band", "tiles", "tile", F.col("class_id").alias("id"), "shingles")
-    roots = settle(components(block_links(members, num, den, buckets)).select(F.col("id").alias("class_id"), "root"))
+    roots = settle(components(block_links(members, num, den, buckets)).select(F.col("id").alias("class_id"), "root"), rows)
     least = roots.join(classes, "class_id").groupBy("root").agg(F.min("id").alias("least"))
     linked = roots.join(least, "root")
     named = classes.join(linked, "class_id", "left").select("class_id", F.explode("salts").alias("salt"), F.coalesce("least", "id").alias("named"), F.coalesce("root", "class_id").alias("root"))

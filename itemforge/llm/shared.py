@@ -39,12 +39,25 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: a lost executor never loses the rows."""
+ROWS_A_PART = 20_000
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint: a lost executor never loses the rows.
+
+    Where at most ``rows`` rows are known to come, they are written in as many parts as these need, so that small tables
+    of a loop do not leave a file for every shuffle partition.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_PART)))).checkpoint()
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def release() -> None:
