@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import pre_tokenizers
 
 from itemforge.llm.bytewords import edges, hash_ranges, ranges, text_slices
-from itemforge.llm.shared import table
+from itemforge.llm.shared import lean, table
 
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS, TABLE_WORDS = 1_000_000, 200_000  # distinct words a task remembers, and when it also holds lists of ids
 VECTOR_BYTES = 64
 LETTER, NUMBER, BLANK = 1, 2, 3
 _NONE = np.int64(1 << 40)
@@ -250,7 +250,8 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordMemory:
     """Ids of texts through the ids of their distinct pre-tokens. ``encode`` gives (counts, ids) for new pre-tokens."""
 
-    def __init__(self, encode, added: dict[str, int]):
+    def __init__(self, encode, added: dict[str, int], most: int | None = None):
+        self.most = most or MEMORY_WORDS
         self.encode, self.added = encode, {k.encode(): v for k, v in added.items()}
         self.pattern = regex.compile(b"|".join(regex.escape(k) for k in sorted(self.added, key=len, reverse=True))) if added else None
         self.clear()
@@ -267,7 +268,7 @@ class WordMemory:
         ends = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
         keys = hash_ranges(data, starts, ends)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > MEMORY_WORDS:
+        if len(self.keys) + len(distinct) > self.most:
             self.clear()
         fresh = np.flatnonzero(self._look_up(distinct) < 0)
         if len(fresh):
@@ -320,7 +321,7 @@ def encode_table(docs: DataFrame, words: Broadcast, keep: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = words.value
-        memory = WordMemory(vocab.encode_words, vocab.added)
+        memory = WordMemory(vocab.encode_words, vocab.added, TABLE_WORDS)
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "_text"):
                 ids, before = memory.ids(data, offsets)
@@ -331,7 +332,7 @@ def encode_table(docs: DataFrame, words: Broadcast, keep: list[str]) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(np.diff(before), pa.int64()), lists, pa.array(same)],
                                                  [*keep, "n_tokens", "ids", "round_trip"])
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, words: Broadcast) -> DataFrame:
