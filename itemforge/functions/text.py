@@ -177,6 +177,11 @@ def is_short_code(c: Column) -> Column:
     return F.length(stripped).between(2, 3) & (F.upper(stripped) == stripped)
 
 
+def upper_each(c: Column) -> Column:
+    """Upper case code point by code point: one without a single upper-case form (a sharp s, a ligature) stays as it is."""
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)), "")
+
+
 def tokens(folded: Column) -> Column:
     return F.array_distinct(F.filter(F.split(folded, "[^a-z0-9.]+"), lambda t: F.length(t) > 1))
 

@@ -58,7 +58,7 @@ SELECT eval_id, contains({S.fold('answer')}, {S.fold('word')}) OR contains(regex
   AND upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) = regexp_replace(code, '[^A-Za-z0-9]', '', 'g') AS short_code FROM w""")
 def contains_checks(spark, sf):
     w = turn_pairs(spark, sf).select("eval_id", tx.fold(F.col("answer")).alias("a"),
-                                     tx.fold(F.substring_index("prompt", " ", 1)).alias("w"), F.upper(F.substring("prompt", 1, 2)).alias("code"))
+                                     tx.fold(F.substring_index("prompt", " ", 1)).alias("w"), tx.upper_each(F.substring("prompt", 1, 2)).alias("code"))
     return w.select("eval_id", tx.contains_folded(F.col("a"), F.col("w")).alias("holds"), tx.is_short_code(F.col("code")).alias("short_code"))
 
 

@@ -161,3 +161,7 @@ def test_version_order(spark):
     rows = spark.createDataFrame([("v9", 3), ("v10", 1), ("v10", 2), ("v2", 9), ("2024-01-31", 0), ("2024-02-01", 0)], "version string, batch long")
     ordered = rows.orderBy(version_place(F.col("version"), F.col("batch"))).collect()
     assert [tuple(r) for r in ordered] == [("v2", 9), ("v9", 3), ("v10", 1), ("v10", 2), ("2024-01-31", 0), ("2024-02-01", 0)]
+
+
+def test_upper_each(spark):
+    assert values(spark, ["ab", chr(0xC4) + chr(0xDF), chr(0xFB01) + "x", chr(0xE9) + "1"], tx.upper_each) == ["AB", chr(0xC4) + chr(0xDF), chr(0xFB01) + "X", chr(0xC9) + "1"]
