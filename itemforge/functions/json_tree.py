@@ -30,6 +30,27 @@ OBJECT_TEXT = "[object Object]"
 ROLE_KEYS = {"title": TITLE_KEYS, "author": AUTHOR_KEYS, "date": DATE_KEYS, "url": URL_KEYS, "iconUrl": ICON_KEYS}
 
 
+def _wraps(raw: Column) -> tuple[Column, Column]:
+    """A text as the only element of an array and as the only member of an object.
+
+    The parsers stop after the first value and never see what follows it. No rest of a text can go on both in an array
+    and in an object, so both wraps are JSON exactly when the text is one value and nothing else.
+    """
+    return F.concat(F.lit("["), raw, F.lit("]")), F.concat(F.lit('{"v":'), raw, F.lit("}"))
+
+
+def parsed_json(raw: Column) -> Column:
+    """The value of a JSON text; null when the text is anything else but one JSON value."""
+    listed, named = _wraps(raw)
+    return F.when(F.try_parse_json(listed).isNotNull(), F.try_variant_get(F.try_parse_json(named), "$.v", "variant"))
+
+
+def is_json(raw: Column) -> Column:
+    """Whether a text is one JSON value; an object may name a member twice."""
+    listed, named = _wraps(raw)
+    return parsed_json(raw).isNotNull() | (F.get_json_object(listed, "$").isNotNull() & F.get_json_object(named, "$").isNotNull())
+
+
 def _kind(value: Column) -> Column:
     return tx.let(F.schema_of_variant(value), lambda shape: F.when(shape.isNull() | (shape == "VOID"), "null").when(shape.startswith("OBJECT"), "object")
                   .when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").otherwise("number"))
@@ -94,8 +115,8 @@ def _below(path: Column, key: Column) -> Column:
 
 def _root(raw: Column) -> Column:
     """One entry without a path; anything but an object becomes the member ``value`` of one."""
-    whole = F.when(_kind(F.try_parse_json(raw)) == "object", raw).otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}")))
-    return F.when(F.try_parse_json(raw).isNotNull(), F.array(_entry(F.lit(""), F.lit("object"), whole)))
+    whole = F.when(_kind(parsed_json(raw)) == "object", raw).otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}")))
+    return F.when(parsed_json(raw).isNotNull(), F.array(_entry(F.lit(""), F.lit("object"), whole)))
 
 
 def _ends(rows: Column, last: bool) -> Column:
@@ -193,7 +214,7 @@ def with_search_entries(df: DataFrame, raw: str, name: str) -> DataFrame:
             alias = F.struct(leaf.alias("key"), alias_rank.alias("rank"), (2 * i + 1).alias("place"), e["text"].alias("value"))
             return F.when((leaf == "") | (leaf == e["path"]), F.array(full)).otherwise(F.array(full, alias))
         return _settled(F.flatten(F.transform(facts, writes)))
-    kind = _kind(F.try_parse_json(raw))
+    kind = _kind(parsed_json(raw))
     root = F.array(ranked(F.lit(""), kind, F.col(raw), F.array().cast("array<int>")))
     start = df.withColumn(name, F.when(F.col(raw).isNotNull(), F.filter(root, is_nested)))
     opened = _opened(start, name, open_one, is_nested, deepest(df, raw))
@@ -226,7 +247,7 @@ def record_roles(raw: Column) -> Column:
         return F.filter(found, lambda e, i: F.array_position(roles, e["key"]) == i + 1)
     answers = F.transform(members(raw), lambda m: F.struct(role(m["key"]).alias("key"), text(m).alias("value")))
     filled = F.filter(answers, lambda e: e["key"].isNotNull() & (F.coalesce(e["value"], F.lit("")) != ""))
-    return F.when(_kind(F.try_parse_json(raw)) == "object", tx.let(filled, first_of_each))
+    return F.when(_kind(parsed_json(raw)) == "object", tx.let(filled, first_of_each))
 
 
 def entry_rows(df: DataFrame, name: str, *keep: str) -> DataFrame:
@@ -272,7 +293,7 @@ def with_outline(df: DataFrame, raw: str, name: str) -> DataFrame:
             return F.transform(rows, lambda m: F.struct(m["key"].alias("key"), m["kind"].alias("kind"), F.when(m["kind"] == "null", "null").otherwise(m["text"]).alias("text")))
         of_object = F.flatten(F.transform(F.filter(named(members(e["text"])), lambda m: m["text"] != ""), member))
         return ended(F.when(e["kind"] == "object", of_object).otherwise(F.flatten(F.transform(named(elements(e["text"])), item))))
-    value = F.try_parse_json(raw)
+    value = parsed_json(raw)
     kind = _kind(value)
     opened = _opened(df.withColumn(name, F.array(_entry(F.lit("1"), kind, F.col(raw)))), name, open_one, is_nested, deepest(df, raw))
     scalar = F.when(kind == "null", "null").when(kind == "number", number_text(F.try_variant_get(value, "$", "double"))).otherwise(value.cast("string"))
@@ -282,4 +303,4 @@ def with_outline(df: DataFrame, raw: str, name: str) -> DataFrame:
 
 def canonical_json(raw: Column) -> Column:
     """Compact JSON with the keys of every object in order; null for a text that is no JSON becomes ``null``."""
-    return F.when(raw.isNotNull(), F.coalesce(F.to_json(F.try_parse_json(raw)), F.lit("null")))
+    return F.when(raw.isNotNull(), F.coalesce(F.to_json(parsed_json(raw)), F.lit("null")))

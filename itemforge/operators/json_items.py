@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import ids
 from itemforge.functions import text as tx
-from itemforge.functions.json_tree import record_roles, with_search_entries
+from itemforge.functions.json_tree import is_json, parsed_json, record_roles, with_search_entries
 from itemforge.operators.documents import (STRUCTURED_KEYS, chunk_items, html_documents, kind_of, markdown_documents, pick_values, structured_properties,
                                            text_documents, with_norms)
 from itemforge.session import filter_settled
@@ -162,8 +162,8 @@ def json_file_documents(files: DataFrame, url_prefix: str = "") -> DataFrame:
     An element that is no object counts as the member ``value`` of one. A file that is no JSON is a document of its text.
     """
     raw = tx.trimmed(F.col("raw"))
-    known = files.withColumn("_ok", F.try_parse_json(raw).isNotNull())
-    listed = F.when(F.col("_ok") & raw.startswith("["), F.from_json(raw, "array<variant>")).when(F.col("_ok"), F.array(F.try_parse_json(raw)))
+    known = files.withColumn("_ok", parsed_json(raw).isNotNull())
+    listed = F.when(F.col("_ok") & raw.startswith("["), F.from_json(raw, "array<variant>")).when(F.col("_ok"), F.array(parsed_json(raw)))
     texts = F.when(F.col("_ok") & raw.startswith("["), F.from_json(raw, "array<string>")).when(F.col("_ok"), F.array(raw))
     parts = F.zip_with(listed, texts, lambda v, t: F.struct(F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), t).otherwise(F.to_json(v)).alias("json"), F.schema_of_variant(v).startswith("OBJECT").alias("is_object")))
     one = F.coalesce(parts, F.array(F.struct(F.lit(None).cast("string").alias("json"), F.lit(False).alias("is_object"))))
@@ -204,7 +204,7 @@ def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
     A line that is not JSON is kept as text.
     """
     kept = (lines.withColumn("value", tx.trimmed(F.col("value"))).filter(F.col("value") != "")
-            .withColumn("_ok", F.try_parse_json("value").isNotNull() | F.get_json_object("value", "$").isNotNull()))
+            .withColumn("_ok", is_json(F.col("value"))))
     parsed = kept.withColumn("_json", F.when(F.col("_ok"), F.col("value")))
     flat = with_search_entries(parsed, "_json", "_e").withColumn("_r", record_roles(F.col("_json")))
     flat = flat.withColumns({"_entries": F.coalesce("_e", F.array().cast(_NO_ENTRIES)), "_roles": F.coalesce("_r", F.array().cast(_NO_ENTRIES)),

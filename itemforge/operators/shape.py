@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
+from itemforge.functions.json_tree import parsed_json
 from itemforge.operators.ordinals import first_n
 
 # Thresholds of the verdict.
@@ -29,7 +30,7 @@ def table_samples(df: DataFrame, header: list[str]) -> DataFrame:
 
 def json_samples(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON objects as sample records; other lines are left out. Nested values give no text."""
-    kept = lines.filter(F.col(column).rlike(r"^\s*\{") & F.try_parse_json(column).isNotNull())
+    kept = lines.filter(F.col(column).rlike(r"^\s*\{") & parsed_json(F.col(column)).isNotNull())
     raw = F.map_entries(F.from_json(F.col(column), "map<string,string>"))
     names = F.json_object_keys(F.col(column))
     entries = F.transform(raw, lambda e: F.struct(e["key"].alias("field"), F.when(

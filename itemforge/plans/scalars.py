@@ -8,7 +8,7 @@ from itemforge.functions import ids
 from itemforge.functions import names as nm_
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
-from itemforge.functions.json_tree import canonical_json
+from itemforge.functions.json_tree import canonical_json, parsed_json
 from itemforge.operators.scoring import mean_of_map, numeric_entries
 from itemforge.plans import sql as S
 from itemforge.plans.registry import query
@@ -234,8 +234,8 @@ def json_parse(spark, sf):
     from itemforge.sources.readers import is_object
     events = table(spark, sf, "events").select("event_id", F.col("props").alias("v"))
     lines = events.unionByName(table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("event_id"), F.col("text").alias("v")))
-    return lines.select("event_id", F.try_parse_json("v").isNotNull().alias("parsed"), is_object(F.col("v")).alias("is_object"),
-                        F.coalesce(F.try_variant_get(F.try_parse_json("v"), "$.k", "bigint"), F.lit(-1).cast("long")).alias("k"))
+    return lines.select("event_id", parsed_json(F.col("v")).isNotNull().alias("parsed"), is_object(F.col("v")).alias("is_object"),
+                        F.coalesce(F.try_variant_get(parsed_json(F.col("v")), "$.k", "bigint"), F.lit(-1).cast("long")).alias("k"))
 
 
 @query("canonical_json_text", "JSN-02 AGG-23", """SELECT event_id, '{"a":{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"},"id":' || event_id || ',"z":null}' AS canonical,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
+from itemforge.functions.json_tree import is_json, parsed_json
 from itemforge.sources import listing, splits
 
 # Extensions, skipped folders and evaluation-set files.
@@ -157,7 +158,7 @@ def _quoted_tables(spark: SparkSession, paths: list[str], root: str, blank_names
 
 
 def is_object(c: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.schema_of_variant(parsed_json(c)).startswith("OBJECT"), F.lit(False))
 
 
 def json_lines_files(lines: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def read_json_records(lines: DataFrame, on_error: str = "text") -> DataFrame:
     (``text``), left out (``skip``) or fails the query (``error``). ``ordinal`` counts physical lines."""
     v = tx.trimmed(F.col("value"))
     kept = lines.withColumn("raw", v).filter(F.col("raw") != "")
-    good = F.try_parse_json("raw").isNotNull() | F.get_json_object("raw", "$").isNotNull()
+    good = is_json(F.col("raw"))
     json = F.when(good, F.col("raw"))
     if on_error == "error":
         json = F.when(good, F.col("raw")).otherwise(F.raise_error(F.concat(
@@ -189,11 +190,11 @@ def read_json_documents(docs: DataFrame, fallback: str = "text") -> DataFrame:
     """
     raw = tx.trimmed(F.col("raw"))
     array = F.from_json(raw, "array<string>")
-    known = docs.withColumn("_ok", F.try_parse_json(raw).isNotNull()).withColumn("_arr", F.when(
+    known = docs.withColumn("_ok", parsed_json(raw).isNotNull()).withColumn("_arr", F.when(
         F.col("_ok") & raw.startswith("["), array).when(F.col("_ok"), F.array(raw)))
     parts = known.filter("_ok").select("source_file", F.posexplode("_arr").alias("at", "json"))
     wrapped = F.when(is_object(F.col("json")), F.col("json")).otherwise(F.concat(
-        F.lit('{"value":'), F.when(F.try_parse_json("json").isNotNull(), F.col("json")).otherwise(F.to_json(F.array("json")).substr(F.lit(2), F.length(F.to_json(F.array("json"))) - 2)), F.lit("}")))
+        F.lit('{"value":'), F.when(parsed_json(F.col("json")).isNotNull(), F.col("json")).otherwise(F.to_json(F.array("json")).substr(F.lit(2), F.length(F.to_json(F.array("json"))) - 2)), F.lit("}")))
     good = parts.select("source_file", (F.col("at") + 1).cast("long").alias("ordinal"), wrapped.alias("json"), F.col("json").alias("raw"))
     bad = known.filter(~F.col("_ok"))
     if fallback == "lines":

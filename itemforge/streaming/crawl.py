@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
+from itemforge.functions.json_tree import parsed_json
 from itemforge.operators.identity import Property
 from itemforge.operators.runtime import runtime_items, split_failures
 from itemforge.sinks.writers import upsert_batch
@@ -27,7 +28,7 @@ def parse_raw(lines: DataFrame, raw_schema: str) -> DataFrame:
     """Lines to typed raw columns plus ``parse_error`` and the line's ``_place``; blank lines vanish."""
     kept = lines.filter(tx.trimmed(F.col("value")) != "")
     parsed = kept.withColumn("_r", F.from_json("value", raw_schema))
-    bad = F.try_parse_json("value").isNull()
+    bad = parsed_json(F.col("value")).isNull()
     return parsed.select("_r.*", F.when(bad, "not valid JSON").alias("parse_error"), F.struct("file", "block", "at").alias("_place"))
 
 

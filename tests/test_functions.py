@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from itemforge.functions import chunks, names
+from itemforge.functions import chunks, json_tree, names
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
 
@@ -165,3 +165,10 @@ def test_version_order(spark):
 
 def test_upper_each(spark):
     assert values(spark, ["ab", chr(0xC4) + chr(0xDF), chr(0xFB01) + "x", chr(0xE9) + "1"], tx.upper_each) == ["AB", chr(0xC4) + chr(0xDF), chr(0xFB01) + "X", chr(0xC9) + "1"]
+
+
+def test_json_is_one_whole_value(spark):
+    texts = ["1 and more", '{"k": 1} {"k": 2}', "1] x", '1, "v": 2', "1, 2", "1}", "", " ", ' {"k": [1, null]} ', "null", '"a]"', "12"]
+    assert values(spark, texts, lambda v: json_tree.parsed_json(v).isNotNull()) == [False] * 8 + [True] * 4
+    assert values(spark, [*texts, '{"k": 1, "k": 2}'], json_tree.is_json) == [False] * 8 + [True] * 5
+    assert values(spark, [texts[8]], lambda v: F.to_json(json_tree.parsed_json(v))) == ['{"k":[1,null]}']
