@@ -25,3 +25,8 @@ def nfkd_fold(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def nfkd_lower(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKD", v).lower(), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def nfc_lower(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: unicodedata.normalize("NFC", v).lower(), na_action="ignore")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from itemforge.functions.arrow import nfkd_fold, nfkd_lower
+from itemforge.functions.arrow import nfc_lower, nfkd_fold, nfkd_lower
 from itemforge.functions.fixed import NAMED_ENTITIES, WS_CHARS, WS_CODES
 
 WS = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES) + "]"
@@ -151,6 +151,12 @@ def fold_keep_marks(c: Column) -> Column:
     return F.when(ascii_only, F.lower(c)).otherwise(nfkd_lower(F.when(~ascii_only, c)))
 
 
+def fold_composed(c: Column) -> Column:
+    """Compose and lower: a letter with its mark is one sign, so the bare letter is not found in it."""
+    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+    return F.when(ascii_only, F.lower(c)).otherwise(nfc_lower(F.when(~ascii_only, c)))
+
+
 def compact(folded: Column) -> Column:
     return F.regexp_replace(folded, "[^a-z0-9]+", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,17 +84,20 @@ def library_scores(pairs: DataFrame) -> DataFrame:
         none_given.alias("no_result"), none_expected.alias("expected_no_result"), failed.alias("failed_checks"))
 
 
-def report_scores(pairs: DataFrame) -> DataFrame:
+def report_scores(pairs: DataFrame, fold: Callable[[Column], Column] = tx.fold_keep_marks) -> DataFrame:
     """Report form of the score: marks are kept in the fold, blank facts count as failed,
-    an answer without evaluation item scores zero. ``matched`` says whether the item exists."""
+    an answer without evaluation item scores zero. ``matched`` says whether the item exists.
+
+    The default fold decomposes, so a bare letter at the end of a value is found in a marked one; with
+    ``tx.fold_composed`` a marked letter is a letter of its own."""
     facts = F.filter("supporting_facts", lambda f: f.isNotNull())
     staged = pairs.withColumns({
         "_response": tx.text_or_blank(F.col("actual_answer")),
         "_values": F.coalesce(F.transform("assertions", lambda a: tx.text_or_blank(a["value"])), F.array().cast("array<string>")),
         "_facts": F.coalesce(F.transform(facts, lambda f: tx.fact_value(f)), F.array().cast("array<string>"))})
     staged = staged.withColumns({
-        "_fr": tx.fold_keep_marks(F.col("_response")), "_fv": _folded_list(F.col("_values"), tx.fold_keep_marks),
-        "_ff": _folded_list(F.col("_facts"), tx.fold_keep_marks)})
+        "_fr": fold(F.col("_response")), "_fv": _folded_list(F.col("_values"), fold),
+        "_ff": _folded_list(F.col("_facts"), fold)})
     scored = _score_columns(
         staged, F.size(F.filter("_fv", lambda v: (v == "") | F.contains("_fr", v))), F.size("_fv"),
         F.size(F.filter("_ff", lambda v: (v != "") & F.contains("_fr", v))), F.size("_ff"))
