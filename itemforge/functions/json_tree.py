@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from itemforge.functions import text as tx
 from itemforge.functions.fixed import AUTHOR_KEYS, DATE_KEYS, ICON_KEYS, TITLE_KEYS, URL_KEYS
 from itemforge.functions.numbers import number_text
-from itemforge.session import stage
+from itemforge.session import written
 
-STEP = 12
+STEP = 24
 # Keys whose long text becomes a section of its own, the length from which it does, and the scalars of an
 # array that an evaluation fact shows.
 BODY_KEYS = ("body", "content", "text", "summary", "description", "excerpt", "message")
@@ -59,7 +59,11 @@ def _kind(value: Column) -> Column:
 def _part(key: Column, text: Column, value: Column) -> Column:
     def shown(kind: Column) -> Column:
         return F.struct(key.alias("key"), kind.alias("kind"), F.when(kind == "number", number_text(F.try_variant_get(value, "$", "double"))).otherwise(text).alias("text"))
-    return tx.let(_kind(value), shown)
+    # Only a scalar is asked for its schema, which for an object would be that of all that is in it.
+    scalar = tx.let(F.schema_of_variant(value), lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number"))
+    kind = (F.when(text.isNull(), "null").when(text.startswith("{") & F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "object")
+            .when(text.startswith("[") & F.try_variant_get(value, "$", "array<variant>").isNotNull(), "array").otherwise(scalar))
+    return tx.let(kind, shown)
 
 
 def members(raw: Column) -> Column:
@@ -101,7 +105,7 @@ def _opened(df: DataFrame, name: str, open_one: Callable[[Column], Column], wait
     for done in range(levels):
         df = df.withColumn(name, level)
         if done % STEP == STEP - 1 and done + 1 < levels:
-            df = stage(df)
+            df = written(df, "opened")
     return df
 
 
@@ -269,8 +273,7 @@ def with_outline(df: DataFrame, raw: str, name: str) -> DataFrame:
         return _entry(level.cast("string"), F.lit("line"), F.concat(F.repeat(F.lit("#"), F.least(level, F.lit(6))), F.lit(" "), words))
 
     def ended(lines: Column) -> Column:
-        last = F.size(lines) - 1
-        return F.transform(lines, lambda x, i: _entry(x["path"], x["kind"], F.when((i == last) & (x["kind"] == "line"), F.regexp_replace(x["text"], r"\s+$", "")).otherwise(x["text"])))
+        return F.transform(lines, lambda x, i: _entry(x["path"], x["kind"], F.when((i == F.size(lines) - 1) & (x["kind"] == "line"), F.regexp_replace(x["text"], r"\s+$", "")).otherwise(x["text"])))
 
     def open_one(e: Column) -> Column:
         level = e["path"].cast("int") + 1
@@ -292,7 +295,7 @@ def with_outline(df: DataFrame, raw: str, name: str) -> DataFrame:
         def named(rows: Column) -> Column:
             return F.transform(rows, lambda m: F.struct(m["key"].alias("key"), m["kind"].alias("kind"), F.when(m["kind"] == "null", "null").otherwise(m["text"]).alias("text")))
         of_object = F.flatten(F.transform(F.filter(named(members(e["text"])), lambda m: m["text"] != ""), member))
-        return ended(F.when(e["kind"] == "object", of_object).otherwise(F.flatten(F.transform(named(elements(e["text"])), item))))
+        return tx.let(F.when(e["kind"] == "object", of_object).otherwise(F.flatten(F.transform(named(elements(e["text"])), item))), ended)
     value = parsed_json(raw)
     kind = _kind(value)
     opened = _opened(df.withColumn(name, F.array(_entry(F.lit("1"), kind, F.col(raw)))), name, open_one, is_nested, deepest(df, raw))

@@ -12,6 +12,10 @@ from itemforge.operators import json_items
 from itemforge.plans import sql as S
 from itemforge.plans.registry import query
 from itemforge.plans.tables import table
+from itemforge.session import dealt
+
+# Records of the JSON queries in a task: opening them is the work, reading them is not.
+DEEP_ROWS, FLAT_ROWS = 5_000, 40_000
 
 
 def text_files(spark, sf):
@@ -236,8 +240,8 @@ def event_json(spark, sf):
     nested = F.struct(F.col("event_id").cast("string").alias("recordId"), F.concat(F.col("event_type"), F.lit(" event")).alias("title"),
                       F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.array("event_type", F.lit("")).alias("tags"),
                                F.col("user_id").alias("userId"), F.lit(None).cast("string").alias("gone")).alias("customProperties"))
-    return table(spark, sf, "events").select("event_id", F.lit("events.jsonl").alias("source_file"), (F.col("event_id") + 1).alias("line"),
-                                             F.to_json(nested).alias("value"))
+    events = dealt(spark.read.parquet(f"{sf}/events.parquet"), FLAT_ROWS)
+    return events.select("event_id", F.lit("events.jsonl").alias("source_file"), (F.col("event_id") + 1).alias("line"), F.to_json(nested).alias("value"))
 
 
 _EVENT = """e AS (SELECT event_id, event_type AS t, user_id AS u, json_extract_string(props, '$.k') AS k FROM events)"""
@@ -270,7 +274,7 @@ def deep_json(spark, sf):
     record = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit('-0","tags":["'), F.col("c_mktsegment"), F.lit('",'), F.col("c_custkey").cast("string"), F.lit("]}"))
     for i in range(1, DEEP + 1):
         record = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit(f'-{i}","k{i}":'), record, F.lit("}"))
-    return table(spark, sf, "customer").select("c_custkey", record.alias("value"))
+    return dealt(table(spark, sf, "customer"), DEEP_ROWS).select("c_custkey", record.alias("value"))
 
 
 def _deep_entries(tags: str, outer: str, aliases: str = "") -> str:

@@ -72,6 +72,15 @@ def filter_settled(df: DataFrame, condition) -> DataFrame:
     return marked.filter(condition & (F.col("_at") >= 0)).drop("_at")
 
 
+def dealt(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Rows of a plain scan dealt out for costly row work, so many a task and one task per core at least.
+
+    Splits are no measure of that work: a file of small rows has few row groups, and splits beyond those are empty.
+    The count comes from the file footers.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work one task per core when the scan has fewer splits than that.
 

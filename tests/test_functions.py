@@ -172,3 +172,19 @@ def test_json_is_one_whole_value(spark):
     assert values(spark, texts, lambda v: json_tree.parsed_json(v).isNotNull()) == [False] * 8 + [True] * 4
     assert values(spark, [*texts, '{"k": 1, "k": 2}'], json_tree.is_json) == [False] * 8 + [True] * 5
     assert values(spark, [texts[8]], lambda v: F.to_json(json_tree.parsed_json(v))) == ['{"k":[1,null]}']
+
+
+def test_kinds_of_members(spark):
+    raw = '{"a": "{x}", "b": "[1]", "c": {}, "d": [], "e": null, "f": "null", "g": true, "h": 1.50, "i": {"j": [1, {"k": "{"}]}}'
+    assert [tuple(m) for m in values(spark, [raw], json_tree.members)[0]] == [
+        ("a", "string", "{x}"), ("b", "string", "[1]"), ("c", "object", "{}"), ("d", "array", "[]"), ("e", "null", None), ("f", "string", "null"),
+        ("g", "boolean", "true"), ("h", "number", "1.5"), ("i", "object", '{"j":[1,{"k":"{"}]}')]
+
+
+def test_records_are_dealt_by_rows_not_by_row_groups(spark, tmp_path):
+    from itemforge.plans import documents as plans
+    for name, key in (("customer", "c_custkey"), ("events", "event_id")):
+        rows = spark.range(0, 500_000, 1, 1).select(F.col("id").alias(key), *[F.lit("x").alias(c) for c in ("c_name", "c_mktsegment", "event_type", "user_id")], F.lit('{"k":1}').alias("props"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert plans.deep_json(spark, str(tmp_path)).rdd.getNumPartitions() == 500_000 // plans.DEEP_ROWS
+    assert plans.event_json(spark, str(tmp_path)).rdd.getNumPartitions() == -(-500_000 // plans.FLAT_ROWS)
