@@ -31,10 +31,13 @@ def _cut_after(window: Column, size: int) -> Column:
 
     A mark that ends in a blank is found by its blank, but for one that straddles the limit.
     """
-    inside = F.translate(F.substring(window, 1, size + 1), "\n", " ")
-    straddles = F.substring(window, size + 1, 2).rlike(f"^[{SENTENCE_SIGNS}] ")
-    place = F.locate(" ", F.reverse(inside))
-    return F.when(straddles, size + 1).when(place == 0, 0).otherwise(F.length(inside) - place + 1)
+    def marked(w: Column) -> Column:
+        def placed(back: Column) -> Column:
+            return F.when(back == 0, 0).otherwise(F.length(F.substring(w, 1, size + 1)) - back + 1)
+        inside = F.replace(F.substring(w, 1, size + 1), F.lit("\n"), F.lit(" "))
+        straddles = F.substring(w, size + 1, 2).rlike(f"^[{SENTENCE_SIGNS}] ")
+        return F.when(straddles, size + 1).otherwise(tx.let(F.locate(" ", F.reverse(inside)), placed))
+    return tx.let(window, marked)
 
 
 def window_chunks(text: Column, size: int, overlap: int) -> Column:
@@ -46,9 +49,8 @@ def window_chunks(text: Column, size: int, overlap: int) -> Column:
             at = state["at"]
 
             def cut(end: Column) -> Column:
-                piece = tx.trimmed(_read(blocks, size, at, end - at))
-                return F.struct(F.greatest(end - overlap, at + 1).alias("at"), (end >= n).alias("done"),
-                                F.when(piece == "", state["out"]).otherwise(F.concat(state["out"], F.array(piece))).alias("out"))
+                out = tx.let(tx.trimmed(_read(blocks, size, at, end - at)), lambda piece: F.when(piece == "", state["out"]).otherwise(F.concat(state["out"], F.array(piece))))
+                return F.struct(F.greatest(end - overlap, at + 1).alias("at"), (end >= n).alias("done"), out.alias("out"))
             mark = _cut_after(_read(blocks, size, at, size + 2), size)
             end = F.when(at + size >= n, n).otherwise(tx.let(mark, lambda m: F.when(m > 1, at + m).otherwise(at + size)))
             return F.when(state["done"], state).otherwise(tx.let(end, cut))

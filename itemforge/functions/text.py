@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from itemforge.functions.arrow import nfc_lower, nfkd_fold, nfkd_lower
 from itemforge.functions.fixed import NAMED_ENTITIES, WS_CHARS, WS_CODES
 
-WS = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES) + "]"
-WS_INLINE = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code != 0x0A) + "]"
-WS_EXOTIC = "[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code not in (0x09, 0x0A, 0x20)) + "]"
+
+def _blanks(*but: int) -> str:
+    """A class of the trimmed code points without ``but``. Two ranges that hold letters and signs are ruled out first, as most of a text is in them."""
+    return rf"[[^\x{{{0x20 if 0x20 in but else 0x21:04x}}}-~\x{{00a1}}-\x{{167f}}]&&[" + "".join(f"\\x{{{code:04x}}}" for code in WS_CODES if code not in but) + "]]"
+
+
+WS, WS_INLINE, WS_EXOTIC = _blanks(), _blanks(0x0A), _blanks(0x09, 0x0A, 0x20)
 
 # Texts that count as "no value".
 EMPTY_TOKENS = ("", "null", "none", "nan", "n/a", "na")

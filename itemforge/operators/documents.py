@@ -221,7 +221,9 @@ def document_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     chosen = tx.let(merged, lambda m: F.when(F.size(m) > 0, m).when(F.col("body") != "", whole))
     staged = cut.withColumns({"_k": chosen, "structured": structured_properties(F.map_entries("metadata"))}).drop("_s", "_c")
     doc_id = ids.document_id(F.col("source_file"), F.col("title"))
-    return (staged.select(*docs.columns, "structured", F.size("_k").alias("chunk_count"), F.posexplode("_k").alias("chunk_index", "_p"))
+    # The outer form keeps the optimizer from deriving a filter on the chunks, which would cut every text again below the scan.
+    return (staged.select(*docs.columns, "structured", F.size("_k").alias("chunk_count"), F.posexplode_outer("_k").alias("chunk_index", "_p"))
+            .filter("chunk_index is not null")
             .select(*docs.columns, "structured", "chunk_index", "chunk_count", "_p.section_path", "_p.heading", "_p.text",
                     doc_id.alias("document_id"))
             .withColumn("id", ids.chunk_id(F.col("source_file"), F.col("document_id"), F.col("chunk_index"), F.col("section_path"))))

@@ -9,13 +9,13 @@ from itemforge.functions.numbers import number_text
 from itemforge.session import spread
 
 
-# Tables whose rows are worked on hard: texts, JSON lines and cell profiles.
-HEAVY = ("documents", "pages", "events", "lineitem", "conversations")
+# Tables whose rows are worked on hard (texts, JSON lines, records, cell profiles), and the rows of one task where a scan is dealt out.
+HEAVY = {"documents": 5_000, "pages": 5_000, "conversations": 20_000, "customer": 20_000, "events": 40_000, "lineitem": 200_000}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 CUSTOMER_HEADER = ["id", "name", "country", "segment", "balance"]
@@ -36,7 +36,7 @@ def order_records(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the country of their customer and the year of their date."""
     orders, customer, nation = (table(spark, sf, n) for n in ("orders", "customer", "nation"))
     placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    return spread(orders).join(placed, F.col("o_custkey") == F.col("c_custkey")).select(
+    return spread(orders, 100_000).join(placed, F.col("o_custkey") == F.col("c_custkey")).select(
         F.lit("orders.csv").alias("source_file"), (F.col("o_orderkey") + 1).alias("source_row"),
         F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("code"), F.col("n_name").alias("country"),
         F.year("o_orderdate").cast("string").alias("year"), F.col("o_orderstatus").alias("status"),

@@ -81,10 +81,13 @@ def dealt(df: DataFrame, rows_per_task: int) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work one task per core when the scan has fewer splits than that.
+def spread(df: DataFrame, rows_per_task: int = 40_000) -> DataFrame:
+    """Give CPU-heavy row work even tasks when the rows of a plain scan lie in fewer splits than there are cores.
 
-    A large scan already has more splits than cores and is returned as it is, without a shuffle.
+    A split is empty when no row group begins in it, so splits are measured by their rows, which come from the file
+    footers: a scan whose largest split holds no more than twice a core's share is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = splits.agg(F.max("n"), F.sum("n")).first()
+    return df if (most or 0) * cores <= 2 * (rows or 0) else df.repartition(max(cores, -(-rows // rows_per_task)))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from itemforge.functions import chunks, json_tree, names
 from itemforge.functions import numbers as nm
 from itemforge.functions import text as tx
+from itemforge.functions.fixed import WS_CODES
+from itemforge.session import spread
 
 
 def values(spark, items, build):
@@ -188,3 +190,22 @@ def test_records_are_dealt_by_rows_not_by_row_groups(spark, tmp_path):
         rows.write.parquet(f"{tmp_path}/{name}.parquet")
     assert plans.deep_json(spark, str(tmp_path)).rdd.getNumPartitions() == 500_000 // plans.DEEP_ROWS
     assert plans.event_json(spark, str(tmp_path)).rdd.getNumPartitions() == -(-500_000 // plans.FLAT_ROWS)
+
+
+def test_blank_classes_hold_the_trimmed_code_points(spark):
+    points = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x10000) if not 0xD800 <= i <= 0xDFFF], "i int, c string")
+    for pattern, but in ((tx.WS, ()), (tx.WS_INLINE, (0x0A,)), (tx.WS_EXOTIC, (0x09, 0x0A, 0x20))):
+        assert {r["i"] for r in points.filter(F.col("c").rlike(pattern)).collect()} == set(WS_CODES) - set(but)
+
+
+def test_scan_of_one_row_group_is_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 50_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("v")).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 8
+        rows = [r["n"] for r in spread(scan).groupBy(F.spark_partition_id().alias("p")).agg(F.count("id").alias("n")).collect()]
+        assert sum(rows) == 50_000 and max(rows) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -198,3 +198,11 @@ def test_all_ranked_fields_on_demand(spark):
     fields = spark.createDataFrame([("s", f"column {chr(97 + i // 26)}{chr(97 + i % 26)}", 100 - i, i) for i in range(90)], "source_id string, field string, weight long, ordinal long")
     kept = [schema.suggest(sources, domains, fields, most=most).filter("field is not null").count() for most in (schema.MAX_SUGGESTED, None)]
     assert kept == [76, 80]
+
+
+def test_chunks_are_cut_once(spark):
+    files = spark.createDataFrame([("a.txt", "One. " * 1200), ("b.txt", " ")], "source_file string, raw string")
+    chunks = documents.document_chunks(documents.text_documents(files))
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Generate posexplode")[1]
+    assert [(r["source_file"], r["chunk_index"], r["chunk_count"]) for r in chunks.orderBy("source_file", "chunk_index").collect()] == [("a.txt", i, 4) for i in range(4)]
