@@ -17,8 +17,8 @@ from itemforge.session import filter_settled, written
 
 # Bytes of phrases in one automaton, and what a phrase counts besides its own bytes.
 SHARD_BYTES, PHRASE_BYTES = 4 << 20, 64
-# Counters of the sketch that tells rare facts.
-SKETCH = 1 << 16
+# Counters of the sketch that tells rare facts, and the items that one task of the join takes.
+SKETCH, ITEMS_PER_TASK = 1 << 16, 100_000
 
 
 def reference_rows(evals: DataFrame) -> DataFrame:
@@ -92,8 +92,10 @@ def match_by_entity_year(rows: DataFrame, header: list[str], evals: DataFrame, c
     # One pass over the rows: normal forms of the keys and of all cells, blank for none.
     cell = lambda h: F.when(tx.is_empty(F.col(f"`{h}`")), F.lit("")).otherwise(tx.norm_value(F.col(f"`{h}`")))
     base = rows.select("item_id", tx.norm_value(F.col("entity_name")).alias("k_entity"), tx.norm_value(F.col("role_year")).alias("k_year"), F.array(*[cell(h) for h in header]).alias("cells"))
-    counter = lambda place, value: F.pmod(F.xxhash64(place, value), F.lit(SKETCH))
+    counter = lambda place, value: F.pmod(F.xxhash64(place, value), F.lit(SKETCH)).cast("int")
     sketch = base.select(F.posexplode("cells").alias("c", "v")).groupBy(counter(F.col("c"), F.col("v")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    counts = base.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("at")).join(sketch, "at", "left").select("at", F.floor(3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint").alias("n"))
+    counts = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("counts"))
 
     facts = F.filter(F.transform(F.filter("facts", lambda f: ~tx.is_empty(f["value"])), lambda f: F.struct(
         f["name"].alias("name"), tx.norm_value(f["value"]).alias("want"), columns_for_fact(header, f["name"], config).alias("places"))), lambda f: F.size(f["places"]) > 0)
@@ -101,23 +103,28 @@ def match_by_entity_year(rows: DataFrame, header: list[str], evals: DataFrame, c
     keyed = filter_settled(keyed, (F.col("k_entity") != "") & (F.col("k_year") != "") & (F.size("facts") > 0))
     taken = [m.lower() for role in ("entity", "year") for m in (role, *config.key_fields.get(role, []))]
     free = F.filter("facts", lambda f: ~F.lower(f["name"]).isin(*taken))
-    item = ["eval_id", "k_entity", "k_year", "facts"]
-    met = keyed.withColumn("f", F.explode(free)).withColumn("at", F.explode(F.concat(
-        F.transform("f.places", lambda c: counter(c, F.col("f.want"))), F.array(counter(F.get("f.places", F.lit(0)), F.lit(""))))))
-    rarity = met.join(sketch, "at", "left").groupBy(*item, "f").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    anchored = rarity.groupBy(*item).agg(F.min_by("f", F.struct("n", "f.name")).alias("anchor"))
-    alone = keyed.filter(F.size(free) == 0)
-    chosen = written(anchored.unionByName(alone.withColumn("anchor", F.lit(None).cast(anchored.schema["anchor"].dataType))), "anchors")
+    # The sketch, a byte a counter, is one row beside every item: no item is copied or grouped to find its rarest fact.
+    seen = lambda f: F.array_max(F.transform(F.concat(F.transform(f["places"], lambda c: counter(c, f["want"])),
+                                                      F.array(counter(F.get(f["places"], F.lit(0)), F.lit("")))), lambda at: F.get("counts", at)))
+    ranked = F.transform(free, lambda f: F.struct(seen(f).alias("n"), f["name"].alias("name"), f["want"].alias("want"), f["places"].alias("places")))
+    least = F.array_min(ranked)
+    bare = F.transform("facts", lambda f: F.struct(f["want"].alias("want"), f["places"].alias("places")))
+    chosen = written(keyed.crossJoin(counts).select("eval_id", "k_entity", "k_year", bare.alias("facts"), F.when(F.size(free) > 0, tx.let(least, lambda f: F.struct(
+        f["want"].alias("want"), f["places"].alias("places")))).alias("anchor")), "anchors")
     # An item without such a fact meets its rows by entity and year alone.
     keys = F.when(F.col("anchor").isNull(), F.array(F.struct(F.lit(-1).alias("c"), F.lit("").alias("v")))).otherwise(F.concat(
         F.transform("anchor.places", lambda c: F.struct(c.alias("c"), F.col("anchor.want").alias("v"))), F.array(F.struct(F.get("anchor.places", F.lit(0)).alias("c"), F.lit("").alias("v")))))
     wanted = chosen.select("eval_id", "k_entity", "k_year", "facts", F.explode(keys).alias("k")).select("*", "k.*").drop("k")
-    used = sorted(r["c"] for r in chosen.select(F.explode("anchor.places").alias("c")).distinct().collect())  # at most the header's width
-    probes = F.array(*[F.struct(F.lit(c).alias("c"), F.get("cells", F.lit(c)).alias("v")) for c in used], F.struct(F.lit(-1).alias("c"), F.lit("").alias("v")))
-    probe = base.withColumn("k", F.explode(probes)).select("*", "k.*").drop("k")
+    used = sorted(r["c"] for r in wanted.select("c").distinct().collect())  # at most the header's width
+    probes = F.array(*[F.struct(F.lit(c).alias("c"), (F.get("cells", F.lit(c)) if c >= 0 else F.lit("")).alias("v")) for c in used])
+    probe = base.filter("k_entity <> '' and k_year <> ''").withColumn("k", F.explode(probes)).select("*", "k.*").drop("k")
     held = F.filter(F.transform("facts", lambda f: F.struct(f["want"].alias("want"), _first_filled(F.col("cells"), f["places"]).alias("have"))), lambda f: f["have"] != "")
     agree = tx.let(held, lambda h: (F.size(h) > 0) & F.forall(h, lambda f: f["have"] == f["want"]))
-    return probe.join(wanted, ["k_entity", "k_year", "c", "v"]).filter(agree).select("item_id", "eval_id").distinct()
+    key = ["k_entity", "k_year", "c", "v"]
+    tasks = -(-chosen.count() // ITEMS_PER_TASK)  # from the file footers
+    if tasks > int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        probe, wanted = probe.repartition(tasks, *key), wanted.repartition(tasks, *key)
+    return probe.join(wanted, key).filter(agree).select("item_id", "eval_id").distinct()
 
 
 def phrases_of(evals: DataFrame) -> DataFrame:

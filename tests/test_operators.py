@@ -206,3 +206,16 @@ def test_chunks_are_cut_once(spark):
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan.split("Generate posexplode")[1]
     assert [(r["source_file"], r["chunk_index"], r["chunk_count"]) for r in chunks.orderBy("source_file", "chunk_index").collect()] == [("a.txt", i, 4) for i in range(4)]
+
+
+def test_rarest_fact_is_found_without_grouping_items(spark):
+    header = ["code", "country", "year", "status", "total"]
+    rows = frame(spark, header, [(f"c{i}", "Chad", "2020", "O", str(i)) for i in range(50)]).select("*", F.col("source_row").alias("item_id"), F.col("country").alias("entity_name"), F.col("year").alias("role_year"))
+    facts = [F.array(F.lit("country=chad"), F.lit("year=2020"), F.lit("status=o"), F.concat(F.lit("total="), F.col("id").cast("string")))]
+    evals = spark.range(45, 55).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("eval_id"), evalset.parse_facts(facts[0]).alias("facts"))
+    found = matching.match_by_entity_year(rows, header, evals)
+    assert sorted((r["item_id"], r["eval_id"]) for r in found.collect()) == [(i + 1, f"e{i}") for i in range(45, 50)]
+    anchors = found.select("item_id").inputFiles()
+    table = spark.read.parquet(*[f for f in anchors if "anchors" in f])
+    assert {len(r["anchor"]["places"]) for r in table.collect()} == {1} and {r["anchor"]["want"] for r in table.collect()} == {str(i) for i in range(45, 55)}
+    assert [f.name for f in table.schema["facts"].dataType.elementType.fields] == ["want", "places"]
