@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from itemforge.functions import ids
 from itemforge.functions import text as tx
 from itemforge.operators.documents import with_norms
-from itemforge.session import filter_settled, stage
+from itemforge.session import filter_settled, stage, written
 
 # Keys tried for the title and the identity of a record, and further wanted facts.
 TITLE_KEYS = ("title", "displayName", "name", "primaryName", "country", "countryName", "entity", "condition", "recordId", "id")
@@ -47,7 +47,7 @@ def generate(records: DataFrame) -> DataFrame:
 
     One projection: every step is an array expression on the record's own entries.
     """
-    staged = records.withColumn("_u", with_norms(_useful(F.col("entries")))).filter(F.size("_u") >= 3)
+    staged = filter_settled(records.withColumn("_u", with_norms(_useful(F.col("entries")))), F.size("_u") >= 3)
     u = F.col("_u")
     title = F.coalesce(_first_by_keys(u, TITLE_KEYS), tx.first_of(u)["value"])
     staged = staged.withColumn("_title", title)
@@ -57,8 +57,7 @@ def generate(records: DataFrame) -> DataFrame:
     wanted = F.transform(keys_in_order, lambda w: tx.first_of(F.filter(u, lambda e: e["norm"].endswith(w))))
     others = F.filter(F.slice(u, 1, 40), lambda e: e["value"] != F.col("_title"))
     candidates = F.concat(F.filter(wanted, lambda e: e.isNotNull()), others)
-    keys = F.transform("_cand", lambda e: e["key"])
-    selected = F.slice(F.filter("_cand", lambda e, i: F.array_position(keys, e["key"]) == i + 1), 1, 4)
+    selected = tx.let(F.transform("_cand", lambda e: e["key"]), lambda keys: F.slice(F.filter("_cand", lambda e, i: F.array_position(keys, e["key"]) == i + 1), 1, 4))
     staged = filter_settled(staged.withColumn("_cand", candidates).withColumn("_s", selected), F.size("_s") >= 2)
     t = F.col("_title")
     labels = F.array_join(F.transform("_s", lambda e: tx.humanize_leaf(e["key"])), ", ")
@@ -88,6 +87,7 @@ def build_eval_set(generated: DataFrame, target: int, seed: DataFrame | None = N
     if seed is not None:
         pool = (pool.join(seed.select(tx.norm_prompt(F.col("prompt")).alias("_prompt")), "_prompt", "left_anti")
                 .join(seed.select("eval_id"), "eval_id", "left_anti"))
+    pool = written(pool, "pool")  # every round and the result read it again
     keyed, accepted, first_round = pool.select("eval_id", "_prompt", "_at"), None, True
     while first_round or not rest.isEmpty():
         source = keyed if first_round else rest

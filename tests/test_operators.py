@@ -219,3 +219,12 @@ def test_rarest_fact_is_found_without_grouping_items(spark):
     table = spark.read.parquet(*[f for f in anchors if "anchors" in f])
     assert {len(r["anchor"]["places"]) for r in table.collect()} == {1} and {r["anchor"]["want"] for r in table.collect()} == {str(i) for i in range(45, 55)}
     assert [f.name for f in table.schema["facts"].dataType.elementType.fields] == ["want", "places"]
+
+
+def test_evaluation_records_are_settled_once(spark):
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(v), F.col("id").cast("string")).alias("value")) for k, v in (("id", "x"), ("name", "N"), ("country", "C"))])
+    made = evalset.generate(spark.range(3).select(F.lit("a.csv").alias("source"), F.col("id").alias("row"), cells.alias("entries")))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("transform(" in line.split("Filter ")[1] for line in plan.split("\n") if "Filter " in line)
+    chosen = evalset.build_eval_set(made, 2)
+    assert any("/pool-" in f for f in chosen.inputFiles()) and [r["source_location"] for r in chosen.collect()] == ["a.csv:row 0", "a.csv:row 1"]
