@@ -18,7 +18,7 @@ from itemforge.functions.fixed import AUTHOR_KEYS, DATE_KEYS, ICON_KEYS, TITLE_K
 from itemforge.functions.numbers import number_text
 from itemforge.session import written
 
-STEP = 24
+STEP, FEW_BRACKETS = 24, 4
 # Keys whose long text becomes a section of its own, the length from which it does, and the scalars of an
 # array that an evaluation fact shows.
 BODY_KEYS = ("body", "content", "text", "summary", "description", "excerpt", "message")
@@ -45,10 +45,16 @@ def parsed_json(raw: Column) -> Column:
     return F.when(F.try_parse_json(listed).isNotNull(), F.try_variant_get(F.try_parse_json(named), "$.v", "variant"))
 
 
+def _is_value(raw: Column) -> Column:
+    """Whether ``parsed_json`` has a value, without taking it out."""
+    listed, named = _wraps(raw)
+    return F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull()
+
+
 def is_json(raw: Column) -> Column:
     """Whether a text is one JSON value; an object may name a member twice."""
     listed, named = _wraps(raw)
-    return parsed_json(raw).isNotNull() | (F.get_json_object(listed, "$").isNotNull() & F.get_json_object(named, "$").isNotNull())
+    return _is_value(raw) | (F.get_json_object(listed, "$").isNotNull() & F.get_json_object(named, "$").isNotNull())
 
 
 def _kind(value: Column) -> Column:
@@ -56,9 +62,15 @@ def _kind(value: Column) -> Column:
                   .when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").otherwise("number"))
 
 
+def _nested_kind(raw: Column) -> Column:
+    """``object`` or ``array`` of a whole JSON text, else null. Its first sign tells it, so no schema is asked of all that is in it."""
+    opens = F.substring(F.ltrim(raw, F.lit(" \t\r\n")), 1, 1)
+    return F.when(opens.isin("{", "[") & _is_value(raw), F.when(opens == "{", "object").otherwise("array"))
+
+
 def _part(key: Column, text: Column, value: Column) -> Column:
     def shown(kind: Column) -> Column:
-        return F.struct(key.alias("key"), kind.alias("kind"), F.when(kind == "number", number_text(F.try_variant_get(value, "$", "double"))).otherwise(text).alias("text"))
+        return F.struct(key.alias("key"), kind.alias("kind"), F.when(kind == "number", tx.let(F.try_variant_get(value, "$", "double"), number_text)).otherwise(text).alias("text"))
     # Only a scalar is asked for its schema, which for an object would be that of all that is in it.
     scalar = tx.let(F.schema_of_variant(value), lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number"))
     kind = (F.when(text.isNull(), "null").when(text.startswith("{") & F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "object")
@@ -94,8 +106,13 @@ def nesting(raw: Column) -> Column:
 
 
 def deepest(df: DataFrame, raw: str) -> int:
-    """The levels that ``raw`` needs to be opened whole: one number from one pass."""
-    return df.agg(F.max(nesting(F.col(raw)))).first()[0] or 0
+    """Levels that open ``raw`` whole: one number from one pass.
+
+    A text of few opening brackets is never deeper than their count, so only the others are read sign by sign.
+    """
+    opens = F.length(raw) - F.length(F.translate(raw, "[{", ""))
+    levels = F.when(opens <= FEW_BRACKETS, opens).otherwise(nesting(F.col(raw)))
+    return df.agg(F.max(levels)).first()[0] or 0
 
 
 def _opened(df: DataFrame, name: str, open_one: Callable[[Column], Column], waits: Callable[[Column], Column], levels: int) -> DataFrame:
@@ -119,8 +136,8 @@ def _below(path: Column, key: Column) -> Column:
 
 def _root(raw: Column) -> Column:
     """One entry without a path; anything but an object becomes the member ``value`` of one."""
-    whole = F.when(_kind(parsed_json(raw)) == "object", raw).otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}")))
-    return F.when(parsed_json(raw).isNotNull(), F.array(_entry(F.lit(""), F.lit("object"), whole)))
+    whole = F.when(F.ltrim(raw, F.lit(" \t\r\n")).startswith("{"), raw).otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}")))
+    return F.when(_is_value(raw), F.array(_entry(F.lit(""), F.lit("object"), whole)))
 
 
 def _ends(rows: Column, last: bool) -> Column:
@@ -143,7 +160,7 @@ def _last_of_each(rows: Column) -> Column:
     """(key, value) with the last value of a repeated key in the place of its first."""
     def settle(all_: Column) -> Column:
         writes = F.transform(all_, lambda x, i: F.struct(x["key"].alias("key"), i.alias("rank"), i.alias("place"), x["value"].alias("value")))
-        return F.when(F.size(F.array_distinct(F.transform(all_, lambda x: x["key"]))) == F.size(all_), all_).otherwise(_settled(writes))
+        return F.when(F.size(F.array_distinct(all_["key"])) == F.size(all_), all_).otherwise(_settled(writes))
     return tx.let(rows, settle)
 
 
@@ -217,9 +234,18 @@ def with_search_entries(df: DataFrame, raw: str, name: str) -> DataFrame:
             full = F.struct(e["path"].alias("key"), e["rank"].alias("rank"), (2 * i).alias("place"), e["text"].alias("value"))
             alias = F.struct(leaf.alias("key"), alias_rank.alias("rank"), (2 * i + 1).alias("place"), e["text"].alias("value"))
             return F.when((leaf == "") | (leaf == e["path"]), F.array(full)).otherwise(F.array(full, alias))
-        return _settled(F.flatten(F.transform(facts, writes)))
-    kind = _kind(parsed_json(raw))
-    root = F.array(ranked(F.lit(""), kind, F.col(raw), F.array().cast("array<int>")))
+
+        def plain(e: Column) -> Column:
+            leaf = F.substring_index(e["path"], ".", -1)
+            full = F.struct(e["path"].alias("key"), e["text"].alias("value"))
+            return F.when((leaf == "") | ~F.contains(e["path"], F.lit(".")), F.array(full)).otherwise(F.array(full, F.struct(leaf.alias("key"), e["text"].alias("value"))))
+
+        def settle(all_: Column) -> Column:
+            once = F.size(F.array_distinct(all_["key"])) == F.size(all_)
+            return F.when(once, all_).otherwise(_settled(F.flatten(F.transform(facts, writes))))
+        # Places and ranks settle nothing where no key is written twice.
+        return tx.let(F.flatten(F.transform(facts, plain)), settle)
+    root = F.array(ranked(F.lit(""), _nested_kind(F.col(raw)), F.col(raw), F.array().cast("array<int>")))
     start = df.withColumn(name, F.when(F.col(raw).isNotNull(), F.filter(root, is_nested)))
     opened = _opened(start, name, open_one, is_nested, deepest(df, raw))
     facts = F.filter(name, lambda e: (e["kind"] == "joined") | ((e["text"] != "") & (F.length(e["text"]) <= LONGEST_FACT)))
@@ -241,17 +267,22 @@ def record_roles(raw: Column) -> Column:
         return F.when(m["kind"] == "string", m["text"]).when(m["kind"] == "array", tx.let(elements(m["text"]), joined)).when(m["kind"] == "object", tx.let(members(m["text"]), named))
 
     def role(key: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, keys in ROLE_KEYS.items():
-            out = F.when(tx.norm_key(key).isin(*keys), name).otherwise(out)
-        return out
+        def named(norm: Column) -> Column:
+            out = F.lit(None).cast("string")
+            for name, keys in ROLE_KEYS.items():
+                out = F.when(norm.isin(*keys), name).otherwise(out)
+            return out
+        return tx.let(tx.norm_key(key), named)
 
     def first_of_each(found: Column) -> Column:
         roles = F.transform(found, lambda e: e["key"])
         return F.filter(found, lambda e, i: F.array_position(roles, e["key"]) == i + 1)
-    answers = F.transform(members(raw), lambda m: F.struct(role(m["key"]).alias("key"), text(m).alias("value")))
-    filled = F.filter(answers, lambda e: e["key"].isNotNull() & (F.coalesce(e["value"], F.lit("")) != ""))
-    return F.when(_kind(parsed_json(raw)) == "object", tx.let(filled, first_of_each))
+    # Only members with a role are asked for their kind and text.
+    named = F.zip_with(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")),
+                       lambda e, v: F.struct(role(e["key"]).alias("key"), e["value"].alias("text"), v.alias("value")))
+    answers = F.transform(F.filter(named, lambda e: e["key"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), tx.let(_part(e["key"], e["text"], e["value"]), text).alias("value")))
+    filled = F.filter(answers, lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.when(_nested_kind(raw) == "object", tx.let(filled, first_of_each))
 
 
 def entry_rows(df: DataFrame, name: str, *keep: str) -> DataFrame:

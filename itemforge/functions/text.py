@@ -95,11 +95,21 @@ def _trim_lines(c: Column) -> Column:
     return F.when(c.rlike(WS_EXOTIC), full).otherwise(plain)
 
 
+def _replaced(c: Column, signs: list[str], pattern: str, by: str) -> Column:
+    """``regexp_replace`` of the texts that hold one of ``signs``; in all others the pattern changes nothing."""
+    def one(x: Column) -> Column:
+        found = F.contains(x, F.lit(signs[0]))
+        for sign in signs[1:]:
+            found = found | F.contains(x, F.lit(sign))
+        return F.when(found, F.regexp_replace(x, pattern, by)).otherwise(x)
+    return let(c, one)
+
+
 def clean_content(c: Column) -> Column:
     """Decode entities, unify line ends, collapse blanks, trim lines, keep at most one blank line."""
-    t = F.regexp_replace(decode_entities(c), "\r\n?", "\n")
-    t = let(F.regexp_replace(t, "[ \t]+", " "), _trim_lines)
-    return trimmed(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    t = _replaced(decode_entities(c), ["\r"], "\r\n?", "\n")
+    t = let(_replaced(t, ["  ", "\t"], "[ \t]+", " "), _trim_lines)
+    return trimmed(_replaced(t, ["\n\n\n"], "\n{3,}", "\n\n"))
 
 
 def _split_camel(c: Column) -> Column:
@@ -112,8 +122,7 @@ def humanize_field(c: Column) -> Column:
 
 
 def humanize_json_key(c: Column) -> Column:
-    t = trimmed(_split_camel(F.regexp_replace(c, r"[_\-]+", " ")))
-    return F.when(t == "", F.lit("Value")).otherwise(upper_first(t))
+    return let(trimmed(_split_camel(F.regexp_replace(c, r"[_\-]+", " "))), lambda t: F.when(t == "", F.lit("Value")).otherwise(upper_first(t)))
 
 
 def humanize_leaf(c: Column) -> Column:

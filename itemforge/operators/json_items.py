@@ -56,15 +56,15 @@ def infer_domain(entries: Column) -> Column:
 
 
 def _sentence(*parts: Column) -> Column:
-    return F.concat(F.concat_ws(" — ", *[F.when(p != "", p) for p in parts]), F.lit("."))
+    return F.concat(F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " — "), F.lit("."))
 
 
 def _after(label: str, value: Column) -> Column:
-    return F.when(value != "", F.concat(F.lit(f"{label} "), value)).otherwise("")
+    return tx.let(value, lambda v: F.when(v != "", F.concat(F.lit(f"{label} "), v)).otherwise(""))
 
 
 def _either(*values: Column) -> Column:
-    return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
+    return F.coalesce(tx.first_of(F.filter(F.array(*values), lambda v: v != "")), F.lit(""))
 
 
 # Keys that must match whole, not by their ending.
@@ -120,7 +120,8 @@ def with_structured(df: DataFrame, entries: str, json_text: str) -> DataFrame:
     for name in ("cms", "icd10", "npi"):
         keys = dict.fromkeys(("domain", *DOMAIN_ORDER[name], *STRUCTURED_KEYS))
         order = F.when(F.col("domain") == name, F.array(*[F.lit(k) for k in keys])).otherwise(order)
-    canonical = F.filter(F.transform(order, lambda k: F.struct(k.alias("key"), F.try_element_at(F.col("_pm"), k).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    placed = F.transform(F.filter("_picked", lambda e: e["value"] != ""), lambda e: F.struct(F.array_position(order, e["key"]).alias("place"), e["key"].alias("key"), e["value"].alias("value")))
+    canonical = F.sort_array(placed)
     staged = staged.withColumns({
         "_canonical": canonical, "_exact": F.filter("_listed", lambda e: F.contains(e["key"], F.lit("."))),
         "_sentence": _canonical_sentence(F.col("domain"), pick, whole),
@@ -203,8 +204,7 @@ def json_lines_documents(lines: DataFrame, url_prefix: str = "") -> DataFrame:
 
     A line that is not JSON is kept as text.
     """
-    kept = (lines.withColumn("value", tx.trimmed(F.col("value"))).filter(F.col("value") != "")
-            .withColumn("_ok", is_json(F.col("value"))))
+    kept = filter_settled(lines.withColumn("value", tx.trimmed(F.col("value"))), F.col("value") != "").withColumn("_ok", is_json(F.col("value")))
     parsed = kept.withColumn("_json", F.when(F.col("_ok"), F.col("value")))
     flat = with_search_entries(parsed, "_json", "_e").withColumn("_r", record_roles(F.col("_json")))
     flat = flat.withColumns({"_entries": F.coalesce("_e", F.array().cast(_NO_ENTRIES)), "_roles": F.coalesce("_r", F.array().cast(_NO_ENTRIES)),

@@ -15,7 +15,7 @@ from itemforge.plans.tables import table
 from itemforge.session import dealt
 
 # Records of the JSON queries in a task: opening them is the work, reading them is not.
-DEEP_ROWS, FLAT_ROWS = 5_000, 40_000
+DEEP_ROWS, FLAT_ROWS = 5_000, 10_000
 
 
 def text_files(spark, sf):

@@ -228,3 +228,16 @@ def test_evaluation_records_are_settled_once(spark):
     assert not any("transform(" in line.split("Filter ")[1] for line in plan.split("\n") if "Filter " in line)
     chosen = evalset.build_eval_set(made, 2)
     assert any("/pool-" in f for f in chosen.inputFiles()) and [r["source_location"] for r in chosen.collect()] == ["a.csv:row 0", "a.csv:row 1"]
+
+
+def test_json_lines_are_worked_on_after_the_exchange(spark):
+    """The blank test of a line stays above the exchange that deals the lines out."""
+    lines = spark.range(4).select(F.lit("f.jsonl").alias("source_file"), F.col("id").alias("line"), F.to_json(F.struct("id")).alias("value"))
+    plan = json_items.json_lines_documents(lines.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 2" in plan and "Filter" not in plan[plan.index("Repartition 2"):]
+
+
+def test_clean_content_replaces_only_where_signs_are(spark):
+    cases = {"a\r\nb\rc": "a\nb\nc", "a  b\tc \t d": "a b c d", "x\n\n\n\ny\n\nz": "x\n\ny\n\nz", " \r\r\r q ": "q", "plain a b": "plain a b", None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert [r.t for r in rows.select(tx.clean_content(F.col("v")).alias("t")).collect()] == list(cases.values())
