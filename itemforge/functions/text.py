@@ -299,5 +299,5 @@ def is_prose(c: Column) -> Column:
               | c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
               | c.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
               | c.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$"))
-    return ((F.length(c) >= 80) & c.rlike(WS) & plain
-            & (dense > 0) & (letters / F.nullif(dense, F.lit(0)) >= 0.5))
+    # Letters are no blanks, so a text of blanks alone has none; each count is named once, as it reads the whole text.
+    return (F.length(c) >= 80) & c.rlike(WS) & plain & (2 * letters >= F.greatest(dense, F.lit(1)))

@@ -241,3 +241,11 @@ def test_clean_content_replaces_only_where_signs_are(spark):
     cases = {"a\r\nb\rc": "a\nb\nc", "a  b\tc \t d": "a b c d", "x\n\n\n\ny\n\nz": "x\n\ny\n\nz", " \r\r\r q ": "q", "plain a b": "plain a b", None: None}
     rows = spark.createDataFrame([(k,) for k in cases], "v string")
     assert [r.t for r in rows.select(tx.clean_content(F.col("v")).alias("t")).collect()] == list(cases.values())
+
+
+def test_prose_reads_a_text_once_for_each_count(spark):
+    half = "ab 12 " * 20
+    cases = {half: True, half + "3": False, " " * 90: False, "1 " * 50: False, "word " * 20: True, "word": False, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select(tx.is_prose(F.col("v")).alias("p"))
+    assert [r.p for r in rows.collect()] == list(cases.values())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
