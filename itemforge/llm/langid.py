@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 
 from itemforge.llm.bpe import LETTER, char_classes, code_points
 from itemforge.llm.bytewords import text_slices
-from itemforge.llm.shared import held_out, table
+from itemforge.llm.shared import held_out, lean, table
 
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, TABLE_MB, LANE = 300, 2_000, 30_000, 64, 512
+# Bytes of text parsed at once: a parse holds some thirty times as much, and no document is cut by it.
+SLICE = 1 << 20
 BLANK, UNKNOWN = 0, 1
 NONE = "und"
 SENTENCE = regex.compile(r"[.!?|\n]+\s*")
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         names = np.array([*own.languages, NONE], object)
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
+            for rows, data, offsets in text_slices(batch, "text", SLICE):
                 phrases, sizes, letters = own.parse(data, offsets)
                 n = len(sizes)
                 best, score = np.full(n, len(own.languages)), np.zeros(n)
@@ -203,13 +205,13 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
+            for rows, data, offsets in text_slices(batch, "text", SLICE):
                 if own.languages:
                     phrases, _, letters = own.parse(data, offsets)
                     cost = phrases * own.bits[:, None]
                     score = 1 / np.exp2(np.maximum(cost.min(axis=0) - cost, -1_000)).sum(axis=0)
                     yield rows.filter(pa.array((letters > 0) & (score >= least)))
-    return docs.select(*[docs[c] for c in names]).mapInArrow(run, docs.schema)
+    return docs.select(*[docs[c] for c in names]).mapInArrow(lean(run), docs.schema)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

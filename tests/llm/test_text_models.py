@@ -109,3 +109,17 @@ def test_quality_votes_equal_plain_cosines():
         near = np.argsort(-cosine, kind="stable")[:quality.NEIGHBOURS]
         weight = np.maximum(cosine[near], 1e-6).astype(float)
         assert abs(model.scores(x[i:i + 1])[0] - (weight * y[near]).sum() / weight.sum()) < 1e-5
+
+
+def test_a_parse_keeps_to_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    model = langid.build({"en": ["the quick brown fox"], "de": ["der schnelle braune fuchs"]})
+    model.symbols()
+    data = np.frombuffer(b"the quick brown fox " * (langid.SLICE // 20), np.uint8)
+    tracemalloc.start()
+    model.parse(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
