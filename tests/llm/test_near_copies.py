@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from itemforge.llm import bytewords, components, hnsw, jaccard, lines
+from itemforge.llm import bytewords, components, hnsw, jaccard, lines, shared
 from tests.llm.common import DOCS, WORDS, documents, groups, prose, shingles, with_clashes
 
 
@@ -266,6 +267,32 @@ def test_families_in_one_leaf_part(spark):
     assert sorted(t for t in got.values() if t) == sorted([one[0], two[0], few[0], few[200], *odd])
 
 
+def test_every_round_leaves_the_driver_empty(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(lines, "forget", lambda session: (done.append("forget"), shared.forget(session)))
+    monkeypatch.setattr(lines, "judged_teams", lambda found, judge=lines.judged_teams: (done.append("round"), judge(found))[1])
+    # two families in one leaf: the first round parts them, a later one judges each
+    texts = [f"the new order {a} {letters(k)} was sent out {a} today at noon" for a in ("red", "blue") for k in range(12)]
+    assert kept_lines(spark, texts) == {i: t if i % 12 == 0 else "" for i, t in enumerate(texts)}
+    assert done.count("round") > 1 and done[-1] == "forget"
+    assert all(done[i + 1] == "forget" for i, what in enumerate(done) if what == "round")
+
+
+def test_bit_map_holds_no_row_objects(spark):
+    shared.bit_map(spark.range(3), "id")  # what is loaded once
+    tracemalloc.start()
+    found = shared.bit_map(spark.range(1 << 17).selectExpr("id * 32 + id % 32 as id"), "id")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = np.arange(1 << 17)
+    assert (found == np.uint32(1) << (at % 32).astype(np.uint32)).all()
+    assert most < 8 << 20
+    odd = spark.createDataFrame([(-1,), (None,), (1 << 62,), ((1 << 62) + 33,)], "id long")
+    bits = shared.bit_map(odd, "id")
+    assert [int(bits[0]), int(bits[1]), int(bits[-1]), np.count_nonzero(bits)] == [1, 2, 1 << 31, 3]
+    assert not shared.bit_map(odd.filter("id is null"), "id").any()
+
+
 def test_short_lines_recur_exactly(spark):
     texts = ["All rights reserved.\none", "All rights reserved.\n\ntwo", "Read more\nPage 3\nAll rights", "Page 4\nRead more\n \nAll wrongs reserved."]
     assert kept_lines(spark, texts) == dict(enumerate([texts[0], "\ntwo", texts[2], "Page 4\n \nAll wrongs reserved."]))
